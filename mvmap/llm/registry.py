@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from mvmap.llm import idfile, packing
+from mvmap.llm import idfile, licenses, packing, quality_rules, sharding
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_virtual_slots": sharding.op2_virtual_slots,
+    "op5_license_scan": licenses.op5_license_scan,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op10_plane_files": idfile.op10_plane_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": quality_rules.OP6_SQL,
+}
