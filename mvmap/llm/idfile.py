@@ -130,7 +130,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # The text's hash lets one doc_id that fills a third of the rows spread over ranges.
     dealt = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), F.col("text"))
-    dealt.mapInArrow(fn, CHUNKS).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
+    common.map_arrow(dealt, fn, CHUNKS).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
     files = chunks.groupBy("file_no").agg(F.sum("n_ids").alias("file_ids"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -152,7 +152,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     The driver holds one long per written file, as many as the write had tasks."""
     bases = {r.file_no: r.file_start for r in read_index(spark, path).select("file_no", "file_start").distinct().collect()}
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
-    return chunks.mapInArrow(partial(_read, bases=bases), DOCS)
+    return common.map_arrow(chunks, partial(_read, bases=bases), DOCS)
 
 
 def op10_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:

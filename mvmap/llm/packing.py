@@ -114,7 +114,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = 1024, end
     if seq_len < 1 or seq_len & (seq_len - 1):
         raise ValueError("seq_len must be a power of two")
     fn = partial(_pack, path=tokenizer or tokens.tokenizer_path(), seq_len=seq_len, end_id=end_id, linear=linear, quadratic=quadratic, block_tokens=block_tokens)
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(fn, SCHEMA)
+    return common.map_arrow(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), fn, SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
