@@ -42,7 +42,7 @@ def _featurise(batches, bits: int):
 class Ftrl:
     """FTRL-proximal logistic regression over binary features; slot ``2 ** bits`` is the bias."""
 
-    def __init__(self, bits: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, bits: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0):
         import numpy as np
 
         self.bits, self.alpha, self.beta, self.l1, self.l2 = bits, alpha, beta, l1, l2
@@ -73,14 +73,15 @@ class Ftrl:
         return at, w[at]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int = 4, held: int = 2, bits: int = 20, max_rows: int = 6000, epochs: int = 3):
-    """(slots, weights) of the fitted model, from at most ``max_rows`` rows."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int = 4, held: int = 2, bits: int = 20, max_rows: int = 8000, epochs: int = 10, l1: float = 8.0):
+    """(slots, weights) of the fitted model, from at most ``max_rows`` rows. The
+    L1 bound grows with the rows up to ``l1``, as the gradient sums it cuts do."""
     import numpy as np
 
     rows = labelled.sample(docs, labels, label, divisor, held, max_rows)
     rows = common.map_arrow(rows.select("doc_id", "y", "text"), partial(_featurise, bits=bits), "doc_id bigint, y double, slots binary").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
-    model = Ftrl(bits)
+    model = Ftrl(bits, l1=min(l1, max(1.0, len(rows) / 700)))
     data = [(np.append(np.frombuffer(s, dtype="<i4").astype(np.int64), 1 << bits), y) for s, y in zip(rows["slots"], rows["y"])]
     order = np.random.default_rng(7)
     for _ in range(epochs):
