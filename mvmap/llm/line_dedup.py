@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from mvmap.llm import common
 from mvmap.llm import text as tx
 
-RARITY_BITS = 22
+RARITY_BITS = 20
 LINES = "oid bigint, dkey bigint, line int, again boolean, n int, s1 bigint, s2 bigint, sig bigint, prefix array<bigint>"
 
 
