@@ -2,11 +2,13 @@
 
 A document is the set of its distinct ``width``-word shingles, hashed to 64 bits.
 Its sketch is the ``k`` least values. Copies (equal sets) collapse to the least
-doc_id first. Each three neighbouring sketch values are one entry of an inverted
-list: of the least values of two documents' union, a share J lies in both, so two
-documents above the threshold miss a common run of three only with a probability
-of about 0.63^k at J = 0.85 (below 1e-6 for k = 32), and sets of up to k shingles
-never miss one.
+doc_id first. Each three neighbouring values among the ``listed`` least are one
+entry of an inverted list: of the least values of two documents' union, a share J
+lies in both, so two documents above the threshold miss a common run of three only
+with a probability of about 0.63^listed at J = 0.85 (below 1e-6 for 32), and sets
+of up to ``listed`` shingles never miss one. The whole sketch of k values serves
+the estimate, which errs by 0.03 at k = 128; pairs up to ``SLACK`` below the
+threshold (five times that) are still verified. Sketches keep the upper 32 bits.
 
 First round: in each list the least document is the hub; pairs (hub, member) with
 many common entries are verified exactly and joined into components. Second
@@ -24,6 +26,7 @@ doc_id are linked with nothing and kept. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +36,7 @@ from mvmap.llm import common, graph
 from mvmap.llm import text as tx
 
 RUN = 3
+SLACK = 16
 BLOCK = 1024
 SALTS = 16
 
@@ -62,8 +66,8 @@ def _sketches(batches, width: int, k: int):
             n.append(len(s))
             s1.append(int(d[0]))
             s2.append(int(d[1]))
-            sketch.append(s[:k].view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names)
+            sketch.append((s[:k] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sketch, pa.list_(pa.int32()))], names)
 
 
 def _sets(batches, width: int, bits: bytes, n_bits: int):
@@ -115,16 +119,15 @@ def _block_pairs(batches, percent: int, k: int):
         (ra, ca, na, sa), (rb, cb, nb, sb) = x, y
         if ca == cb or 100 * min(na, nb) < percent * max(na, nb):
             return
-        both = len(sa & sb)
+        both = len(sa[0] & sb[0])
+        # The union's sketch: all values up to the lesser of the two sketches' ends.
+        end = min(sa[1][-1] if na > k else 1 << 32, sb[1][-1] if nb > k else 1 << 32)
+        union = bisect_right(sa[1], end) + bisect_right(sb[1], end) - both
         if na <= k and nb <= k:
-            if 100 * both < percent * (na + nb - both):
-                return
-        else:
-            if 2 * both < min(k, na, nb):
-                return
-            low = sorted(sa | sb)[:k]
-            if 2 * sum(v in sa and v in sb for v in low) < len(low):
+            if 100 * (both + 1) < percent * (union - 1):
                 return
+        elif 100 * both < (percent - SLACK) * union:
+            return
         out.add((min(ra, rb), max(ra, rb)))
 
     def flush(members, same, out):
@@ -144,8 +147,8 @@ def _block_pairs(batches, percent: int, k: int):
                 if group:
                     flush(members, group[1] == group[2], out)
                 group, members = (key, bi, bj), ([], [])
-            # Bottom-k order is that of unsigned values.
-            members[side].append((rep, comp, n, frozenset(v & 0xFFFFFFFFFFFFFFFF for v in sketch)))
+            values = [v & 0xFFFFFFFF for v in sketch]
+            members[side].append((rep, comp, n, (frozenset(values), values)))
         if len(out) > 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
             out = set()
@@ -169,22 +172,22 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     return common.materialise(common.map_arrow(dealt, partial(_judge, percent=percent), "a bigint, b bigint"), "links")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 48) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 128, listed: int = 48) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    rows = common.materialise(common.map_arrow(source, partial(_sketches, width=width, k=k), "doc_id bigint, n bigint, s1 bigint, s2 bigint, sketch array<bigint>"), "sketches")
+    rows = common.materialise(common.map_arrow(source, partial(_sketches, width=width, k=k), "doc_id bigint, n bigint, s1 bigint, s2 bigint, sketch array<int>"), "sketches")
     live = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     reps = live.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = common.materialise(reps, "reps")
 
-    runs = F.transform(F.sequence(F.lit(1), F.size("sketch") - (RUN - 1)), lambda i: F.xxhash64(*[F.element_at("sketch", i + j) for j in range(RUN)]))
+    runs = F.transform(F.sequence(F.lit(1), F.least(F.size("sketch"), F.lit(listed)) - (RUN - 1)), lambda i: F.xxhash64(*[F.element_at("sketch", i + j) for j in range(RUN)]))
     keys = reps.filter(F.size("sketch") >= RUN).select("rep", "n", F.explode(runs).alias("key"))
     lists = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).filter("m > 1")
     multi = common.materialise(keys.join(lists, "key").select("key", "rep", "n", "hub"), "lists")
 
     # First round: hubs.
     shared = multi.filter("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b"), "n").count()
-    pairs = common.materialise(shared.filter(F.col("count") * 4 >= F.least(F.lit(k), F.col("n")) - (RUN - 1)).select("a", "b"), "pairs")
+    pairs = common.materialise(shared.filter(F.col("count") * 4 >= F.least(F.lit(listed), F.col("n")) - (RUN - 1)).select("a", "b"), "pairs")
     links = verify(source, pairs, width, percent)
     comp = graph.components(links)
 
@@ -209,4 +212,4 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.documents(spark, sf_dir), width=3, percent=85, k=32)
+    return near_duplicates(common.documents(spark, sf_dir), width=3, percent=85, k=128, listed=32)
