@@ -94,8 +94,9 @@ def train(data, buckets: int, dim: int, epochs: int, rate: float, seed: int):
     return vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: int = 3, held: int = 1, buckets: int = 1 << 17, dim: int = 8, max_rows: int = 3000, epochs: int = 4, rate: float = 0.5, seed: int = 11):
-    """(projection, bias), from at most ``max_rows`` labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: int = 3, held: int = 1, buckets: int = 1 << 17, dim: int = 8, max_rows: int = 3000, epochs: int = 4, min_steps: int = 12_000, rate: float = 0.5, seed: int = 11):
+    """(projection, bias), from at most ``max_rows`` labelled rows;
+    a small sample is passed over until ``min_steps`` steps are done."""
     import numpy as np
 
     rows = labelled.sample(docs, labels, label, divisor, held, max_rows).select("doc_id", "y", "text")
@@ -103,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: int
     if not len(rows):
         return np.zeros(buckets), 0.0
     data = [(np.frombuffer(s, dtype="<i4").astype(np.int64), np.frombuffer(w, dtype="<f4").astype(float), int(y > 0)) for s, w, y in zip(rows["slots"], rows["weights"], rows["y"])]
-    return train(data, buckets, dim, epochs, rate, seed)
+    return train(data, buckets, dim, max(epochs, -(-min_steps // len(data))), rate, seed)
 
 
 class _WordScore(dict):
