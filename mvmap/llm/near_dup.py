@@ -7,15 +7,17 @@ entry of an inverted list: of the least values of two documents' union, a share
 lies in both, so two documents above the threshold miss a common run of three only
 with a probability of about 0.63^listed at J = 0.85 (below 1e-6 for 32), and sets
 of up to ``listed`` shingles never miss one. The whole sketch of k values serves
-the estimate, which errs by 0.03 at k = 128; pairs up to ``SLACK`` below the
-threshold (five times that) are still verified. Sketches keep the upper 32 bits.
+the estimate. Its values are drawn from the union without replacement, so it errs
+by 0.03 at k = 128 for large unions, less for smaller ones, and not at all where the
+sketches hold both sets; pairs up to ``SIGMAS`` standard errors below the threshold
+are still verified. Sketches keep the upper 32 bits.
 
 First round: in each list the least document is the hub; pairs (hub, member) with
 many common entries are verified exactly and joined into components. Second
 round: lists that still hold several components compare the members of different
 components: size ratio, overlap of retained values, union-sketch estimate. Lists
-are cut into blocks, so a long one is many tasks, and only pairs that pass the
-estimate leave a block. These are verified exactly too. Verification reads the
+are cut into blocks, so a long one is many tasks. A pair is looked at in its first
+common list only, and leaves the block only if it passes the estimate. These are verified exactly too. Verification reads the
 whole texts again: each pair sends one set to its partner's (salted) group, in
 which one set at a time is held.
 
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from functools import partial
+from math import sqrt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +39,7 @@ from mvmap.llm import common, graph
 from mvmap.llm import text as tx
 
 RUN = 3
-SLACK = 16
+SIGMAS = 5.0
 BLOCK = 1024
 SALTS = 16
 
@@ -110,15 +113,19 @@ def _judge(batches, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
 
-def _block_pairs(batches, percent: int, k: int):
+def _block_pairs(batches, percent: int, k: int, listed: int):
     """Rows sorted by (key, bi, bj): pairs of a block that may reach the threshold.
     ``side`` tells a member of block bi (0) from one of bj (1); in bi = bj all meet."""
     import pyarrow as pa
 
+    t = percent / 100
+
     def meet(x, y, out):
-        (ra, ca, na, sa), (rb, cb, nb, sb) = x, y
+        (ra, ca, na, sa, before, _), (rb, cb, nb, sb, _, runs) = x, y
         if ca == cb or 100 * min(na, nb) < percent * max(na, nb):
             return
+        if any(run in runs for run in before):
+            return  # an earlier list of the two has them
         both = len(sa[0] & sb[0])
         # The union's sketch: all values up to the lesser of the two sketches' ends.
         end = min(sa[1][-1] if na > k else 1 << 32, sb[1][-1] if nb > k else 1 << 32)
@@ -126,8 +133,12 @@ def _block_pairs(batches, percent: int, k: int):
         if na <= k and nb <= k:
             if 100 * (both + 1) < percent * (union - 1):
                 return
-        elif 100 * both < (percent - SLACK) * union:
-            return
+        else:
+            # A pair at or above the threshold has a union of at most `most` shingles.
+            most = (na + nb) / (1 + t)
+            slack = SIGMAS * sqrt(t * (1 - t) / union * max(0.0, 1 - union / most))
+            if both + 1 < (t - slack) * union:
+                return
         out.add((min(ra, rb), max(ra, rb)))
 
     def flush(members, same, out):
@@ -142,13 +153,15 @@ def _block_pairs(batches, percent: int, k: int):
 
     group, members, out = None, ([], []), set()
     for batch in batches:
-        for key, bi, bj, side, rep, comp, n, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+        for key, at, bi, bj, side, rep, comp, n, sketch in zip(*(c.to_pylist() for c in batch.columns)):
             if (key, bi, bj) != group:
                 if group:
                     flush(members, group[1] == group[2], out)
                 group, members = (key, bi, bj), ([], [])
             values = [v & 0xFFFFFFFF for v in sketch]
-            members[side].append((rep, comp, n, (frozenset(values), values)))
+            head = values[:listed]
+            runs = list(zip(*(head[j:] for j in range(RUN))))
+            members[side].append((rep, comp, n, (frozenset(values), values), runs[:at], frozenset(runs)))
         if len(out) > 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
             out = set()
@@ -181,9 +194,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     reps = common.materialise(reps, "reps")
 
     runs = F.transform(F.sequence(F.lit(1), F.least(F.size("sketch"), F.lit(listed)) - (RUN - 1)), lambda i: F.xxhash64(*[F.element_at("sketch", i + j) for j in range(RUN)]))
-    keys = reps.filter(F.size("sketch") >= RUN).select("rep", "n", F.explode(runs).alias("key"))
+    keys = reps.filter(F.size("sketch") >= RUN).select("rep", "n", F.posexplode(runs).alias("at", "key"))
     lists = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).filter("m > 1")
-    multi = common.materialise(keys.join(lists, "key").select("key", "rep", "n", "hub"), "lists")
+    multi = common.materialise(keys.join(lists, "key").select("key", "at", "rep", "n", "hub"), "lists")
 
     # First round: hubs.
     shared = multi.filter("rep <> hub").groupBy(F.col("hub").alias("a"), F.col("rep").alias("b"), "n").count()
@@ -192,15 +205,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     comp = graph.components(links)
 
     # Second round: what still meets in a list across components.
-    placed = multi.join(comp, multi.rep == comp.node, "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    placed = multi.join(comp, multi.rep == comp.node, "left").select("key", "at", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
     placed = common.materialise(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
     g = F.ceil(F.col("m") / BLOCK).cast("int")
     held = placed.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("rep"), g).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
     held = held.join(reps.select(F.col("rep"), "sketch"), "rep")
-    blocks = held.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "n", "sketch")
+    blocks = held.select("key", "at", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "n", "sketch")
     blocks = blocks.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    more = common.map_arrow(blocks, partial(_block_pairs, percent=percent, k=k), "a bigint, b bigint").distinct()
+    more = common.map_arrow(blocks, partial(_block_pairs, percent=percent, k=k, listed=listed), "a bigint, b bigint").distinct()
     more = common.materialise(more, "pairs")
     links = common.materialise(links.union(verify(source, more, width, percent)), "links")
     comp = graph.components(links)
