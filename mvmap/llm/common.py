@@ -7,6 +7,7 @@ and never a lost block.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import tempfile
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _COUNTER = itertools.count()
+#: Columns of word hashes repeat a file's vocabulary, so their dictionary may be larger than by default.
+DICTIONARY_BYTES = 4 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -36,8 +39,20 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     """Write ``df`` once to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).option("parquet.dictionary.page.size", DICTIONARY_BYTES).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables made by ``materialise`` that no frame reads any more, and let
+    Spark's cleaner see that their shuffles are unused."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    frames[0].sparkSession._jvm.System.gc()
 
 
 def purge(spark: SparkSession) -> bool:

@@ -6,7 +6,8 @@ first, place in the document), has a Jaccard similarity of ``percent`` or more
 with it, whether or not that one stays. Lines with fewer than ``min_words``
 distinct words are neither removed nor compared.
 
-Words are counted over all documents into a table of ``2 ** RARITY_BITS`` hashed
+Texts are cut into words once; the lines' word hashes are written. The lines that
+hold a word are counted over all documents in a table of ``2 ** RARITY_BITS`` hashed
 counters (a fixed size, so it is broadcast); a line's words stand in ascending
 order of (counter, hash), one order for all lines. Lines of equal sets collapse to
 the first. Two different sets above the threshold share a word of their prefixes
@@ -32,36 +33,40 @@ from mvmap.llm import common
 from mvmap.llm import text as tx
 
 RARITY_BITS = 20
-LINES = "oid bigint, dkey bigint, line int, again boolean, n int, s1 bigint, s2 bigint, sig bigint, prefix array<bigint>"
+LINES = "oid bigint, dkey bigint, line int, again boolean, n int, s1 bigint, s2 bigint, sig bigint, words array<bigint>"
 
 
-def _count(batches):
-    """Counters of one task, those above zero."""
+def _lines(batches, min_words: int):
+    """Lines of at least min_words distinct words, with their word hashes ascending."""
     import numpy as np
     import pyarrow as pa
 
-    total = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+    names = [c.split()[0] for c in LINES.split(", ")]
     for batch in batches:
-        for t in batch.column(0):
-            h = tx.hasher().array(tx.plain_words(t.as_py()))
-            np.add.at(total, (h >> np.uint64(64 - RARITY_BITS)).astype(np.int64), 1)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
-
-
-def rarity(rows: DataFrame) -> bytes:
-    """The counters over all documents, as 2 ** RARITY_BITS saturated uint16."""
-    import numpy as np
-
-    sums = common.map_arrow(rows.select("text"), _count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << RARITY_BITS, dtype="<u2")
-    out[sums["slot"].to_numpy(dtype=np.int64)] = np.minimum(sums["n"].to_numpy(dtype=np.int64), 0xFFFF)
-    return out.tobytes()
+        got: list[list] = [[] for _ in range(9)]
+        for oid, dkey, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            numbers, sizes, starts, h = line_sets(t.as_py(), min_words)
+            if not len(numbers):
+                continue
+            s1, s2 = set_keys(starts, h)
+            again = np.ones(len(s1), dtype=bool)
+            again[np.unique(s1, return_index=True)[1]] = False
+            sig = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), starts)
+            words = h[np.repeat(~again, sizes)]
+            for k, v in enumerate((np.full(len(numbers), oid), np.full(len(numbers), dkey), numbers, again, sizes, s1, s2, sig.view(np.int64), (np.where(again, 0, sizes), words.view(np.int64)))):
+                got[k].append(v)
+        if not got[0]:
+            continue
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        arrays = [pa.array(np.concatenate(g), t) for g, t in zip(got[:8], types)]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([x for x, _ in got[8]]))]).astype(np.int32)
+        arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([w for _, w in got[8]]))))
+        yield pa.RecordBatch.from_arrays(arrays, names)
 
 
-def line_sets(text: str | None, counters, min_words: int):
+def line_sets(text: str | None, min_words: int):
     """Per line of at least min_words distinct words: (line numbers, set sizes,
-    starts into the word hashes, word hashes rarest first within each line)."""
+    starts into the word hashes, word hashes ascending within each line)."""
     import numpy as np
 
     lines = [tx.plain_words(x) for x in (text or "").split("\n")]
@@ -72,85 +77,99 @@ def line_sets(text: str | None, counters, min_words: int):
         return none, none, none, np.empty(0, dtype=np.uint64)
     h = tx.hasher().array(words)
     line = np.repeat(np.arange(len(lines)), counts)
-    rank = counters[(h >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
-    order = np.lexsort((h, rank, line))
+    order = np.lexsort((h, line))
     h, line = h[order], line[order]
     fresh = np.ones(len(h), dtype=bool)
     fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
     h, line = h[fresh], line[fresh]
-    numbers, starts, sizes = np.unique(line, return_index=True, return_counts=True)
-    if (sizes < min_words).any():
-        big = sizes >= min_words
-        h = h[np.repeat(big, sizes)]
-        numbers, sizes = numbers[big], sizes[big]
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else none
-    return numbers, sizes, starts.astype(np.int64), h
+    sizes = np.bincount(line, minlength=len(lines))
+    big = sizes >= min_words
+    h = h[big[line]]
+    numbers, sizes = np.flatnonzero(big), sizes[big]
+    return numbers, sizes, np.cumsum(sizes) - sizes, h
 
 
-def set_keys(starts, h):
-    """Two order-free 64-bit hashes of each line's set."""
+def _flat(column):
+    """Values and lengths of a list column."""
     import numpy as np
 
-    if not len(starts):
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    a = np.add.reduceat(tx.mix(h), starts)
-    b = np.add.reduceat(tx.mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)), starts)
-    return tx.mix(a).view(np.int64), tx.mix(b).view(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _slots(h):
+    import numpy as np
 
+    return (h >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
 
-def _lines(batches, counters: bytes, percent: int, min_words: int):
+
+def _count(batches):
+    """Counters of one task, those above zero."""
     import numpy as np
     import pyarrow as pa
 
-    counters = np.frombuffer(counters, dtype="<u2")
-    names = [c.split()[0] for c in LINES.split(", ")]
+    total = np.zeros(1 << RARITY_BITS, dtype=np.int64)
     for batch in batches:
-        got: list[list] = [[] for _ in range(9)]
-        for oid, dkey, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            numbers, sizes, starts, h = line_sets(t.as_py(), counters, min_words)
-            if not len(numbers):
-                continue
-            s1, s2 = set_keys(starts, h)
-            again = np.ones(len(s1), dtype=bool)
-            again[np.unique(s1, return_index=True)[1]] = False
-            sig = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), starts)
-            lengths = sizes - (percent * sizes + 99) // 100 + 1
-            place = np.arange(len(h)) - np.repeat(starts, sizes)
-            # A word counted once in all documents stands in no other line.
-            rare = (place < np.repeat(lengths, sizes)) & (counters[(h >> np.uint64(64 - RARITY_BITS)).astype(np.int64)] > 1)
-            prefix = place[rare] << 32 | (h[rare] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            lengths = np.add.reduceat(rare.astype(np.int64), starts)
-            for k, v in enumerate((np.full(len(numbers), oid), np.full(len(numbers), dkey), numbers, again, sizes, s1, s2, sig.view(np.int64), (lengths, prefix))):
-                got[k].append(v)
-        if not got[0]:
-            continue
-        cols = [np.concatenate(g) for g in got[:8]]
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate([x for x, _ in got[8]]))]).astype(np.int32)
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        arrays = [pa.array(c, t) for c, t in zip(cols, types)]
-        arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([p for _, p in got[8]]))))
-        yield pa.RecordBatch.from_arrays(arrays, names)
+        total += np.bincount(_slots(_flat(batch.column(0))[0]), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
 
 
-def _wanted(batches, counters: bytes, min_words: int, docs: bytes, sets: bytes, set_bits: int):
-    """s1, words of the lines whose document and set the filters may hold."""
+def rarity(lines: DataFrame) -> bytes:
+    """The number of lines that hold a word of each slot, over all documents, as
+    2 ** RARITY_BITS saturated uint16. At most one row per slot reaches the driver."""
+    import numpy as np
+
+    sums = common.map_arrow(lines.select("words"), _count, "slot int, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit(0xFFFF)).cast("int").alias("n")).toPandas()
+    out = np.zeros(1 << RARITY_BITS, dtype="<u2")
+    out[sums["slot"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
+    return out.tobytes()
+
+
+def _prefixes(batches, counters: bytes, percent: int):
+    """The columns before ``words``, then each line's prefix as pos << 32 | word."""
     import numpy as np
     import pyarrow as pa
 
     counters = np.frombuffer(counters, dtype="<u2")
-    docs, sets = np.frombuffer(docs, dtype="<u8"), np.frombuffer(sets, dtype="<u8")
+    low = np.uint64(0xFFFFFFFF)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1 << 15):
+            batch = whole.slice(at, 1 << 15)
+            h, sizes = _flat(batch.column(batch.num_columns - 1))
+            row = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+            # Row, count and hash in one number: one sort puts every line's words rarest first.
+            key = row << np.uint64(48) | counters[_slots(h)].astype(np.uint64) << np.uint64(32) | h & low
+            key.sort()
+            place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            lengths = sizes - (percent * sizes + 99) // 100 + 1
+            # A word counted in one line of all documents stands in no other.
+            ok = (place < np.repeat(lengths, sizes)) & ((key >> np.uint64(32) & np.uint64(0xFFFF)) > 1)
+            prefix = place[ok] << 32 | (key[ok] & low).astype(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[ok].astype(np.int64), minlength=len(sizes)))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*batch.schema.names[:-1], "prefix"])
+
+
+def set_keys(starts, h):
+    """Two order-free 64-bit hashes of each line's set."""
+    import numpy as np
+
+    if not len(starts):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    a = np.add.reduceat(tx.mix(h), starts)
+    b = np.add.reduceat(tx.mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)), starts)
+    return tx.mix(a).view(np.int64), tx.mix(b).view(np.int64)
+
+
+def _wanted(batches, sets: bytes, set_bits: int):
+    """s1, words of the lines whose set the filter may hold."""
+    import numpy as np
+    import pyarrow as pa
+
+    sets = np.frombuffer(sets, dtype="<u8")
     for batch in batches:
-        slot = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        hit = np.flatnonzero(docs[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1))
-        keys, words = [], []
-        for t in batch.take(pa.array(hit)).column(1):
-            _, sizes, starts, h = line_sets(t.as_py(), counters, min_words)
-            s1, _ = set_keys(starts, h)
-            at = (s1 >> 20) & (set_bits - 1)
-            for i in np.flatnonzero(sets[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)):
-                keys.append(int(s1[i]))
-                words.append(h[starts[i]:starts[i] + sizes[i]].view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["s1", "words"])
+        at = (batch.column(0).to_numpy(zero_copy_only=False) >> 20) & (set_bits - 1)
+        yield batch.filter(pa.array((sets[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
 
 
 def _set_filter(keys: DataFrame, column: str) -> tuple[bytes, int]:
@@ -180,49 +199,51 @@ def _passes(percent: int) -> Column:
     return earlier & length & place & sign & (x("s1") != y("s1"))
 
 
-def _verify(rows: DataFrame, pairs: DataFrame, counters: bytes, percent: int, min_words: int) -> DataFrame:
+def _verify(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """s1 of the sets with a verified earlier match."""
-    docs_bits, n_doc = common.bit_filter(pairs.select(F.col("oid").alias("id")).union(pairs.select("y_oid")).distinct(), "id")
-    set_bits, n_set = _set_filter(pairs.select("s1").union(pairs.select("y_s1")).distinct(), "s1")
-    fn = partial(_wanted, counters=counters, min_words=min_words, docs=docs_bits, sets=set_bits, set_bits=n_set)
-    slots = rows.select(F.pmod(F.xxhash64("oid"), F.lit(n_doc)).alias("slot"), "text")
-    sets = common.map_arrow(slots, fn, "s1 bigint, words array<bigint>")
+    bits, n_bits = _set_filter(pairs.select("s1").union(pairs.select("y_s1")).distinct(), "s1")
+    sets = common.map_arrow(lines.filter("not again").select("s1", "words"), partial(_wanted, sets=bits, set_bits=n_bits), "s1 bigint, words array<bigint>")
     sets = common.materialise(sets.groupBy("s1").agg(F.first("words").alias("words")), "line-sets")
-    ask = pairs.select("s1", "y_s1").distinct()
-    met = ask.join(sets, "s1").join(sets.select(F.col("s1").alias("y_s1"), F.col("words").alias("y_words")), "y_s1")
+    met = pairs.join(sets, "s1").join(sets.select(F.col("s1").alias("y_s1"), F.col("words").alias("y_words")), "y_s1")
     shared = F.size(F.array_intersect("words", "y_words"))
     true = met.filter(shared * (100 + percent) >= (F.size("words") + F.size("y_words")) * percent)
-    return common.materialise(true.select("s1").distinct(), "matched")
+    out = common.materialise(true.select("s1").distinct(), "matched")
+    common.release(sets)
+    return out
 
 
 def removals(docs: DataFrame, percent: int = 80, min_words: int = 4) -> DataFrame:
     """dkey, lines: the line numbers (from 0) to remove, one row per distinct
     (doc_id, text) that loses any; dkey is ``doc_key()``."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("oid"), doc_key().alias("dkey"), F.col("text").cast("string").alias("text"))
-    counters = rarity(rows)
-    lines = common.materialise(common.map_arrow(rows, partial(_lines, counters=counters, percent=percent, min_words=min_words), LINES), "lines")
+    lines = common.materialise(common.map_arrow(rows, partial(_lines, min_words=min_words), LINES), "lines")
+    fresh = lines.filter("not again")
     # Lines of one set agree in size, signature and prefix; the least (oid, line) is the first.
+    given = fresh.select("s1", "s2", "oid", "line", "n", "sig", "words")
+    given = common.map_arrow(given, partial(_prefixes, counters=rarity(fresh), percent=percent), "s1 bigint, s2 bigint, oid bigint, line int, n int, sig bigint, prefix array<bigint>")
     first = F.min(F.struct("oid", "line", "n", "sig", "prefix")).alias("first")
-    reps = common.materialise(lines.filter("not again").groupBy("s1", "s2").agg(first).select("s1", "s2", "first.*"), "reps")
+    reps = common.materialise(given.groupBy("s1", "s2").agg(first).select("s1", "s2", "first.*"), "reps")
     entry = F.col("entry")
     index = reps.select("oid", "line", "n", "s1", "sig", F.explode("prefix").alias("entry"))
-    index = index.select("oid", "line", "n", "s1", "sig", F.shiftright(entry, 32).cast("int").alias("pos"), entry.bitwiseAND(F.lit(0xFFFFFFFF)).alias("tok"))
+    index = index.select("oid", "line", "n", "s1", "sig", F.shiftright(entry, 32).cast("int").alias("pos"), (entry.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int").alias("tok"))
     shared = index.groupBy("tok").agg(F.min("oid").alias("hub"), F.count("*").alias("m")).filter("m > 1")
     index = common.materialise(index.join(shared, "tok").drop("m"), "index")
 
     y = index.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("oid", "line", "n", "s1", "sig", "pos")], "hub")
-    columns = ["oid", "s1", "y_oid", "y_s1"]
     hubs = y.filter("y_oid = hub").drop("hub")
-    near = common.materialise(index.drop("hub").join(hubs, "tok").filter(_passes(percent)).select(columns).distinct(), "line-pairs")
-    matched = _verify(rows, near, counters, percent, min_words)
+    near = common.materialise(index.drop("hub").join(hubs, "tok").filter(_passes(percent)).select("s1", "y_s1").distinct(), "line-pairs")
+    matched = _verify(lines, near, percent)
     left = index.drop("hub").join(matched, "s1", "left_anti")
-    rest = left.join(y.filter("y_oid <> hub").drop("hub"), "tok").filter(_passes(percent)).select(columns).distinct()
+    rest = left.join(y.filter("y_oid <> hub").drop("hub"), "tok").filter(_passes(percent)).select("s1", "y_s1").distinct()
     rest = common.materialise(rest, "line-pairs")
-    matched = matched.union(_verify(rows, rest, counters, percent, min_words)).withColumn("hit", F.lit(True))
+    common.release(near, index)
+    matched = matched.union(_verify(lines, rest, percent)).withColumn("hit", F.lit(True))
 
     told = lines.select("dkey", "oid", "line", "again", "s1", "s2").join(reps.select("s1", "s2", F.col("oid").alias("first_oid")).join(matched, "s1", "left"), ["s1", "s2"])
     gone = told.filter(F.col("again") | (F.col("oid") != F.col("first_oid")) | F.col("hit"))
-    return gone.groupBy("dkey").agg(F.collect_set("line").alias("lines"))
+    out = common.materialise(gone.groupBy("dkey").agg(F.collect_set("line").alias("lines")), "removals")
+    common.release(rest, reps, lines)
+    return out
 
 
 def doc_key() -> Column:
@@ -231,7 +252,7 @@ def doc_key() -> Column:
 
 def _cleaned(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
     """All columns, with ``text`` cleaned and ``_lines`` the removed numbers."""
-    gone = common.materialise(removals(docs, percent, min_words), "removals").select(F.col("dkey").alias("_key"), F.col("lines").alias("_lines"))
+    gone = removals(docs, percent, min_words).select(F.col("dkey").alias("_key"), F.col("lines").alias("_lines"))
     joined = docs.withColumn("_key", doc_key()).join(gone, "_key", "left").drop("_key")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lines", i)), "\n")
     return joined.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept))
