@@ -111,10 +111,10 @@ def bit_filter(keys: DataFrame, column: str, min_bits: int = 1 << 16, max_bits:
         keys.select(slot.alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-        .toPandas()
+        .toArrow()
     )
     import numpy as np
 
     out = np.zeros(bits // 64, dtype="<i8")
-    out[words["word"].to_numpy(dtype="int64")] = words["bits"].to_numpy(dtype="int64")
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.tobytes(), bits

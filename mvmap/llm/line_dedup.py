@@ -119,9 +119,9 @@ def rarity(lines: DataFrame) -> bytes:
     2 ** RARITY_BITS saturated uint16. At most one row per slot reaches the driver."""
     import numpy as np
 
-    sums = common.map_arrow(lines.select("words"), _count, "slot int, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit(0xFFFF)).cast("int").alias("n")).toPandas()
+    sums = common.map_arrow(lines.select("words"), _count, "slot int, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit(0xFFFF)).cast("int").alias("n")).toArrow()
     out = np.zeros(1 << RARITY_BITS, dtype="<u2")
-    out[sums["slot"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.int64)
+    out[sums["slot"].to_numpy()] = sums["n"].to_numpy()
     return out.tobytes()
 
 
@@ -180,9 +180,9 @@ def _set_filter(keys: DataFrame, column: str) -> tuple[bytes, int]:
     while bits < 16 * n and bits < 1 << 27:
         bits *= 2
     slot = F.shiftright(F.col(column), 20).bitwiseAND(F.lit(bits - 1).cast("bigint"))
-    words = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toPandas()
+    words = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(bits // 64, dtype="<i8")
-    out[words["word"].to_numpy(dtype="int64")] = words["bits"].to_numpy(dtype="int64")
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.tobytes(), bits
 
 
