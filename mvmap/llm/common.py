@@ -51,8 +51,13 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    sweep(frames[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which shuffles no frame uses any more."""
     gc.collect()
-    frames[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def purge(spark: SparkSession) -> bool:

@@ -15,7 +15,9 @@ the first. Two different sets above the threshold share a word of their prefixes
 filter, the positional filter, and a 64-bit signature whose missing bits bound the
 overlap. Only pairs that pass leave the join, and the Jaccard index of the whole
 sets verifies them. As one earlier match is enough, lines first meet the first
-document of each prefix word only; the lines that this leaves meet all others.
+document of each prefix word only (the words of one of ``2 ** RARITY_BITS`` slots have
+one such document); the lines that this leaves meet all others. Both joins take the
+words in ``SLICES`` slices, so that the exploded index never lies on disk whole.
 
 Null and empty texts have no lines to remove. Rows that repeat a doc_id and text
 get the same decisions and do not remove each other's lines. An empty table gives
@@ -24,7 +26,7 @@ an empty result. Other columns stay, except that ``n_chars`` follows the text.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,9 @@ from mvmap.llm import common
 from mvmap.llm import text as tx
 
 RARITY_BITS = 20
+#: Slices of the prefix words that are joined one after another.
+SLICES = 4
+ENTRIES = "tok int, s1 bigint, oid bigint, line int, n int, sig bigint, pos int"
 LINES = "oid bigint, dkey bigint, line int, again boolean, n int, s1 bigint, s2 bigint, sig bigint, words array<bigint>"
 
 
@@ -186,6 +191,66 @@ def _set_filter(keys: DataFrame, column: str) -> tuple[bytes, int]:
     return out.tobytes(), bits
 
 
+def _hubs(reps: DataFrame) -> tuple[bytes, bytes]:
+    """Per slot of prefix words: the first document with one, as int64, and whether
+    it holds several entries. At most 2 ** RARITY_BITS rows reach the driver."""
+    import numpy as np
+
+    entry = reps.select("oid", F.explode("prefix").alias("entry"))
+    slot = F.shiftright(F.col("entry").bitwiseAND(F.lit(0xFFFFFFFF)), 32 - RARITY_BITS).cast("int")
+    got = entry.groupBy(slot.alias("slot")).agg(F.min("oid").alias("hub"), (F.count("*") > 1).alias("many")).toArrow()
+    hub, many = np.zeros(1 << RARITY_BITS, dtype="<i8"), np.zeros(1 << RARITY_BITS, dtype=bool)
+    at = got["slot"].to_numpy()
+    hub[at], many[at] = got["hub"].to_numpy(), got["many"].to_numpy()
+    return hub.tobytes(), many.tobytes()
+
+
+def _entries(batches, hubs, which: str, part: int):
+    """The index rows of one slice of the prefix words: of all lines, of each slot's
+    hub document, or of the others. A word whose slot holds one entry has no partner."""
+    import numpy as np
+    import pyarrow as pa
+
+    hub, many = np.frombuffer(hubs.value[0], dtype="<i8"), np.frombuffer(hubs.value[1], dtype=bool)
+    low = np.uint64(0xFFFFFFFF)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1 << 15):
+            batch = whole.slice(at, 1 << 15)
+            entry, sizes = _flat(batch.column(5))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            word = (entry & low).astype(np.int64)
+            slot = word >> (32 - RARITY_BITS)
+            ok = many[slot] & (word % SLICES == part)
+            if which != "all":
+                ok &= (batch.column(1).to_numpy()[row] == hub[slot]) == (which == "hub")
+            tok, pos = word[ok] - (1 << 31), entry[ok] >> np.uint64(32)
+            rows = pa.array(row[ok])
+            columns = [pa.array(tok.astype(np.int32)), *(c.take(rows) for c in batch.columns[:5]), pa.array(pos.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ENTRIES.split(", ")])
+
+
+def _pairs(xs: DataFrame, x_which: str, ys: DataFrame, y_which: str, hubs, percent: int) -> DataFrame:
+    """s1, y_s1 of the pairs that pass the filters, written. The words are taken in
+    SLICES slices of equal share, one after another, so that the index is never on
+    disk as a whole."""
+
+    def side(reps, which, part):
+        given = reps.select("s1", "oid", "line", "n", "sig", "prefix")
+        return common.map_arrow(given, partial(_entries, hubs=hubs, which=which, part=part), ENTRIES)
+
+    found = []
+    for part in range(SLICES):
+        x, y = side(xs, x_which, part), side(ys, y_which, part)
+        y = y.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("oid", "line", "n", "s1", "sig", "pos")])
+        met = x.join(y, "tok").filter(_passes(percent)).select("s1", "y_s1").distinct()
+        found.append(common.materialise(met, "slice-pairs"))
+        del x, y, met
+        common.sweep(xs.sparkSession)
+    out = common.materialise(reduce(DataFrame.union, found).distinct(), "line-pairs")
+    common.release(*found)
+    return out
+
+
 def _passes(percent: int) -> Column:
     """Length, positional and signature filters between index rows x and y."""
     x, y = F.col, lambda c: F.col(f"y_{c}")
@@ -216,6 +281,7 @@ def removals(docs: DataFrame, percent: int = 80, min_words: int = 4) -> DataFram
     """dkey, lines: the line numbers (from 0) to remove, one row per distinct
     (doc_id, text) that loses any; dkey is ``doc_key()``."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("oid"), doc_key().alias("dkey"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
     lines = common.materialise(common.map_arrow(rows, partial(_lines, min_words=min_words), LINES), "lines")
     fresh = lines.filter("not again")
     # Lines of one set agree in size, signature and prefix; the least (oid, line) is the first.
@@ -223,26 +289,20 @@ def removals(docs: DataFrame, percent: int = 80, min_words: int = 4) -> DataFram
     given = common.map_arrow(given, partial(_prefixes, counters=rarity(fresh), percent=percent), "s1 bigint, s2 bigint, oid bigint, line int, n int, sig bigint, prefix array<bigint>")
     first = F.min(F.struct("oid", "line", "n", "sig", "prefix")).alias("first")
     reps = common.materialise(given.groupBy("s1", "s2").agg(first).select("s1", "s2", "first.*"), "reps")
-    entry = F.col("entry")
-    index = reps.select("oid", "line", "n", "s1", "sig", F.explode("prefix").alias("entry"))
-    index = index.select("oid", "line", "n", "s1", "sig", F.shiftright(entry, 32).cast("int").alias("pos"), (entry.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int").alias("tok"))
-    shared = index.groupBy("tok").agg(F.min("oid").alias("hub"), F.count("*").alias("m")).filter("m > 1")
-    index = common.materialise(index.join(shared, "tok").drop("m"), "index")
-
-    y = index.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("oid", "line", "n", "s1", "sig", "pos")], "hub")
-    hubs = y.filter("y_oid = hub").drop("hub")
-    near = common.materialise(index.drop("hub").join(hubs, "tok").filter(_passes(percent)).select("s1", "y_s1").distinct(), "line-pairs")
+    hubs = spark.sparkContext.broadcast(_hubs(reps))
+
+    near = _pairs(reps, "all", reps, "hub", hubs, percent)
     matched = _verify(lines, near, percent)
-    left = index.drop("hub").join(matched, "s1", "left_anti")
-    rest = left.join(y.filter("y_oid <> hub").drop("hub"), "tok").filter(_passes(percent)).select("s1", "y_s1").distinct()
-    rest = common.materialise(rest, "line-pairs")
-    common.release(near, index)
+    left = common.materialise(reps.join(matched, "s1", "left_anti"), "left")
+    rest = _pairs(left, "all", reps, "other", hubs, percent)
+    common.release(near, left)
     matched = matched.union(_verify(lines, rest, percent)).withColumn("hit", F.lit(True))
 
     told = lines.select("dkey", "oid", "line", "again", "s1", "s2").join(reps.select("s1", "s2", F.col("oid").alias("first_oid")).join(matched, "s1", "left"), ["s1", "s2"])
     gone = told.filter(F.col("again") | (F.col("oid") != F.col("first_oid")) | F.col("hit"))
     out = common.materialise(gone.groupBy("dkey").agg(F.collect_set("line").alias("lines")), "removals")
     common.release(rest, reps, lines)
+    hubs.destroy()
     return out
 
 
