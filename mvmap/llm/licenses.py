@@ -120,14 +120,12 @@ def _verified(w: Column, candidates: Column) -> Column:
     return F.filter(F.transform(candidates, judge), lambda x: x.isNotNull())
 
 
-def scan(docs: DataFrame, top: int = 8, min_votes: int = 2, rare_share: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, top: int = 8, min_votes: int = 2) -> DataFrame:
     """doc_id, n_words, places (array of base places), found (array of verified
-    templates). Words in more than ``rare_share`` of all documents are never
-    rare and vote for nothing."""
+    templates). Words of any document frequency vote; frequent ones rank last."""
     vocabulary = sorted({x for _, notice, _ in TEMPLATES for x in notice.split()})
     df = document_frequency(docs, vocabulary)
-    n = docs.count()
-    rare = sorted((x for x in vocabulary if df.get(x, 0) and df[x] <= max(1, rare_share * n)), key=lambda x: (df[x], x))
+    rare = sorted((x for x in vocabulary if df.get(x, 0)), key=lambda x: (df[x], x))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("w", words(F.col("text")))
     rows = rows.withColumn("top", F.slice(F.array_intersect(_strings(rare), F.col("w")), 1, top))

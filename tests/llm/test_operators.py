@@ -162,6 +162,14 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_do_not_depend_on_other_files(spark):
+    """One notice in three of five files, then in all."""
+    mit = "Released under the MIT License."
+    for texts in ([mit, mit, mit, "some prose", "other prose"], [mit] * 5):
+        got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+        assert [[(f.label, f.share) for f in got[i][0].found] for i in range(5)] == [[("mit", 1.0)] if t == mit else [] for t in texts]
+
+
 def test_quality_rules(docs, empty):
     got = by_id(quality_rules.base_counts(docs))
     import re
