@@ -1,13 +1,13 @@
-"""Operator 5: licence scans over a positional rare-token index, native expressions only.
+"""Operator 5: licence scans over a positional token index, native expressions only.
 
 Templates are notices of public licences, tokenised once; the index maps each of
-their words to (template, position). Document frequencies of the template words
-are counted over all documents. Each file looks up its ``top`` template words of
-highest inverse document frequency; every occurrence votes for the relative
-position (file position minus template position) of each posting. Positions that
-``min_votes`` distinct words agree on are candidates; a candidate counts if one of
-its template's mandatory key phrases stands in the file where the template lies.
-``score`` is the largest share of a verified template's words found in place.
+their words to (template, position). A file is scanned for the templates of which
+a mandatory key phrase stands in it, all of them, whatever the other files hold.
+Every occurrence of their words votes for the relative position (file position
+minus template position) of each posting. Positions that ``min_votes`` distinct
+words agree on are candidates; a candidate counts if one of its template's key
+phrases stands in the file where the template lies. ``score`` is the largest share
+of a verified template's words found in place.
 
 Beside this, base phrases are found word by word: all their places are counted.
 
@@ -18,6 +18,8 @@ rows are scanned each. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,13 +58,6 @@ def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def document_frequency(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Documents that hold each vocabulary word; at most one row per word returns."""
-    found = F.array_intersect(words(F.coalesce(F.col("text").cast("string"), F.lit(""))), _strings(vocabulary))
-    rows = docs.select(F.explode(found).alias("word")).groupBy("word").count().collect()
-    return {r["word"]: r["count"] for r in rows}
-
-
 def _base_places(w: Column) -> Column:
     """array<struct<at, label>> of every place where a base phrase starts."""
     ends = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.element_at(w, i) == "license")
@@ -88,19 +83,33 @@ def _postings() -> Column:
     return F.create_map(*cells)
 
 
-def _candidates(w: Column, top: Column, postings: Column, min_votes: int) -> Column:
-    """array<struct<tmpl, off>> that min_votes distinct top words agree on."""
-    hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda e: F.array_contains(top, e["word"]))
-    votes = F.array_distinct(F.flatten(F.transform(hits, lambda e: F.transform(
-        F.element_at(postings, e["word"]), lambda p: F.struct(p["tmpl"].alias("tmpl"), (e["at"] - p["pos"]).alias("off"), e["word"].alias("word"))))))
+def _keyed(text: Column) -> Column:
+    """Numbers of the templates with a key phrase in text, words between single spaces."""
+    held = [reduce(Column.__or__, [F.contains(text, F.lit(f" {k} ")) for k in keys]) for _, _, keys in TEMPLATES]
+    return F.filter(F.array(*[F.when(h, F.lit(t)) for t, h in enumerate(held)]), lambda t: t.isNotNull())
+
+
+def _candidates(w: Column, keyed: Column, postings: Column, min_votes: int) -> Column:
+    """array<struct<tmpl, off>> of the keyed templates that min_votes distinct words agree on."""
+    notices = F.array(*[_strings(sorted(set(t[1].split()))) for t in TEMPLATES])
+    vocabulary = F.array_distinct(F.flatten(F.transform(keyed, lambda t: F.element_at(notices, t + 1))))
+
+    def votes(vocabulary):
+        hits = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda e: F.array_contains(vocabulary, e["word"]))
+        cast = lambda e: F.filter(F.element_at(postings, e["word"]), lambda p: F.array_contains(keyed, p["tmpl"]))
+        return F.array_sort(F.flatten(F.transform(hits, lambda e: F.transform(
+            cast(e), lambda p: F.struct(p["tmpl"].alias("tmpl"), (e["at"] - p["pos"]).alias("off"), e["word"].alias("word"))))))
+
+    def once(s):
+        return F.filter(s, lambda e, i: F.coalesce(F.get(s, i - 1) != e, F.lit(True)))
 
     def agreed(s):
-        # Sorted by (tmpl, off, word): min_votes distinct words agree where the entry min_votes - 1 back is of the same place.
-        same = lambda a, b: (a["tmpl"] == b["tmpl"]) & (a["off"] == b["off"])
-        full = F.filter(s, lambda e, i: F.coalesce(same(F.get(s, i - (min_votes - 1)), e), F.lit(False)))
-        return F.array_distinct(F.transform(full, lambda e: F.struct(e["tmpl"].alias("tmpl"), e["off"].alias("off"))))
+        # Sorted by (tmpl, off, word), each once: a place's entry number min_votes stands for it.
+        same = lambda a, b: F.coalesce((a["tmpl"] == b["tmpl"]) & (a["off"] == b["off"]), F.lit(False))
+        full = F.filter(s, lambda e, i: same(F.get(s, i - (min_votes - 1)), e) & ~same(F.get(s, i - min_votes), e))
+        return F.transform(full, lambda e: F.struct(e["tmpl"].alias("tmpl"), e["off"].alias("off")))
 
-    return let(F.array_sort(votes), agreed)
+    return let(let(let(vocabulary, votes), once), agreed)
 
 
 def _verified(w: Column, candidates: Column) -> Column:
@@ -120,20 +129,18 @@ def _verified(w: Column, candidates: Column) -> Column:
     return F.filter(F.transform(candidates, judge), lambda x: x.isNotNull())
 
 
-def scan(docs: DataFrame, top: int = 8, min_votes: int = 2) -> DataFrame:
+def scan(docs: DataFrame, min_votes: int = 2) -> DataFrame:
     """doc_id, n_words, places (array of base places), found (array of verified
-    templates). Words of any document frequency vote; frequent ones rank last."""
-    vocabulary = sorted({x for _, notice, _ in TEMPLATES for x in notice.split()})
-    df = document_frequency(docs, vocabulary)
-    rare = sorted((x for x in vocabulary if df.get(x, 0)), key=lambda x: (df[x], x))
+    templates)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("w", words(F.col("text")))
-    rows = rows.withColumn("top", F.slice(F.array_intersect(_strings(rare), F.col("w")), 1, top))
+    rows = rows.withColumn("plain", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
+    rows = rows.withColumn("keyed", _keyed(F.col("plain")))
     no_places = F.array().cast("array<struct<at:bigint,label:string>>")
     no_found = F.array().cast("array<struct<label:string,share:double>>")
     w = F.col("w")
     rows = rows.withColumn("places", F.when(F.array_contains(w, "license"), _base_places(w)).otherwise(no_places))
-    rows = rows.withColumn("cand", F.when(F.size("top") >= min_votes, _candidates(w, F.col("top"), _postings(), min_votes)))
+    rows = rows.withColumn("cand", F.when(F.size("keyed") > 0, _candidates(w, F.col("keyed"), _postings(), min_votes)))
     rows = rows.withColumn("found", F.when(F.size("cand") > 0, _verified(w, F.col("cand"))).otherwise(no_found))
     return rows.select("doc_id", F.size("w").cast("bigint").alias("n_words"), "places", "found")
 

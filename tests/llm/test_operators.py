@@ -170,6 +170,17 @@ def test_licenses_do_not_depend_on_other_files(spark):
         assert [[(f.label, f.share) for f in got[i][0].found] for i in range(5)] == [[("mit", 1.0)] if t == mit else [] for t in texts]
 
 
+def test_licenses_finds_every_notice(spark):
+    """Several notices in one file, amid all template words."""
+    short = [t[1] for t in licenses.TEMPLATES]
+    noise = " ".join(sorted({w for t in short for w in t.split()}))
+    mit, nc = short[1], "licensed under cc by nc 4 0"
+    texts = [f"{mit} {nc}", f"{short[9]} {short[2]} {nc}", f"{short[5]} {nc}", f"{noise} {' '.join(short)} {noise}", noise]
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    found = [{f.label for f in got[i][0].found} for i in range(5)]
+    assert found == [{"mit", "cc-by-nc-4.0"}, {"bsd", "apache-2.0", "cc-by-nc-4.0"}, {"gpl", "cc-by-nc-4.0"}, {t[0] for t in licenses.TEMPLATES}, set()]
+
+
 def test_quality_rules(docs, empty):
     got = by_id(quality_rules.base_counts(docs))
     import re
