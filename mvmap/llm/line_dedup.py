@@ -6,6 +6,15 @@ first, place in the document), has a Jaccard similarity of ``percent`` or more
 with it, whether or not that one stays. Lines with fewer than ``min_words``
 distinct words are neither removed nor compared.
 
+Passages repeated inside long lines: texts of ``LONG`` words or more are also cut
+into units, at words whose hash is the least of ``REACH`` words on either side and
+at the ends of lines of ``LONG`` words or more, so that a passage is cut alike
+wherever it stands. Runs without such a word are cut every ``UNIT`` words. Units
+are compared with units by the same rule and in the same join, whatever number of
+distinct words they have; from a line of ``LONG`` words or more that stays, the
+units with an earlier match are removed, and the line with its last unit. The words
+of a repeated passage beyond its first and last whole unit stay.
+
 Texts are cut into words once; the lines' word hashes are written. The lines that
 hold a word are counted over all documents in a table of ``2 ** RARITY_BITS`` hashed
 counters (a fixed size, so it is broadcast); a line's words stand in ascending
@@ -26,6 +35,7 @@ an empty result. Other columns stay, except that ``n_chars`` follows the text.
 
 from __future__ import annotations
 
+import re
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +45,13 @@ from mvmap.llm import common
 from mvmap.llm import text as tx
 
 RARITY_BITS = 20
+#: Least words of a line that is also compared in units; a unit starts at the least hash of REACH words on either side; most words between starts without such a word.
+LONG, REACH, UNIT = 50, 6, 32
+#: Keeps the words of units apart from those of lines.
+UNIT_SALT = 0x9E3779B97F4A7C15
+FIRST_UNIT = -(1 << 31)
+#: The words of text.plain_words, in the text as it is.
+WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 #: Slices of the prefix words that are joined one after another.
 SLICES = 4
 ENTRIES = "tok int, s1 bigint, oid bigint, line int, n int, sig bigint, pos int"
@@ -42,7 +59,7 @@ LINES = "oid bigint, dkey bigint, line int, again boolean, n int, s1 bigint, s2
 
 
 def _lines(batches, min_words: int):
-    """Lines of at least min_words distinct words, with their word hashes ascending."""
+    """Lines of at least min_words distinct words and units, with their word hashes ascending."""
     import numpy as np
     import pyarrow as pa
 
@@ -70,30 +87,93 @@ def _lines(batches, min_words: int):
 
 
 def line_sets(text: str | None, min_words: int):
-    """Per line of at least min_words distinct words: (line numbers, set sizes,
-    starts into the word hashes, word hashes ascending within each line)."""
+    """Per line of at least min_words distinct words, and per unit: (numbers, set
+    sizes, starts into the word hashes, word hashes ascending within each). Units
+    have numbers below zero, odd if they may be removed."""
     import numpy as np
 
-    lines = [tx.plain_words(x) for x in (text or "").split("\n")]
-    counts = [len(x) for x in lines]
-    words = [w for x in lines for w in x]
+    h, counts = _hashes(text)
     none = np.empty(0, dtype=np.int64)
-    if not words:
+    if not len(h):
         return none, none, none, np.empty(0, dtype=np.uint64)
-    h = tx.hasher().array(words)
-    line = np.repeat(np.arange(len(lines)), counts)
+    n_lines = len(counts)
+    line = np.repeat(np.arange(n_lines), counts)
+    starts, inside = unit_starts(h, counts)
+    if len(starts):
+        unit = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+        h, line = np.concatenate([h, h ^ np.uint64(UNIT_SALT)]), np.concatenate([line, n_lines + unit])
     order = np.lexsort((h, line))
     h, line = h[order], line[order]
     fresh = np.ones(len(h), dtype=bool)
     fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
     h, line = h[fresh], line[fresh]
-    sizes = np.bincount(line, minlength=len(lines))
+    sizes = np.bincount(line, minlength=n_lines + len(starts))
     big = sizes >= min_words
+    big[n_lines:] = True
     h = h[big[line]]
-    numbers, sizes = np.flatnonzero(big), sizes[big]
+    numbers = np.concatenate([np.arange(n_lines), FIRST_UNIT + 2 * np.arange(len(starts)) + inside])
+    numbers, sizes = numbers[big], sizes[big]
     return numbers, sizes, np.cumsum(sizes) - sizes, h
 
 
+def _hashes(text: str | None):
+    """Word hashes in the text's order, number of words of each line."""
+    import numpy as np
+
+    lines = [tx.plain_words(x) for x in (text or "").split("\n")]
+    return tx.hasher().array([w for x in lines for w in x]), np.array([len(x) for x in lines], dtype=np.int64)
+
+
+def unit_starts(h, counts):
+    """First word of each unit, and whether the unit lies in a long line."""
+    import numpy as np
+
+    n = len(h)
+    if n < LONG:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    ends = np.cumsum(counts)
+    long = counts >= LONG
+    edges = np.unique(np.concatenate([[0, n], ends[long], (ends - counts)[long]]))
+    g = np.full(n + 2 * REACH, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    g[REACH:-REACH] = tx.mix(h)
+    least = np.lib.stride_tricks.sliding_window_view(g, REACH).min(axis=1)
+    at = np.flatnonzero((g[REACH:-REACH] < least[:n]) & (g[REACH:-REACH] <= least[REACH + 1:]))
+    right = np.searchsorted(edges, at, side="right")
+    right, at = right[right < len(edges)], at[right < len(edges)]
+    starts = np.union1d(at[(at - edges[right - 1] >= REACH) & (edges[right] - at >= REACH)], edges[:-1])
+    pieces = np.maximum(1, np.diff(np.append(starts, n)) // UNIT)
+    again = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = np.repeat(starts, pieces) + again * UNIT
+    return starts, long[np.searchsorted(ends, starts, side="right")].astype(np.int64)
+
+
+def without(text: str, gone: list[int]) -> str:
+    """The text without the lines and units of the given numbers."""
+    import numpy as np
+
+    h, counts = _hashes(text)
+    starts, _ = unit_starts(h, counts)
+    stops = np.append(starts[1:], len(h))
+    drop = np.zeros(len(h), dtype=bool)
+    for u in gone:
+        if u < 0:
+            k = (u - FIRST_UNIT) >> 1
+            drop[starts[k]:stops[k]] = True
+    lines, left, at = {x for x in gone if x >= 0}, [], 0
+    for number, (z, n) in enumerate(zip(text.split("\n"), counts.tolist())):
+        d = drop[at:at + n]
+        at += n
+        if number in lines or (n and d.all()):
+            continue
+        if d.any():
+            # Each word goes with what stands between it and the next; the first also with what stands before.
+            places = [m.start() for m in WORD.finditer(z)]
+            places[0] = 0
+            z = "".join(z[a:b] for a, b, gone_word in zip(places, [*places[1:], len(z)], d) if not gone_word)
+        left.append(z)
+    return "\n".join(left)
+
+
 def _flat(column):
     """Values and lengths of a list column."""
     import numpy as np
@@ -278,8 +358,8 @@ def _verify(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def removals(docs: DataFrame, percent: int = 80, min_words: int = 4) -> DataFrame:
-    """dkey, lines: the line numbers (from 0) to remove, one row per distinct
-    (doc_id, text) that loses any; dkey is ``doc_key()``."""
+    """dkey, lines: the numbers of the lines (from 0) and units (below 0) to remove,
+    one row per distinct (doc_id, text) that loses any; dkey is ``doc_key()``."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("oid"), doc_key().alias("dkey"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     lines = common.materialise(common.map_arrow(rows, partial(_lines, min_words=min_words), LINES), "lines")
@@ -299,7 +379,7 @@ def removals(docs: DataFrame, percent: int = 80, min_words: int = 4) -> DataFram
     matched = matched.union(_verify(lines, rest, percent)).withColumn("hit", F.lit(True))
 
     told = lines.select("dkey", "oid", "line", "again", "s1", "s2").join(reps.select("s1", "s2", F.col("oid").alias("first_oid")).join(matched, "s1", "left"), ["s1", "s2"])
-    gone = told.filter(F.col("again") | (F.col("oid") != F.col("first_oid")) | F.col("hit"))
+    gone = told.filter(F.col("again") | (F.col("oid") != F.col("first_oid")) | F.col("hit")).filter("line >= 0 or line & 1 = 1")
     out = common.materialise(gone.groupBy("dkey").agg(F.collect_set("line").alias("lines")), "removals")
     common.release(rest, reps, lines)
     hubs.destroy()
@@ -312,10 +392,20 @@ def doc_key() -> Column:
 
 def _cleaned(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
     """All columns, with ``text`` cleaned and ``_lines`` the removed numbers."""
+    common.ship(docs.sparkSession)
+    cut = F.arrow_udf(_without, "string")
+    units = F.exists("_lines", lambda x: x < 0)
     gone = removals(docs, percent, min_words).select(F.col("dkey").alias("_key"), F.col("lines").alias("_lines"))
     joined = docs.withColumn("_key", doc_key()).join(gone, "_key", "left").drop("_key")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lines", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept))
+    joined = joined.withColumn("_cut", cut(F.when(units, F.col("text")), F.when(units, F.col("_lines"))))
+    return joined.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).when(units, F.col("_cut")).otherwise(kept)).drop("_cut")
+
+
+def _without(texts, gone):
+    import pyarrow as pa
+
+    return pa.array([None if t is None else without(t, g) for t, g in zip(texts.to_pylist(), gone.to_pylist())], pa.string())
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 4) -> DataFrame:
@@ -327,8 +417,11 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 4) -> DataF
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, removed lines (sorted numbers), their count, crc32 of the cleaned text."""
+    """doc_id, removed lines (sorted numbers), their count, the count of removed units
+    (those of removed lines included), crc32 of the cleaned text."""
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     out = _cleaned(docs, 80, 4)
-    lines = F.coalesce(F.array_sort("_lines"), F.array().cast("array<int>"))
-    return out.select("doc_id", F.size(lines).cast("bigint").alias("n_removed"), F.array_join(lines.cast("array<string>"), ",").alias("removed"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    both = F.coalesce(F.array_sort("_lines"), F.array().cast("array<int>"))
+    lines = F.filter(both, lambda x: x >= 0)
+    units = F.size(both) - F.size(lines)
+    return out.select("doc_id", F.size(lines).cast("bigint").alias("n_removed"), units.cast("bigint").alias("n_units"), F.array_join(lines.cast("array<string>"), ",").alias("removed"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))

@@ -249,6 +249,23 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_inside_long_lines(spark):
+    """A passage of 85 words inside a line of 680, and one that stood over several lines."""
+    rng = random.Random(3)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage, other = fresh(85), fresh(120)
+    texts = [f"{fresh(300)} {passage} {fresh(200)}", "\n".join(" ".join(other.split()[i:i + 15]) for i in range(0, 120, 15))]
+    mine = [fresh(400), fresh(195), fresh(90), fresh(70)]
+    texts += [f"{mine[0]} {passage}, {mine[1]}", f"{mine[2]}; {other}. {mine[3]}\n{mine[2]} {mine[3]}", "Tior, " * 400]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in (0, 1)] == texts[:2]
+    for i, (run, kept) in ((2, (passage, mine[:2])), (3, (other, mine[2:]))):
+        words = tx.plain_words(got[i])
+        assert all(words.count(w) >= 1 for w in tx.plain_words(" ".join(kept)))
+        assert sum(w in words for w in tx.plain_words(run)) < len(run.split()) / 2
+    assert len(got[4].split()) < 100
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(9)
     item = "the quick brown fox jumps over the lazy dog while seven wizards mix potions in a dark cave"
