@@ -4,7 +4,8 @@ A line is the set of its words (lower case, runs of ASCII letters, digits and
 non-ASCII characters). A line is removed if an earlier line, by (doc_id nulls
 first, place in the document), has a Jaccard similarity of ``percent`` or more
 with it, whether or not that one stays. Lines with fewer than ``min_words``
-distinct words are neither removed nor compared.
+distinct words are neither removed nor compared, unless these words have
+``MIN_CHARS`` characters or more (as lines of unspaced scripts do).
 
 Passages repeated inside long lines: texts of ``LONG`` words or more are also cut
 into units, at words whose hash is the least of ``REACH`` words on either side and
@@ -47,6 +48,8 @@ from mvmap.llm import text as tx
 RARITY_BITS = 20
 #: Least words of a line that is also compared in units; a unit starts at the least hash of REACH words on either side; most words between starts without such a word.
 LONG, REACH, UNIT = 50, 6, 32
+#: Characters of a line's distinct words from which it is compared whatever their number.
+MIN_CHARS = 20
 #: Keeps the words of units apart from those of lines.
 UNIT_SALT = 0x9E3779B97F4A7C15
 FIRST_UNIT = -(1 << 31)
@@ -87,12 +90,12 @@ def _lines(batches, min_words: int):
 
 
 def line_sets(text: str | None, min_words: int):
-    """Per line of at least min_words distinct words, and per unit: (numbers, set
+    """Per line of at least min_words distinct words or MIN_CHARS characters of them, and per unit: (numbers, set
     sizes, starts into the word hashes, word hashes ascending within each). Units
     have numbers below zero, odd if they may be removed."""
     import numpy as np
 
-    h, counts = _hashes(text)
+    lines, h, counts = _hashes(text)
     none = np.empty(0, dtype=np.int64)
     if not len(h):
         return none, none, none, np.empty(0, dtype=np.uint64)
@@ -109,6 +112,8 @@ def line_sets(text: str | None, min_words: int):
     h, line = h[fresh], line[fresh]
     sizes = np.bincount(line, minlength=n_lines + len(starts))
     big = sizes >= min_words
+    for k in np.flatnonzero(~big[:n_lines] & (counts > 0)).tolist():
+        big[k] = sum(len(w.decode()) for w in set(lines[k])) >= MIN_CHARS
     big[n_lines:] = True
     h = h[big[line]]
     numbers = np.concatenate([np.arange(n_lines), FIRST_UNIT + 2 * np.arange(len(starts)) + inside])
@@ -117,11 +122,11 @@ def line_sets(text: str | None, min_words: int):
 
 
 def _hashes(text: str | None):
-    """Word hashes in the text's order, number of words of each line."""
+    """Words of each line, all their hashes in order, number of words of each line."""
     import numpy as np
 
     lines = [tx.plain_words(x) for x in (text or "").split("\n")]
-    return tx.hasher().array([w for x in lines for w in x]), np.array([len(x) for x in lines], dtype=np.int64)
+    return lines, tx.hasher().array([w for x in lines for w in x]), np.array([len(x) for x in lines], dtype=np.int64)
 
 
 def unit_starts(h, counts):
@@ -151,7 +156,7 @@ def without(text: str, gone: list[int]) -> str:
     """The text without the lines and units of the given numbers."""
     import numpy as np
 
-    h, counts = _hashes(text)
+    _, h, counts = _hashes(text)
     starts, _ = unit_starts(h, counts)
     stops = np.append(starts[1:], len(h))
     drop = np.zeros(len(h), dtype=bool)

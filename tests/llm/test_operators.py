@@ -266,6 +266,14 @@ def test_line_dedup_inside_long_lines(spark):
     assert len(got[4].split()) < 100
 
 
+def test_line_dedup_of_long_lines_with_few_words(spark):
+    """An unspaced line and one of three long words go, short lines of few words stay."""
+    lines = ["同じ行がもう一度ここに現れるのでこれは消えるはずです", "Donaudampfschifffahrtsgesellschaft gegenueber Kapitaensmuetze", "see below", "one"]
+    texts = ["\n".join(lines), "\n".join(["intro", *lines])]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {0: texts[0], 1: "intro\nsee below\none"}
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(9)
     item = "the quick brown fox jumps over the lazy dog while seven wizards mix potions in a dark cave"
