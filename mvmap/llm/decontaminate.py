@@ -6,7 +6,7 @@ and compared as UTF-8 bytes. An item of n bytes may be matched with up to
 budget plus one pieces; a match leaves at least one piece whole, so every
 document is searched once for all pieces (Aho-Corasick), and each hit's
 neighbourhood is verified with Myers' bit-parallel distance. Items shorter than
-``min_bytes`` are left out: they are no evidence. The benchmark is a stated query
+``min_bytes`` are matched without edits and between word borders only. The benchmark is a stated query
 set; it is searched in blocks of at most ``block_bytes`` bytes, each a pass over
 all documents, so what travels to executors is bounded. The search is map-only:
 no document is shuffled.
@@ -76,13 +76,14 @@ class Myers:
 class Matcher:
     """All items of a block against one normalised document at a time."""
 
-    def __init__(self, items: list[tuple[int, bytes, int]]):
+    def __init__(self, items: list[tuple[int, bytes, int | None]]):
+        """Items with no budget (None) match without edits, between word borders."""
         import ahocorasick
 
         self.items = [(item_id, item, budget, Myers(item)) for item_id, item, budget in items]
         where: dict[bytes, list[tuple[int, int]]] = {}
         for k, (_, item, budget, _) in enumerate(self.items):
-            for at, piece in pieces(item, budget):
+            for at, piece in pieces(item, budget or 0):
                 where.setdefault(piece, []).append((k, at))
         self.automaton = ahocorasick.Automaton()
         for piece, at in where.items():
@@ -104,7 +105,7 @@ class Matcher:
             item_id, item, budget, myers = self.items[k]
             n, best = len(item), None
             for s in set(starts):
-                if s >= 0 and doc[s:s + n] == item:
+                if s >= 0 and doc[s:s + n] == item and (budget is not None or b" " + item + b" " == b" " * (s == 0) + doc[max(0, s - 1):s + n + 1] + b" " * (s + n == len(doc))):
                     best = (0, s + n)
                     break
             if best is None and budget:
@@ -140,7 +141,7 @@ def _search(batches, items):
 
 
 def item_blocks(benchmark: DataFrame, error_share: float, min_bytes: int, block_bytes: int):
-    """Blocks of (item_id, normalised item, budget), each read from its own query."""
+    """Blocks of (item_id, normalised item, budget or None), each read from its own query."""
     rows = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // block_bytes))
@@ -149,8 +150,8 @@ def item_blocks(benchmark: DataFrame, error_share: float, min_bytes: int, block_
         block = []
         for r in part.toLocalIterator():
             item = normalise(r["text"])
-            if len(item) >= min_bytes:
-                block.append((r["item_id"], item, int(error_share * len(item))))
+            if item:
+                block.append((r["item_id"], item, int(error_share * len(item)) if len(item) >= min_bytes else None))
         yield block
 
 

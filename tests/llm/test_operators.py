@@ -295,3 +295,13 @@ def test_decontamination(spark, docs, empty):
                 new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
             row = new
         assert decontaminate.Myers(p).best(t)[0] == min(row)
+
+
+def test_decontamination_finds_short_items(spark):
+    """Items under min_bytes match exactly, as whole words."""
+    texts = ["Who wrote Hamlet?", "intro: who  WROTE hamlet", "who wrote hamlets", "xwho wrote hamlet", "who wrote hamlet first", "who wrote Hamlot", "hamlets; who wrote hamlets, who wrote hamlet!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "Who wrote Hamlet?"), (8, "?"), (9, None)], "item_id bigint, text string")
+    got = sorted(tuple(r) for r in decontaminate.matches(docs, items).collect())
+    assert got == [(0, 7, 0, 0, 16), (1, 7, 0, 6, 22), (4, 7, 0, 0, 16), (6, 7, 0, 26, 42)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [2, 3, 5]
