@@ -7,7 +7,6 @@ and never a lost block.
 
 from __future__ import annotations
 
-import gc
 import itertools
 import os
 import tempfile
@@ -46,18 +45,10 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
 
 
 def release(*frames: DataFrame) -> None:
-    """Delete tables made by ``materialise`` that no frame reads any more, and let
-    Spark's cleaner see that their shuffles are unused."""
+    """Delete tables made by ``materialise`` that no frame reads any more."""
     for df in frames:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    sweep(frames[0].sparkSession)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Let Spark's cleaner see which shuffles no frame uses any more."""
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 def purge(spark: SparkSession) -> bool:

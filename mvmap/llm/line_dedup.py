@@ -1,189 +1,188 @@
 """Operator 3: line de-duplication by an exact set-similarity join.
 
 A line is the set of its words (lower case, runs of ASCII letters, digits and
-non-ASCII characters). A line is removed if an earlier line, by (doc_id nulls
-first, place in the document), has a Jaccard similarity of ``percent`` or more
-with it, whether or not that one stays. Lines with fewer than ``min_words``
-distinct words are neither removed nor compared, unless these words have
-``MIN_CHARS`` characters or more (as lines of unspaced scripts do).
-
-Passages repeated inside long lines: texts of ``LONG`` words or more are also cut
-into units, at words whose hash is the least of ``REACH`` words on either side and
-at the ends of lines of ``LONG`` words or more, so that a passage is cut alike
-wherever it stands. Runs without such a word are cut every ``UNIT`` words. Units
-are compared with units by the same rule and in the same join, whatever number of
-distinct words they have; from a line of ``LONG`` words or more that stays, the
-units with an earlier match are removed, and the line with its last unit. The words
-of a repeated passage beyond its first and last whole unit stay.
-
-Texts are cut into words once; the lines' word hashes are written. The lines that
-hold a word are counted over all documents in a table of ``2 ** RARITY_BITS`` hashed
-counters (a fixed size, so it is broadcast); a line's words stand in ascending
-order of (counter, hash), one order for all lines. Lines of equal sets collapse to
-the first. Two different sets above the threshold share a word of their prefixes
-(the n - ceil(t n) + 1 rarest words); the join on prefix words applies the length
-filter, the positional filter, and a 64-bit signature whose missing bits bound the
-overlap. Only pairs that pass leave the join, and the Jaccard index of the whole
-sets verifies them. As one earlier match is enough, lines first meet the first
-document of each prefix word only (the words of one of ``2 ** RARITY_BITS`` slots have
-one such document); the lines that this leaves meet all others. Both joins take the
-words in ``SLICES`` slices, so that the exploded index never lies on disk whole.
+non-ASCII characters). A line is removed if an earlier line has a Jaccard similarity
+of ``percent`` or more with it, whether or not that one stays; equal sets are the
+case of 100. Lines stand in the order of (doc_id nulls first, hash of doc_id and
+text, place in the document). Lines without a word are neither compared nor removed;
+``min_words`` (1) is the least number of distinct words of a line that is.
+
+Passages repeated inside long lines: the units of line_sets are compared by their
+sequence of words. From a line of ``LONG`` words or more that stays, runs of
+neighbouring units that have an earlier equal go if they hold ``run_words`` words or
+more. The words of a repeated passage before its first whole unit and after its
+last one stay.
+
+How: texts are cut into words once and written in packed blocks. The lines that hold
+a word are counted over all documents in a table of ``2 ** RARITY_BITS`` hashed
+counters (a fixed size, so it is broadcast); a line's words stand in ascending order
+of (counter, hash), one order for all lines. Two different sets above the threshold
+share a word of their prefixes (the n - ceil(t n) + 1 rarest words), and two or
+three words of prefixes longer by one or two. The index therefore has one entry for
+each prefix word of at most ``RARE`` lines, and for a more frequent one an entry for
+each pair (triple) that it makes with later words of the longer prefix. Entries
+travel as packed arrays, one for each block and bucket, so copies within a block are
+one entry; buckets of more than ``BUCKET`` entries are split, each part meeting each
+other. A bucket sorts its entries by (key, length), so that the length filter is a
+range; positions and a 64-bit signature, whose missing bits bound the overlap, filter
+its pairs, and each line leaves with its first partner there. The Jaccard index of
+the whole sets verifies these pairs. Lines that had several partners and no true one
+so far meet all of them in a second pass.
 
 Null and empty texts have no lines to remove. Rows that repeat a doc_id and text
-get the same decisions and do not remove each other's lines. An empty table gives
-an empty result. Other columns stay, except that ``n_chars`` follows the text.
+get the same decisions and do not remove each other's lines; rows of one doc_id with
+different texts are different documents. An empty table gives an empty result. A very
+long text is held whole by one task. Other columns stay, whatever their names, except
+that ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
 
 import re
-from functools import partial, reduce
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mvmap.llm import common
+from mvmap.llm import line_sets as ls
 from mvmap.llm import text as tx
 
-RARITY_BITS = 20
-#: Least words of a line that is also compared in units; a unit starts at the least hash of REACH words on either side; most words between starts without such a word.
-LONG, REACH, UNIT = 50, 6, 32
-#: Characters of a line's distinct words from which it is compared whatever their number.
-MIN_CHARS = 20
-#: Keeps the words of units apart from those of lines.
-UNIT_SALT = 0x9E3779B97F4A7C15
-FIRST_UNIT = -(1 << 31)
+RARITY_BITS = 22
+#: Most lines of a word that is a key alone, and of one that makes pairs; entries of a bucket; parts of the key space whose entries are counted.
+RARE, COMMON, BUCKET, CELLS = 4096, 1 << 18, 1 << 20, 1 << 16
+#: Pairs that a bucket looks at in one step; lines of a key that later ones meet first.
+STEP, FIRST = 1 << 19, 512
 #: The words of text.plain_words, in the text as it is.
 WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
-#: Slices of the prefix words that are joined one after another.
-SLICES = 4
-ENTRIES = "tok int, s1 bigint, oid bigint, line int, n int, sig bigint, pos int"
-LINES = "oid bigint, dkey bigint, line int, again boolean, n int, s1 bigint, s2 bigint, sig bigint, words array<bigint>"
+FIRSTS = [("s1", "<u8"), ("s2", "<u4"), ("oid", "<i8"), ("tie", "<u4"), ("no", "<i4"), ("many", "u1")]
+ENTRY = [("key", "<u4"), ("n", "<u4"), ("pos", "<u2"), ("s1", "<u8"), ("sig", "<u8"), ("oid", "<i8"), ("tie", "<u4"), ("no", "<i4")]
+PACKED = "bucket int, part int, other int, rows binary"
 
 
-def _lines(batches, min_words: int):
-    """Lines of at least min_words distinct words and units, with their word hashes ascending."""
+# Arrays between map and reduce tasks
+
+
+def _dump(rows) -> bytes:
+    """A structured array, column by column."""
+    return b"".join(rows[c].tobytes() for c in rows.dtype.names)
+
+
+def _load(raw, dtype):
+    import numpy as np
+
+    kind = np.dtype(dtype)
+    rows, at = np.empty(len(raw) // kind.itemsize, dtype=kind), 0
+    for c in kind.names:
+        size = kind[c].itemsize * len(rows)
+        rows[c] = np.frombuffer(raw[at:at + size], dtype=kind[c])
+        at += size
+    return rows
+
+
+def _send(rows, bucket, part, other):
+    """One row for each (bucket, part, other), with the packed rows of it."""
     import numpy as np
     import pyarrow as pa
 
-    names = [c.split()[0] for c in LINES.split(", ")]
+    order = np.lexsort((other, part, bucket))
+    rows, where = rows[order], np.stack([bucket, part, other])[:, order]
+    cuts = np.flatnonzero(np.append(True, (where[:, 1:] != where[:, :-1]).any(axis=0))) if len(rows) else np.empty(0, dtype=np.int64)
+    blobs = [_dump(rows[a:b]) for a, b in zip(cuts, [*cuts[1:], len(rows)])]
+    columns = [pa.array(w[cuts].astype(np.int32)) for w in where]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary())], [c.split()[0] for c in PACKED.split(", ")])
+
+
+def _received(batches):
+    """((bucket, part, other), packed rows) of each group, in sorted order; the packed rows one at a time."""
     for batch in batches:
-        got: list[list] = [[] for _ in range(9)]
-        for oid, dkey, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            numbers, sizes, starts, h = line_sets(t.as_py(), min_words)
-            if not len(numbers):
-                continue
-            s1, s2 = set_keys(starts, h)
-            again = np.ones(len(s1), dtype=bool)
-            again[np.unique(s1, return_index=True)[1]] = False
-            sig = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), starts)
-            words = h[np.repeat(~again, sizes)]
-            for k, v in enumerate((np.full(len(numbers), oid), np.full(len(numbers), dkey), numbers, again, sizes, s1, s2, sig.view(np.int64), (np.where(again, 0, sizes), words.view(np.int64)))):
-                got[k].append(v)
-        if not got[0]:
-            continue
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        arrays = [pa.array(np.concatenate(g), t) for g, t in zip(got[:8], types)]
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate([x for x, _ in got[8]]))]).astype(np.int32)
-        arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([w for _, w in got[8]]))))
-        yield pa.RecordBatch.from_arrays(arrays, names)
-
-
-def line_sets(text: str | None, min_words: int):
-    """Per line of at least min_words distinct words or MIN_CHARS characters of them, and per unit: (numbers, set
-    sizes, starts into the word hashes, word hashes ascending within each). Units
-    have numbers below zero, odd if they may be removed."""
-    import numpy as np
-
-    lines, h, counts = _hashes(text)
-    none = np.empty(0, dtype=np.int64)
-    if not len(h):
-        return none, none, none, np.empty(0, dtype=np.uint64)
-    n_lines = len(counts)
-    line = np.repeat(np.arange(n_lines), counts)
-    starts, inside = unit_starts(h, counts)
-    if len(starts):
-        unit = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
-        h, line = np.concatenate([h, h ^ np.uint64(UNIT_SALT)]), np.concatenate([line, n_lines + unit])
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    fresh = np.ones(len(h), dtype=bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    h, line = h[fresh], line[fresh]
-    sizes = np.bincount(line, minlength=n_lines + len(starts))
-    big = sizes >= min_words
-    for k in np.flatnonzero(~big[:n_lines] & (counts > 0)).tolist():
-        big[k] = sum(len(w.decode()) for w in set(lines[k])) >= MIN_CHARS
-    big[n_lines:] = True
-    h = h[big[line]]
-    numbers = np.concatenate([np.arange(n_lines), FIRST_UNIT + 2 * np.arange(len(starts)) + inside])
-    numbers, sizes = numbers[big], sizes[big]
-    return numbers, sizes, np.cumsum(sizes) - sizes, h
-
-
-def _hashes(text: str | None):
-    """Words of each line, all their hashes in order, number of words of each line."""
-    import numpy as np
-
-    lines = [tx.plain_words(x) for x in (text or "").split("\n")]
-    return lines, tx.hasher().array([w for x in lines for w in x]), np.array([len(x) for x in lines], dtype=np.int64)
-
-
-def unit_starts(h, counts):
-    """First word of each unit, and whether the unit lies in a long line."""
-    import numpy as np
-
-    n = len(h)
-    if n < LONG:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    ends = np.cumsum(counts)
-    long = counts >= LONG
-    edges = np.unique(np.concatenate([[0, n], ends[long], (ends - counts)[long]]))
-    g = np.full(n + 2 * REACH, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    g[REACH:-REACH] = tx.mix(h)
-    least = np.lib.stride_tricks.sliding_window_view(g, REACH).min(axis=1)
-    at = np.flatnonzero((g[REACH:-REACH] < least[:n]) & (g[REACH:-REACH] <= least[REACH + 1:]))
-    right = np.searchsorted(edges, at, side="right")
-    right, at = right[right < len(edges)], at[right < len(edges)]
-    starts = np.union1d(at[(at - edges[right - 1] >= REACH) & (edges[right] - at >= REACH)], edges[:-1])
-    pieces = np.maximum(1, np.diff(np.append(starts, n)) // UNIT)
-    again = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    starts = np.repeat(starts, pieces) + again * UNIT
-    return starts, long[np.searchsorted(ends, starts, side="right")].astype(np.int64)
-
-
-def without(text: str, gone: list[int]) -> str:
-    """The text without the lines and units of the given numbers."""
-    import numpy as np
-
-    _, h, counts = _hashes(text)
-    starts, _ = unit_starts(h, counts)
-    stops = np.append(starts[1:], len(h))
-    drop = np.zeros(len(h), dtype=bool)
-    for u in gone:
-        if u < 0:
-            k = (u - FIRST_UNIT) >> 1
-            drop[starts[k]:stops[k]] = True
-    lines, left, at = {x for x in gone if x >= 0}, [], 0
-    for number, (z, n) in enumerate(zip(text.split("\n"), counts.tolist())):
-        d = drop[at:at + n]
-        at += n
-        if number in lines or (n and d.all()):
-            continue
-        if d.any():
-            # Each word goes with what stands between it and the next; the first also with what stands before.
-            places = [m.start() for m in WORD.finditer(z)]
-            places[0] = 0
-            z = "".join(z[a:b] for a, b, gone_word in zip(places, [*places[1:], len(z)], d) if not gone_word)
-        left.append(z)
-    return "\n".join(left)
+        yield from zip(zip(*(c.to_pylist() for c in batch.columns[:3])), (x.as_py() for x in batch.column(3)))
+
+
+def _dealt(packed: DataFrame) -> DataFrame:
+    return packed.repartition("bucket", "part", "other").sortWithinPartitions("bucket", "part", "other")
+
+
+# First places of equal lines and units
+
+
+def _read(batches, min_words: int):
+    def docs():
+        for batch in batches:
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+
+    yield from ls.pack(ls.build(docs(), min_words))
+
+
+def _places(block, which):
+    """FIRSTS rows of a block's lines or units."""
+    import numpy as np
+
+    lines = which == "lines"
+    doc = block.docs[block.doc_of_lines() if lines else block.doc_of_units()]
+    rows = np.zeros(len(doc), dtype=FIRSTS)
+    rows["oid"], rows["tie"] = doc["oid"], doc["tie"]
+    if lines:
+        rows["s1"], rows["s2"], rows["no"] = block.lines["s1"], block.lines["s2"], block.lines["no"]
+    else:
+        rows["s1"], rows["no"] = block.units, block.unit_numbers()
+    return rows
+
+
+def _first(rows):
+    """One row per key: its first place, and whether it has several."""
+    import numpy as np
 
+    rows = rows[np.lexsort((rows["no"], rows["tie"], rows["oid"], rows["s2"], rows["s1"]))]
+    same = np.zeros(len(rows) + 1, dtype=bool)
+    same[1:-1] = (rows["s1"][1:] == rows["s1"][:-1]) & (rows["s2"][1:] == rows["s2"][:-1])
+    other = np.zeros(len(rows), dtype=bool)
+    other[1:] = same[1:-1] & ((rows["oid"][1:] != rows["oid"][:-1]) | (rows["tie"][1:] != rows["tie"][:-1]) | (rows["no"][1:] != rows["no"][:-1]))
+    at = np.flatnonzero(~same[:-1])
+    out = rows[at]
+    if len(out):
+        out["many"] = np.maximum.reduceat(other | rows["many"].astype(bool), at)
+    return out
+
+
+def _send_firsts(batches, buckets: int):
+    import numpy as np
+
+    for block in ls.unpack(batches):
+        rows = np.concatenate([_first(_places(block, "lines")), _first(_places(block, "units"))])
+        bucket = (rows["s1"] % np.uint64(buckets)).astype(np.int64)
+        yield _send(rows, bucket, np.zeros_like(bucket), np.zeros_like(bucket))
 
-def _flat(column):
-    """Values and lengths of a list column."""
+
+def _repeated(batches):
+    """Keys with several places, and the first of these."""
     import numpy as np
+    import pyarrow as pa
+
+    def reduced(held):
+        return _first(np.concatenate(held)) if held else np.empty(0, dtype=FIRSTS)
+
+    def told(rows):
+        rows = rows[rows["many"] > 0]
+        columns = [rows["s1"].view(np.int64), rows["s2"].view(np.int32), rows["oid"], rows["tie"].view(np.int32), rows["no"]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["s1", "s2", "oid", "tie", "no"])
+
+    group, held, n = None, [], 0
+    for key, raw in _received(batches):
+        if key != group and held:
+            yield told(reduced(held))
+            held, n = [], 0
+        group = key
+        held.append(_load(raw, FIRSTS))
+        n += len(held[-1])
+        if n > 4 * BUCKET:  # a set that a large share of all blocks hold is one row again
+            held = [reduced(held)]
+            n = 2 * len(held[0])
+    if held:
+        yield told(reduced(held))
 
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+# Rarity
 
 
 def _slots(h):
@@ -192,202 +191,488 @@ def _slots(h):
     return (h >> np.uint64(64 - RARITY_BITS)).astype(np.int64)
 
 
-def _count(batches):
-    """Counters of one task, those above zero."""
+def _fresh(block):
+    """Lines of a block that are the first of their set in it, as a mask."""
+    import numpy as np
+
+    doc = block.docs[block.doc_of_lines()]
+    order = np.lexsort((block.lines["no"], doc["tie"], doc["oid"], block.lines["s2"], block.lines["s1"]))
+    s1, s2 = block.lines["s1"][order], block.lines["s2"][order]
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
+    out = np.zeros(len(order), dtype=bool)
+    out[order[first]] = True
+    return out
+
+
+def _count_words(batches):
+    """Sums of one task, in PARTS parts of the slots: pairs of slot and count."""
     import numpy as np
-    import pyarrow as pa
 
     total = np.zeros(1 << RARITY_BITS, dtype=np.int64)
-    for batch in batches:
-        total += np.bincount(_slots(_flat(batch.column(0))[0]), minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+    for block in ls.unpack(batches):
+        words = block.ids[np.repeat(_fresh(block), block.lines["n"])]
+        np.add.at(total, _slots(block.vocabulary), np.bincount(words, minlength=len(block.vocabulary)))
+    yield _sparse(total)
 
 
-def rarity(lines: DataFrame) -> bytes:
-    """The number of lines that hold a word of each slot, over all documents, as
-    2 ** RARITY_BITS saturated uint16. At most one row per slot reaches the driver."""
+def _sparse(total):
     import numpy as np
 
-    sums = common.map_arrow(lines.select("words"), _count, "slot int, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit(0xFFFF)).cast("int").alias("n")).toArrow()
-    out = np.zeros(1 << RARITY_BITS, dtype="<u2")
-    out[sums["slot"].to_numpy()] = sums["n"].to_numpy()
-    return out.tobytes()
+    at = np.flatnonzero(total)
+    rows = np.zeros(len(at), dtype=[("slot", "<u4"), ("n", "<u4")])
+    rows["slot"], rows["n"] = at, np.minimum(total[at], 0xFFFFFFFF)
+    part = at // max(1, len(total) // 64)
+    return _send(rows, part, np.zeros_like(part), np.zeros_like(part))
 
 
-def _prefixes(batches, counters: bytes, percent: int):
-    """The columns before ``words``, then each line's prefix as pos << 32 | word."""
+def _summed(batches, size: int):
     import numpy as np
     import pyarrow as pa
 
-    counters = np.frombuffer(counters, dtype="<u2")
-    low = np.uint64(0xFFFFFFFF)
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1 << 15):
-            batch = whole.slice(at, 1 << 15)
-            h, sizes = _flat(batch.column(batch.num_columns - 1))
-            row = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-            # Row, count and hash in one number: one sort puts every line's words rarest first.
-            key = row << np.uint64(48) | counters[_slots(h)].astype(np.uint64) << np.uint64(32) | h & low
-            key.sort()
-            place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            lengths = sizes - (percent * sizes + 99) // 100 + 1
-            # A word counted in one line of all documents stands in no other.
-            ok = (place < np.repeat(lengths, sizes)) & ((key >> np.uint64(32) & np.uint64(0xFFFF)) > 1)
-            prefix = place[ok] << 32 | (key[ok] & low).astype(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[ok].astype(np.int64), minlength=len(sizes)))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*batch.schema.names[:-1], "prefix"])
+    width, group, total = max(1, size // 64), None, None
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], ["part", "counts"])
+    for (part, _, _), raw in _received(batches):
+        if part != group:
+            if group is not None:
+                yield out()
+            group, total = part, np.zeros(width, dtype=np.int64)
+        rows = _load(raw, [("slot", "<u4"), ("n", "<u4")])
+        total[rows["slot"] - part * width] += rows["n"]
+    if group is not None:
+        yield out()
+
+
+def _counters(sparse: DataFrame, size: int):
+    """The sums as one uint32 array of a fixed size on the driver."""
+    import numpy as np
+
+    out = np.zeros(size, dtype="<u4")
+    width = max(1, size // 64)
+    for r in common.map_arrow(_dealt(sparse), partial(_summed, size=size), "part int, counts binary").collect():
+        out[r.part * width:(r.part + 1) * width] = np.frombuffer(r.counts, dtype="<u4")
+    return out
+
 
+# The index
 
-def set_keys(starts, h):
-    """Two order-free 64-bit hashes of each line's set."""
+
+def _prefix_keys(h, sizes, rarity, percent: int):
+    """(line, position, 64-bit key) of the index entries of lines with the given sets;
+    lines too short for a different partner have none."""
+    import numpy as np
+
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    df = rarity[_slots(h)]
+    order = np.lexsort((h, df, line))
+    h, df = h[order], df[order]
+    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    prefix = sizes - (percent * sizes + 99) // 100 + 1
+    # A word counted in one line of all documents stands in no other.
+    at = np.flatnonzero((place < prefix[line]) & (df > 1) & (sizes * (100 - percent) >= percent)[line])
+    level = 1 + (df[at] > RARE) + (df[at] > COMMON)
+    found = [(at[level == 1], h[at[level == 1]])]
+    left = lambda x, extra: prefix[line[x]] + extra - 1 - place[x]
+    pairs = at[level == 2]
+    for d in range(1, int(left(pairs, 1).max(initial=0)) + 1):
+        x = pairs[left(pairs, 1) >= d]
+        found.append((x, _joint(h[x], h[x + d])))
+    triples = at[level == 3]
+    for e in range(2, int(left(triples, 2).max(initial=0)) + 1):
+        x = triples[left(triples, 2) >= e]
+        for d in range(1, e):
+            found.append((x, _joint(_joint(h[x], h[x + d]), h[x + e])))
+    at = np.concatenate([x for x, _ in found])
+    return line[at], place[at], tx.mix(np.concatenate([k for _, k in found]))
+
+
+def _joint(a, b):
     import numpy as np
 
-    if not len(starts):
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    a = np.add.reduceat(tx.mix(h), starts)
-    b = np.add.reduceat(tx.mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)), starts)
-    return tx.mix(a).view(np.int64), tx.mix(b).view(np.int64)
+    return tx.mix(a * np.uint64(ls.UNIT_SALT) + b)
 
 
-def _wanted(batches, sets: bytes, set_bits: int):
-    """s1, words of the lines whose set the filter may hold."""
+def _keys(block, rarity, percent: int, wanted=None):
+    """The block's fresh lines (those wanted), and their index keys."""
     import numpy as np
-    import pyarrow as pa
 
-    sets = np.frombuffer(sets, dtype="<u8")
-    for batch in batches:
-        at = (batch.column(0).to_numpy(zero_copy_only=False) >> 20) & (set_bits - 1)
-        yield batch.filter(pa.array((sets[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+    fresh = _fresh(block)
+    if wanted is not None:
+        fresh &= wanted
+    sizes = block.lines["n"].astype(np.int64)
+    h = block.vocabulary[block.ids[np.repeat(fresh, sizes)]]
+    at = np.flatnonzero(fresh)
+    line, place, key = _prefix_keys(h, sizes[at], rarity, percent)
+    return at, h, line, place, key
 
 
-def _set_filter(keys: DataFrame, column: str) -> tuple[bytes, int]:
-    """As common.bit_filter, on bits of the set key itself."""
+def _cells(key):
     import numpy as np
 
-    n, bits = keys.count(), 1 << 16
-    while bits < 16 * n and bits < 1 << 27:
-        bits *= 2
-    slot = F.shiftright(F.col(column), 20).bitwiseAND(F.lit(bits - 1).cast("bigint"))
-    words = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(bits // 64, dtype="<i8")
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.tobytes(), bits
+    return (key >> np.uint64(48)).astype(np.int64) % CELLS
+
+
+def _count_cells(batches, rarity, percent: int):
+    import numpy as np
+
+    total = np.zeros(CELLS, dtype=np.int64)
+    for block in ls.unpack(batches):
+        total += np.bincount(_cells(_keys(block, rarity.value, percent)[4]), minlength=CELLS)
+    yield _sparse(total)
+
+
+def _send_entries(batches, rarity, percent: int, parts, buckets: int, keys=None):
+    """The packed entries of each bucket; with ``keys``, a bit map over keys, of those in it only."""
+    import numpy as np
+
+    for block in ls.unpack(batches):
+        at, h, line, place, key = _keys(block, rarity.value, percent)
+        if keys is not None:
+            ok = _has(keys.value, key)
+            line, place, key = line[ok], place[ok], key[ok]
+        if not len(line):
+            continue
+        sizes = block.lines["n"][at].astype(np.int64)
+        sig = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), np.cumsum(sizes) - sizes)
+        doc = block.docs[block.doc_of_lines()[at]]
+        rows = np.zeros(len(line), dtype=ENTRY)
+        rows["key"], rows["pos"] = key & np.uint64(0xFFFFFFFF), np.minimum(place, 0xFFFF)
+        for c, values in (("n", sizes), ("s1", block.lines["s1"][at]), ("sig", sig), ("oid", doc["oid"]), ("tie", doc["tie"]), ("no", block.lines["no"][at])):
+            rows[c] = values[line]
+        cell = _cells(key)
+        k = parts.value[cell]
+        bucket = np.where(k == 1, cell % buckets, buckets + cell)
+        own = _part(rows["s1"], k)
+        # Of a split cell, an entry goes to each pair of its part with another.
+        again = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        own, copy = np.repeat(own, k), np.repeat(np.arange(len(k)), k)
+        yield _send(rows[copy], bucket[copy], np.minimum(own, again), np.maximum(own, again))
+
+
+def _part(s1, k):
+    import numpy as np
+
+    return (tx.mix(s1) % k.astype(np.uint64)).astype(np.int64)
 
 
-def _hubs(reps: DataFrame) -> tuple[bytes, bytes]:
-    """Per slot of prefix words: the first document with one, as int64, and whether
-    it holds several entries. At most 2 ** RARITY_BITS rows reach the driver."""
+def _has(bits, key):
     import numpy as np
 
-    entry = reps.select("oid", F.explode("prefix").alias("entry"))
-    slot = F.shiftright(F.col("entry").bitwiseAND(F.lit(0xFFFFFFFF)), 32 - RARITY_BITS).cast("int")
-    got = entry.groupBy(slot.alias("slot")).agg(F.min("oid").alias("hub"), (F.count("*") > 1).alias("many")).toArrow()
-    hub, many = np.zeros(1 << RARITY_BITS, dtype="<i8"), np.zeros(1 << RARITY_BITS, dtype=bool)
-    at = got["slot"].to_numpy()
-    hub[at], many[at] = got["hub"].to_numpy(), got["many"].to_numpy()
-    return hub.tobytes(), many.tobytes()
+    at = key % np.uint64(64 * len(bits))
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _entries(batches, hubs, which: str, part: int):
-    """The index rows of one slice of the prefix words: of all lines, of each slot's
-    hub document, or of the others. A word whose slot holds one entry has no partner."""
+# Pairs of a bucket
+
+
+def _meet(batches, percent: int, parts, xs=None):
+    """x, y, several: each line x of a bucket with its first partner y there; with
+    ``xs``, a bit map over sets, these with all their partners."""
     import numpy as np
     import pyarrow as pa
 
-    hub, many = np.frombuffer(hubs.value[0], dtype="<i8"), np.frombuffer(hubs.value[1], dtype=bool)
-    low = np.uint64(0xFFFFFFFF)
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1 << 15):
-            batch = whole.slice(at, 1 << 15)
-            entry, sizes = _flat(batch.column(5))
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            word = (entry & low).astype(np.int64)
-            slot = word >> (32 - RARITY_BITS)
-            ok = many[slot] & (word % SLICES == part)
-            if which != "all":
-                ok &= (batch.column(1).to_numpy()[row] == hub[slot]) == (which == "hub")
-            tok, pos = word[ok] - (1 << 31), entry[ok] >> np.uint64(32)
-            rows = pa.array(row[ok])
-            columns = [pa.array(tok.astype(np.int32)), *(c.take(rows) for c in batch.columns[:5]), pa.array(pos.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ENTRIES.split(", ")])
-
-
-def _pairs(xs: DataFrame, x_which: str, ys: DataFrame, y_which: str, hubs, percent: int) -> DataFrame:
-    """s1, y_s1 of the pairs that pass the filters, written. The words are taken in
-    SLICES slices of equal share, one after another, so that the index is never on
-    disk as a whole."""
-
-    def side(reps, which, part):
-        given = reps.select("s1", "oid", "line", "n", "sig", "prefix")
-        return common.map_arrow(given, partial(_entries, hubs=hubs, which=which, part=part), ENTRIES)
+    def flush(group, held):
+        rows = np.concatenate(held)
+        part = None
+        if group[1] != group[2]:
+            # Cells of a split bucket have one number of parts.
+            k = np.full(len(rows), parts.value[group[0] - buckets(parts)])
+            part = _part(rows["s1"], k)
+        x, y, several = partners(rows, percent, part, xs and xs.value)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(several)], ["x", "y", "several"])
+
+    group, held = None, []
+    for key, raw in _received(batches):
+        if key != group and held:
+            yield flush(group, held)
+            held = []
+        group = key
+        held.append(_load(raw, ENTRY))
+    if held:
+        yield flush(group, held)
+
+
+def buckets(parts) -> int:
+    return int(parts.value[CELLS])
+
+
+def partners(rows, percent: int, part=None, xs=None):
+    """As _meet, of the entries of one bucket. ``part``: only pairs across parts."""
+    import numpy as np
 
+    order = np.lexsort((rows["no"], rows["tie"], rows["oid"], rows["s1"], rows["n"], rows["key"]))
+    rows = rows[order]
+    part = None if part is None else part[order]
+    # Of equal sets from several blocks the first stays.
+    fresh = np.append(True, (rows["s1"][1:] != rows["s1"][:-1]) | (rows["key"][1:] != rows["key"][:-1]) | (rows["n"][1:] != rows["n"][:-1]))
+    rows, part = rows[fresh], None if part is None else part[fresh]
+    n = rows["n"].astype(np.int64)
+    key = rows["key"].astype(np.uint64) << np.uint64(32)
+    place = key | rows["n"]
+    bound = lambda of, side: np.searchsorted(place, key | of.astype(np.uint64), side=side)
+    hi = np.arange(len(rows))
+    lo = bound((percent * n + 99) // 100, "left")
     found = []
-    for part in range(SLICES):
-        x, y = side(xs, x_which, part), side(ys, y_which, part)
-        y = y.select("tok", *[F.col(c).alias(f"y_{c}") for c in ("oid", "line", "n", "s1", "sig", "pos")])
-        met = x.join(y, "tok").filter(_passes(percent)).select("s1", "y_s1").distinct()
-        found.append(common.materialise(met, "slice-pairs"))
-        del x, y, met
-        common.sweep(xs.sparkSession)
-    out = common.materialise(reduce(DataFrame.union, found).distinct(), "line-pairs")
-    common.release(*found)
+    wanted = None if xs is None else _has(xs, rows["s1"])
+    if wanted is not None:
+        # Pairs without a wanted line are not looked at.
+        lo = np.where(wanted, lo, hi)
+        up = bound(100 * n // percent, "right")
+        found += _windows(rows, np.flatnonzero(wanted), hi[wanted] + 1, up[wanted], percent, part)
+    else:
+        large = hi - lo > FIRST
+        if large.any():
+            found += _leaders(rows, large, percent, part)
+            lo = np.where(large, hi, lo)
+    found += _windows(rows, hi, lo, hi, percent, part)
+    a, b = (np.concatenate([f[i] for f in found]) if found else np.empty(0, dtype=np.int64) for i in (0, 1))
+    several = np.concatenate([f[2] for f in found]) if found else np.empty(0, dtype=bool)
+    # The later one is x; two lines of one place cannot be told apart and keep the order of their keys.
+    x, y = _directed(rows, a, b)
+    if xs is not None:
+        ok = wanted[x]
+        return rows["s1"][x[ok]], rows["s1"][y[ok]], np.zeros(int(ok.sum()), dtype=bool)
+    order = np.lexsort((rows["s1"][y], rows["no"][y], rows["tie"][y], rows["oid"][y], rows["s1"][x]))
+    x, y, several = rows["s1"][x][order], rows["s1"][y][order], several[order]
+    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, dtype=np.int64)
+    if len(at):
+        several = np.logical_or.reduceat(several, at) | np.logical_or.reduceat(y != np.repeat(y[at], np.diff(np.append(at, len(y)))), at)
+    return x[at], y[at], several
+
+
+def _directed(rows, a, b):
+    import numpy as np
+
+    later = np.zeros(len(a), dtype=bool)
+    same = np.ones(len(a), dtype=bool)
+    for c in ("oid", "tie", "no", "s1"):
+        later |= same & (rows[c][a] > rows[c][b])
+        same &= rows[c][a] == rows[c][b]
+    return np.where(later, a, b), np.where(later, b, a)
+
+
+def _windows(rows, at, lo, hi, percent, part):
+    """[(a, b, False)]: the pairs of at[i] with lo[i] to hi[i] - 1 that pass."""
+    import numpy as np
+
+    out, size = [], np.maximum(hi - lo, 0)
+    ends = np.cumsum(size)
+    begin = 0
+    while begin < len(at):
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STEP, side="right")))
+        k = size[begin:stop]
+        a = np.repeat(at[begin:stop], k)
+        b = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[begin:stop], k)
+        ok = _passes(rows, a, b, percent, part)
+        out.append((a[ok], b[ok], np.zeros(len(ok), dtype=bool)))
+        begin = stop
+    return out
+
+
+def _leaders(rows, large, percent, part):
+    """Keys with a line of more than FIRST possible partners: all its lines meet the
+    first FIRST of them by place, then those without a partner the next ones."""
+    import numpy as np
+
+    out = []
+    key = rows["key"]
+    for k in np.unique(key[large]):
+        mine = np.arange(np.searchsorted(key, k), np.searchsorted(key, k, side="right"))
+        mine = mine[np.lexsort((rows["s1"][mine], rows["no"][mine], rows["tie"][mine], rows["oid"][mine]))]
+        left, begin = np.arange(len(mine)), 0
+        while begin < len(mine) and len(left):
+            heads = np.arange(begin, min(begin + FIRST, len(mine)))
+            got = np.zeros(len(mine), dtype=bool)
+            for at in range(0, len(left), STEP // FIRST):
+                chunk = left[at:at + STEP // FIRST]
+                a, b = np.repeat(chunk, len(heads)), np.tile(heads, len(chunk))
+                # A pair is in the range of its longer line; small ranges are looked at with those of other keys.
+                a, b = mine[a[a > b]], mine[b[a > b]]
+                ok = large[np.maximum(a, b)]
+                a, b = a[ok], b[ok]
+                ok = _passes(rows, a, b, percent, part)
+                out.append((a[ok], b[ok], np.ones(len(ok), dtype=bool)))
+                back = np.zeros(len(rows), dtype=bool)
+                back[a[ok]] = True
+                got |= back[mine]
+            begin += FIRST
+            left = left[~got[left] & (left >= begin)]
+    return out
+
+
+def _passes(rows, a, b, percent, part):
+    """Of the pairs, those that the length, positional and signature filters let pass."""
+    import numpy as np
+
+    n = rows["n"].astype(np.int64)
+    rest = n - rows["pos"]
+    ok = np.arange(len(a))
+    need = -(-percent * (n[a] + n[b]) // (100 + percent))
+    ok = ok[(np.minimum(rest[a], rest[b]) >= need) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))]
+    if part is not None:
+        ok = ok[part[a[ok]] != part[b[ok]]]
+    x, y, need = a[ok], b[ok], need[ok]
+    sx, sy = rows["sig"][x], rows["sig"][y]
+    good = (n[x] - np.bitwise_count(sx & ~sy) >= need) & (n[y] - np.bitwise_count(sy & ~sx) >= need) & (rows["s1"][x] != rows["s1"][y])
+    return ok[good]
+
+
+# Verification
+
+
+def _words(batches, sets):
+    """s1, words of the sets in a bit map."""
+    import numpy as np
+    import pyarrow as pa
+
+    for block in ls.unpack(batches):
+        fresh = _fresh(block) & _has(sets.value, block.lines["s1"])
+        sizes = block.lines["n"].astype(np.int64)
+        words = block.vocabulary[block.ids[np.repeat(fresh, sizes)]].view(np.int64)
+        offsets = np.append(0, np.cumsum(sizes[fresh])).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(block.lines["s1"][fresh].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(words))], ["s1", "words"])
+
+
+def _mark(batches, size: int):
+    """A bit map over uint64 keys, as one row of its words that are not zero."""
+    import numpy as np
+
+    total = np.zeros(size, dtype=bool)
+    for batch in batches:
+        total[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(size)] = True
+    yield from _sparse_bits(total)
+
+
+def _sparse_bits(total):
+    import numpy as np
+    import pyarrow as pa
+
+    words = np.packbits(total, bitorder="little").view("<u8")
+    at = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at].view(np.int64))], ["word", "bits"])
+
+
+def _bit_map(marks: DataFrame, size: int):
+    import numpy as np
+
+    got = marks.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size // 64, dtype="<u8")
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
 
 
-def _passes(percent: int) -> Column:
-    """Length, positional and signature filters between index rows x and y."""
-    x, y = F.col, lambda c: F.col(f"y_{c}")
-    both = x("n") + y("n")
-    enough = lambda o: o * (100 + percent) >= both * percent
-    earlier = (y("oid") < x("oid")) | ((y("oid") == x("oid")) & (y("line") < x("line")))
-    length = (x("n") * percent <= y("n") * 100) & (y("n") * percent <= x("n") * 100)
-    place = enough(F.least(x("n") - x("pos"), y("n") - y("pos")))
-    missing = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
-    sign = enough(x("n") - missing(x("sig"), y("sig"))) & enough(y("n") - missing(y("sig"), x("sig")))
-    return earlier & length & place & sign & (x("s1") != y("s1"))
+def _map_size(n: int) -> int:
+    """Bits for n keys: 16 each, at most 16 MiB in all. A bit map only prunes."""
+    bits = 1 << 16
+    while bits < 16 * n and bits < 1 << 27:
+        bits *= 2
+    return bits
 
 
-def _verify(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def bit_map(keys: DataFrame):
+    """A bit map of a bigint column, broadcast."""
+    size = _map_size(keys.count())
+    return keys.sparkSession.sparkContext.broadcast(_bit_map(common.map_arrow(keys, partial(_mark, size=size), "word int, bits bigint"), size))
+
+
+def _verify(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """s1 of the sets with a verified earlier match."""
-    bits, n_bits = _set_filter(pairs.select("s1").union(pairs.select("y_s1")).distinct(), "s1")
-    sets = common.map_arrow(lines.filter("not again").select("s1", "words"), partial(_wanted, sets=bits, set_bits=n_bits), "s1 bigint, words array<bigint>")
+    ids = bit_map(pairs.select("x").union(pairs.select("y")))
+    sets = common.map_arrow(blocks.select("docs", "lines", "ids", "vocabulary"), partial(_words, sets=ids), "s1 bigint, words array<bigint>")
     sets = common.materialise(sets.groupBy("s1").agg(F.first("words").alias("words")), "line-sets")
-    met = pairs.join(sets, "s1").join(sets.select(F.col("s1").alias("y_s1"), F.col("words").alias("y_words")), "y_s1")
-    shared = F.size(F.array_intersect("words", "y_words"))
-    true = met.filter(shared * (100 + percent) >= (F.size("words") + F.size("y_words")) * percent)
-    out = common.materialise(true.select("s1").distinct(), "matched")
+    met = pairs.join(sets, F.col("x") == F.col("s1")).select("x", "y", F.col("words").alias("x_words"))
+    met = met.join(sets, F.col("y") == F.col("s1"))
+    shared = F.size(F.array_intersect("x_words", "words"))
+    true = met.filter(shared * (100 + percent) >= (F.size("x_words") + F.size("words")) * percent)
+    out = common.materialise(true.select(F.col("x").alias("s1")).distinct(), "matched")
     common.release(sets)
     return out
 
 
-def removals(docs: DataFrame, percent: int = 80, min_words: int = 4) -> DataFrame:
-    """dkey, lines: the numbers of the lines (from 0) and units (below 0) to remove,
-    one row per distinct (doc_id, text) that loses any; dkey is ``doc_key()``."""
+def _key_marks(batches, rarity, percent: int, sets, size: int):
+    """Bits of the index keys of the lines whose set is in a bit map."""
+    import numpy as np
+
+    total = np.zeros(size, dtype=bool)
+    for block in ls.unpack(batches):
+        total[_keys(block, rarity.value, percent, _has(sets.value, block.lines["s1"]))[4] % np.uint64(size)] = True
+    yield from _sparse_bits(total)
+
+
+def matches(blocks: DataFrame, percent: int) -> DataFrame:
+    """s1 of the sets that have an earlier, different, similar one."""
+    import numpy as np
+
+    spark = blocks.sparkSession
+    share = spark.sparkContext.broadcast
+    words = blocks.select("docs", "lines", "ids", "vocabulary")
+    rarity = share(_counters(common.map_arrow(words, _count_words, PACKED), 1 << RARITY_BITS))
+    cells = _counters(common.map_arrow(words, partial(_count_cells, rarity=rarity, percent=percent), PACKED), CELLS).astype(np.int64)
+    n_buckets = max(64, -(-int(cells.sum()) // BUCKET))
+    parts = share(np.append(np.maximum(1, -(-cells // BUCKET)), n_buckets))
+
+    def met(keys=None, xs=None):
+        sent = common.map_arrow(words, partial(_send_entries, rarity=rarity, percent=percent, parts=parts, buckets=n_buckets, keys=keys), PACKED)
+        return common.map_arrow(_dealt(sent), partial(_meet, percent=percent, parts=parts, xs=xs), "x bigint, y bigint, several boolean")
+
+    first = common.materialise(met().groupBy("x", "y").agg(F.max("several").alias("several")), "pairs")
+    found = _verify(blocks, first.select("x", "y"), percent)
+    open_ = first.groupBy("x").agg((F.max("several") | (F.count("*") > 1)).alias("several")).filter("several").select(F.col("x").alias("s1"))
+    open_ = common.materialise(open_.join(found, "s1", "left_anti"), "open")
+    n = open_.count()
+    if n:
+        xs = bit_map(open_)
+        size = _map_size(16 * n)
+        keys = share(_bit_map(common.map_arrow(words, partial(_key_marks, rarity=rarity, percent=percent, sets=xs, size=size), "word int, bits bigint"), size))
+        rest = met(keys, xs).select("x", "y").distinct().join(first.select("x", "y"), ["x", "y"], "left_anti")
+        rest = common.materialise(rest, "pairs")
+        found = common.materialise(found.union(_verify(blocks, rest, percent)).distinct(), "matched")
+    return found
+
+
+# Removal
+
+
+def _hits(batches, keys):
+    """Lines and units whose key may be in the bit map."""
+    import numpy as np
+    import pyarrow as pa
+
+    for block in ls.unpack(batches):
+        rows, dkey = [], []
+        for which, doc in (("lines", block.doc_of_lines()), ("units", block.doc_of_units())):
+            places = _places(block, which)
+            ok = _has(keys.value, places["s1"])
+            if which == "units":
+                ok &= (places["no"] & 1) == 1
+            rows.append(places[ok])
+            dkey.append(block.docs["dkey"][doc[ok]])
+        rows, dkey = np.concatenate(rows), np.concatenate(dkey)
+        columns = [dkey, rows["s1"].view(np.int64), rows["s2"].view(np.int32), rows["oid"], rows["tie"].view(np.int32), rows["no"]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["dkey", "s1", "s2", "oid", "tie", "no"])
+
+
+def removals(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
+    """dkey, lines: the numbers of the lines (from 0) to remove and of the units
+    (below 0) with an earlier equal, one row per distinct (doc_id, text) that has
+    any; dkey is ``doc_key()``."""
+    if not 67 <= percent <= 100:
+        raise ValueError("percent must be from 67 to 100")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("oid"), doc_key().alias("dkey"), F.col("text").cast("string").alias("text"))
-    spark = docs.sparkSession
-    lines = common.materialise(common.map_arrow(rows, partial(_lines, min_words=min_words), LINES), "lines")
-    fresh = lines.filter("not again")
-    # Lines of one set agree in size, signature and prefix; the least (oid, line) is the first.
-    given = fresh.select("s1", "s2", "oid", "line", "n", "sig", "words")
-    given = common.map_arrow(given, partial(_prefixes, counters=rarity(fresh), percent=percent), "s1 bigint, s2 bigint, oid bigint, line int, n int, sig bigint, prefix array<bigint>")
-    first = F.min(F.struct("oid", "line", "n", "sig", "prefix")).alias("first")
-    reps = common.materialise(given.groupBy("s1", "s2").agg(first).select("s1", "s2", "first.*"), "reps")
-    hubs = spark.sparkContext.broadcast(_hubs(reps))
-
-    near = _pairs(reps, "all", reps, "hub", hubs, percent)
-    matched = _verify(lines, near, percent)
-    left = common.materialise(reps.join(matched, "s1", "left_anti"), "left")
-    rest = _pairs(left, "all", reps, "other", hubs, percent)
-    common.release(near, left)
-    matched = matched.union(_verify(lines, rest, percent)).withColumn("hit", F.lit(True))
-
-    told = lines.select("dkey", "oid", "line", "again", "s1", "s2").join(reps.select("s1", "s2", F.col("oid").alias("first_oid")).join(matched, "s1", "left"), ["s1", "s2"])
-    gone = told.filter(F.col("again") | (F.col("oid") != F.col("first_oid")) | F.col("hit")).filter("line >= 0 or line & 1 = 1")
-    out = common.materialise(gone.groupBy("dkey").agg(F.collect_set("line").alias("lines")), "removals")
-    common.release(rest, reps, lines)
-    hubs.destroy()
+    blocks = common.materialise(common.map_arrow(rows, partial(_read, min_words=min_words), ls.BLOCKS), "blocks", "zstd")
+    n = max(64, -(-(blocks.count() * 40_000) // BUCKET))
+    sent = common.map_arrow(blocks.select("docs", "lines", "units", "inside"), partial(_send_firsts, buckets=n), PACKED)
+    repeated = common.materialise(common.map_arrow(_dealt(sent), _repeated, "s1 bigint, s2 int, oid bigint, tie int, no int"), "repeated")
+    matched = matches(blocks, percent)
+
+    keys = bit_map(repeated.select("s1").union(matched))
+    told = common.map_arrow(blocks.select("docs", "lines", "units", "inside"), partial(_hits, keys=keys), "dkey bigint, s1 bigint, s2 int, oid bigint, tie int, no int")
+    first = repeated.select("s1", "s2", *[F.col(c).alias(f"first_{c}") for c in ("oid", "tie", "no")])
+    same = (F.col("oid") == F.col("first_oid")) & (F.col("tie") == F.col("first_tie")) & (F.col("no") == F.col("first_no"))
+    told = told.join(first, ["s1", "s2"], "left").join(matched.withColumn("hit", F.lit(True)), "s1", "left")
+    gone = told.filter((F.col("hit") & (F.col("no") >= 0)) | ~same)
+    out = common.materialise(gone.groupBy("dkey").agg(F.collect_set("no").alias("lines")), "removals")
+    common.release(blocks)
     return out
 
 
@@ -395,38 +680,89 @@ def doc_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
 
 
-def _cleaned(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """All columns, with ``text`` cleaned and ``_lines`` the removed numbers."""
-    common.ship(docs.sparkSession)
-    cut = F.arrow_udf(_without, "string")
-    units = F.exists("_lines", lambda x: x < 0)
-    gone = removals(docs, percent, min_words).select(F.col("dkey").alias("_key"), F.col("lines").alias("_lines"))
-    joined = docs.withColumn("_key", doc_key()).join(gone, "_key", "left").drop("_key")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_lines", i)), "\n")
-    joined = joined.withColumn("_cut", cut(F.when(units, F.col("text")), F.when(units, F.col("_lines"))))
-    return joined.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).when(units, F.col("_cut")).otherwise(kept)).drop("_cut")
+def without(text: str, hits: list[int], run_words: int) -> tuple[str, list[int], int]:
+    """The text without the hit lines and runs of units, the numbers of the lines
+    that are gone (those that lose all units included), the count of removed units."""
+    import numpy as np
+
+    h, counts, _ = ls.word_hashes([text])
+    starts, stops, _, _ = ls.cuts(h, counts, np.zeros(len(counts), dtype=np.int64), 1)
+    drop = np.zeros(len(h), dtype=bool)
+    line_of = np.repeat(np.arange(len(counts)), counts)
+    units = sorted((u - ls.FIRST_UNIT) >> 1 for u in hits if u < 0)
+    gone_units, i = 0, 0
+    while i < len(units):
+        j = i + 1
+        while j < len(units) and units[j] == units[j - 1] + 1 and line_of[starts[units[j]]] == line_of[starts[units[i]]]:
+            j += 1
+        a, b = starts[units[i]], stops[units[j - 1]]
+        if b - a >= run_words:
+            drop[a:b] = True
+            gone_units += j - i
+        i = j
+    lines, left, at = {x for x in hits if x >= 0}, [], 0
+    for number, (z, n) in enumerate(zip(text.split("\n"), counts.tolist())):
+        d = drop[at:at + n]
+        at += n
+        if number in lines or (n and d.all()):
+            lines.add(number)
+            continue
+        if d.any():
+            # Each word goes with what stands between it and the next; the first also with what stands before.
+            places = [m.start() for m in WORD.finditer(z)]
+            places[0] = 0
+            z = "".join(z[a:b] for a, b, gone_word in zip(places, [*places[1:], len(z)], d) if not gone_word)
+        left.append(z)
+    return "\n".join(left), sorted(lines), gone_units
 
 
-def _without(texts, gone):
+def _without(texts, hits, run_words):
     import pyarrow as pa
 
-    return pa.array([None if t is None else without(t, g) for t, g in zip(texts.to_pylist(), gone.to_pylist())], pa.string())
+    rows = [(None, None, None) if g is None else without(t, g, r) for t, g, r in zip(texts.to_pylist(), hits.to_pylist(), run_words.to_pylist())]
+    kinds = (pa.string(), pa.list_(pa.int32()), pa.int32())
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["text", "lines", "units"])
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 4) -> DataFrame:
-    """The rows with their columns; the removed lines are gone from ``text``."""
-    out = _cleaned(docs, percent, min_words).drop("_lines")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+def cleaned(docs: DataFrame, percent: int, min_words: int, run_words: int) -> DataFrame:
+    """row: all columns as a struct; cut: null for a text that stays as it is, else
+    struct(text, lines, units) of the cleaned text, the numbers of the removed lines
+    and the count of removed units."""
+    common.ship(docs.sparkSession)
+    cut = F.arrow_udf(_without, "text string, lines array<int>, units int")
+    gone = removals(docs, percent, min_words)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key().alias("dkey"))
+    joined = rows.join(gone, "dkey", "left")
+    told = F.when(F.col("lines").isNotNull(), F.col("row.text").cast("string"))
+    return joined.select("row", cut(told, F.col("lines"), F.lit(run_words)).alias("cut"))
+
+
+def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = 1, run_words: int = 20) -> DataFrame:
+    """The rows with their columns; the removed lines and passages are gone from ``text``."""
+    out = cleaned(docs, percent, min_words, run_words)
+    text = F.coalesce(F.col("cut.text"), F.col("row.text"))
+    columns = []
+    for c in docs.columns:
+        value = F.col("row").getField(c)
+        if c == "text":
+            value = text
+        elif c == "n_chars":
+            value = F.when(F.col("row.text").isNull(), value).otherwise(F.length(text).cast(docs.schema[c].dataType))
+        columns.append(value.alias(c))
+    return out.select(columns)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, removed lines (sorted numbers), their count, the count of removed units
-    (those of removed lines included), crc32 of the cleaned text."""
+    """doc_id, removed lines (sorted numbers), their count, the count of removed
+    units, crc32 of the cleaned text."""
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    out = _cleaned(docs, 80, 4)
-    both = F.coalesce(F.array_sort("_lines"), F.array().cast("array<int>"))
-    lines = F.filter(both, lambda x: x >= 0)
-    units = F.size(both) - F.size(lines)
-    return out.select("doc_id", F.size(lines).cast("bigint").alias("n_removed"), units.cast("bigint").alias("n_units"), F.array_join(lines.cast("array<string>"), ",").alias("removed"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    out = cleaned(docs, 80, 1, 20)
+    lines = F.coalesce("cut.lines", F.array().cast("array<int>"))
+    text = F.coalesce(F.col("cut.text"), F.col("row.text"))
+    return out.select(
+        "row.doc_id",
+        F.size(lines).cast("bigint").alias("n_removed"),
+        F.coalesce(F.col("cut.units"), F.lit(0)).cast("bigint").alias("n_units"),
+        F.array_join(lines.cast("array<string>"), ",").alias("removed"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )

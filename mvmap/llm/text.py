@@ -4,6 +4,8 @@ from __future__ import annotations
 
 #: Bytes that are not ASCII letters or digits become spaces; others stay.
 _PLAIN = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
+#: As above, line ends stay.
+PLAIN_LINES = _PLAIN[:10] + b"\n" + _PLAIN[11:]
 
 
 def plain_words(text: str | None) -> list[bytes]:
