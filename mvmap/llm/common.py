@@ -51,6 +51,12 @@ def release(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner see that the shuffles of frames which are gone are unused:
+    one collection on the driver, after a stage whose shuffle is as large as its input."""
+    spark._jvm.System.gc()
+
+
 def purge(spark: SparkSession) -> bool:
     """Delete the application's intermediate tables. Frames built on them can
     no longer be evaluated afterwards."""

@@ -24,8 +24,8 @@ each pair (triple) that it makes with later words of the longer prefix. Entries
 travel as packed arrays, one for each block and bucket, so copies within a block are
 one entry; buckets of more than ``BUCKET`` entries are split, each part meeting each
 other. A bucket sorts its entries by (key, length), so that the length filter is a
-range; positions and a 64-bit signature, whose missing bits bound the overlap, filter
-its pairs, and each line leaves with its first partner there. The Jaccard index of
+range; positions and a signature of ``SIGNS`` times 64 bits, whose missing bits bound the
+overlap, filter its pairs, and each line leaves with its first partner there. The Jaccard index of
 the whole sets verifies these pairs. Lines that had several partners and no true one
 so far meet all of them in a second pass.
 
@@ -53,10 +53,12 @@ RARITY_BITS = 22
 RARE, COMMON, BUCKET, CELLS = 4096, 1 << 18, 1 << 20, 1 << 16
 #: Pairs that a bucket looks at in one step; lines of a key that later ones meet first.
 STEP, FIRST = 1 << 19, 512
+#: Words of a signature: one for frequent words, the others for words of at most RARE lines.
+SIGNS = 3
 #: The words of text.plain_words, in the text as it is.
 WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 FIRSTS = [("s1", "<u8"), ("s2", "<u4"), ("oid", "<i8"), ("tie", "<u4"), ("no", "<i4"), ("many", "u1")]
-ENTRY = [("key", "<u4"), ("n", "<u4"), ("pos", "<u2"), ("s1", "<u8"), ("sig", "<u8"), ("oid", "<i8"), ("tie", "<u4"), ("no", "<i4")]
+ENTRY = [("key", "<u4"), ("n", "<u4"), ("pos", "<u2"), ("s1", "<u8"), *((f"sig{i}", "<u8") for i in range(SIGNS)), ("oid", "<i8"), ("tie", "<u4"), ("no", "<i4")]
 PACKED = "bucket int, part int, other int, rows binary"
 
 
@@ -64,8 +66,10 @@ PACKED = "bucket int, part int, other int, rows binary"
 
 
 def _dump(rows) -> bytes:
-    """A structured array, column by column."""
-    return b"".join(rows[c].tobytes() for c in rows.dtype.names)
+    """A structured array, column by column in planes of bytes, as many of them are all zero."""
+    import numpy as np
+
+    return b"".join(np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in rows.dtype.names)
 
 
 def _load(raw, dtype):
@@ -75,7 +79,8 @@ def _load(raw, dtype):
     rows, at = np.empty(len(raw) // kind.itemsize, dtype=kind), 0
     for c in kind.names:
         size = kind[c].itemsize * len(rows)
-        rows[c] = np.frombuffer(raw[at:at + size], dtype=kind[c])
+        planes = np.frombuffer(raw, dtype=np.uint8, count=size, offset=at).reshape(-1, len(rows))
+        rows[c] = np.ascontiguousarray(planes.T).view(kind[c]).ravel()
         at += size
     return rows
 
@@ -333,11 +338,10 @@ def _send_entries(batches, rarity, percent: int, parts, buckets: int, keys=None)
         if not len(line):
             continue
         sizes = block.lines["n"][at].astype(np.int64)
-        sig = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), np.cumsum(sizes) - sizes)
         doc = block.docs[block.doc_of_lines()[at]]
         rows = np.zeros(len(line), dtype=ENTRY)
         rows["key"], rows["pos"] = key & np.uint64(0xFFFFFFFF), np.minimum(place, 0xFFFF)
-        for c, values in (("n", sizes), ("s1", block.lines["s1"][at]), ("sig", sig), ("oid", doc["oid"]), ("tie", doc["tie"]), ("no", block.lines["no"][at])):
+        for c, values in (("n", sizes), ("s1", block.lines["s1"][at]), *_signs(h, sizes, rarity.value), ("oid", doc["oid"]), ("tie", doc["tie"]), ("no", block.lines["no"][at])):
             rows[c] = values[line]
         cell = _cells(key)
         k = parts.value[cell]
@@ -349,6 +353,16 @@ def _send_entries(batches, rarity, percent: int, parts, buckets: int, keys=None)
         yield _send(rows[copy], bucket[copy], np.minimum(own, again), np.maximum(own, again))
 
 
+def _signs(h, sizes, rarity):
+    """Names and values of the signature's words."""
+    import numpy as np
+
+    which = np.where(rarity[_slots(h)] > RARE, 0, 1 + (h >> np.uint64(6)) % np.uint64(SIGNS - 1))
+    bit = np.uint64(1) << (h & np.uint64(63))
+    starts = np.cumsum(sizes) - sizes
+    return [(f"sig{i}", np.bitwise_or.reduceat(np.where(which == i, bit, np.uint64(0)), starts)) for i in range(SIGNS)]
+
+
 def _part(s1, k):
     import numpy as np
 
@@ -506,15 +520,20 @@ def _passes(rows, a, b, percent, part):
 
     n = rows["n"].astype(np.int64)
     rest = n - rows["pos"]
-    ok = np.arange(len(a))
-    need = -(-percent * (n[a] + n[b]) // (100 + percent))
-    ok = ok[(np.minimum(rest[a], rest[b]) >= need) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))]
+    na, nb = n[a], n[b]
+    need = -(-percent * (na + nb) // (100 + percent))
+    ok = np.flatnonzero((np.minimum(rest[a], rest[b]) >= need) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)))
     if part is not None:
         ok = ok[part[a[ok]] != part[b[ok]]]
-    x, y, need = a[ok], b[ok], need[ok]
-    sx, sy = rows["sig"][x], rows["sig"][y]
-    good = (n[x] - np.bitwise_count(sx & ~sy) >= need) & (n[y] - np.bitwise_count(sy & ~sx) >= need) & (rows["s1"][x] != rows["s1"][y])
-    return ok[good]
+    ok = ok[rows["s1"][a[ok]] != rows["s1"][b[ok]]]
+    # Words of each that the other lacks, at most.
+    spare_a, spare_b = na[ok] - need[ok], nb[ok] - need[ok]
+    for i in reversed(range(SIGNS)):
+        x, y = rows[f"sig{i}"][a[ok]], rows[f"sig{i}"][b[ok]]
+        spare_a, spare_b = spare_a - np.bitwise_count(x & ~y), spare_b - np.bitwise_count(y & ~x)
+        good = (spare_a >= 0) & (spare_b >= 0)
+        ok, spare_a, spare_b = ok[good], spare_a[good], spare_b[good]
+    return ok
 
 
 # Verification
@@ -616,6 +635,7 @@ def matches(blocks: DataFrame, percent: int) -> DataFrame:
         return common.map_arrow(_dealt(sent), partial(_meet, percent=percent, parts=parts, xs=xs), "x bigint, y bigint, several boolean")
 
     first = common.materialise(met().groupBy("x", "y").agg(F.max("several").alias("several")), "pairs")
+    common.sweep(spark)
     found = _verify(blocks, first.select("x", "y"), percent)
     open_ = first.groupBy("x").agg((F.max("several") | (F.count("*") > 1)).alias("several")).filter("several").select(F.col("x").alias("s1"))
     open_ = common.materialise(open_.join(found, "s1", "left_anti"), "open")
@@ -663,6 +683,7 @@ def removals(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFram
     n = max(64, -(-(blocks.count() * 40_000) // BUCKET))
     sent = common.map_arrow(blocks.select("docs", "lines", "units", "inside"), partial(_send_firsts, buckets=n), PACKED)
     repeated = common.materialise(common.map_arrow(_dealt(sent), _repeated, "s1 bigint, s2 int, oid bigint, tie int, no int"), "repeated")
+    common.sweep(docs.sparkSession)
     matched = matches(blocks, percent)
 
     keys = bit_map(repeated.select("s1").union(matched))
