@@ -53,6 +53,8 @@ RARITY_BITS = 22
 RARE, COMMON, BUCKET, CELLS = 4096, 1 << 18, 1 << 20, 1 << 16
 #: Pairs that a bucket looks at in one step; lines of a key that later ones meet first.
 STEP, FIRST = 1 << 19, 512
+#: Partners of a line that leave a bucket.
+KEPT = 4
 #: Words of a signature: one for frequent words, the others for words of at most RARE lines.
 SIGNS = 3
 #: The words of text.plain_words, in the text as it is.
@@ -262,31 +264,40 @@ def _counters(sparse: DataFrame, size: int):
 # The index
 
 
-def _prefix_keys(h, sizes, rarity, percent: int):
-    """(line, position, 64-bit key) of the index entries of lines with the given sets;
-    lines too short for a different partner have none."""
+def _prefix_keys(vocabulary, words, sizes, rarity, percent: int):
+    """(line, position, 64-bit key) of the index entries of lines with the given sets
+    (``words`` are places in the vocabulary); lines too short for a different partner
+    have none."""
     import numpy as np
 
+    df = rarity[_slots(vocabulary)]
+    order = np.lexsort((vocabulary, df))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    vocabulary, df = vocabulary[order], df[order]
     line = np.repeat(np.arange(len(sizes)), sizes)
-    df = rarity[_slots(h)]
-    order = np.lexsort((h, df, line))
-    h, df = h[order], df[order]
-    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    word = line << 32 | rank[words]
+    word.sort()
+    word &= 0xFFFFFFFF
+    place = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     prefix = sizes - (percent * sizes + 99) // 100 + 1
+    prefix[sizes * (100 - percent) < percent] = 0
     # A word counted in one line of all documents stands in no other.
-    at = np.flatnonzero((place < prefix[line]) & (df > 1) & (sizes * (100 - percent) >= percent)[line])
-    level = 1 + (df[at] > RARE) + (df[at] > COMMON)
-    found = [(at[level == 1], h[at[level == 1]])]
+    at = np.flatnonzero(place < prefix[line])
+    at = at[df[word[at]] > 1]
+    level = 1 + (df[word[at]] > RARE) + (df[word[at]] > COMMON)
+    h = lambda x: vocabulary[word[x]]
+    found = [(at[level == 1], h(at[level == 1]))]
     left = lambda x, extra: prefix[line[x]] + extra - 1 - place[x]
     pairs = at[level == 2]
     for d in range(1, int(left(pairs, 1).max(initial=0)) + 1):
         x = pairs[left(pairs, 1) >= d]
-        found.append((x, _joint(h[x], h[x + d])))
+        found.append((x, _joint(h(x), h(x + d))))
     triples = at[level == 3]
     for e in range(2, int(left(triples, 2).max(initial=0)) + 1):
         x = triples[left(triples, 2) >= e]
         for d in range(1, e):
-            found.append((x, _joint(_joint(h[x], h[x + d]), h[x + e])))
+            found.append((x, _joint(_joint(h(x), h(x + d)), h(x + e))))
     at = np.concatenate([x for x, _ in found])
     return line[at], place[at], tx.mix(np.concatenate([k for _, k in found]))
 
@@ -298,17 +309,17 @@ def _joint(a, b):
 
 
 def _keys(block, rarity, percent: int, wanted=None):
-    """The block's fresh lines (those wanted), and their index keys."""
+    """The block's fresh lines (those wanted), their words as places in the vocabulary, and their index keys."""
     import numpy as np
 
     fresh = _fresh(block)
     if wanted is not None:
         fresh &= wanted
     sizes = block.lines["n"].astype(np.int64)
-    h = block.vocabulary[block.ids[np.repeat(fresh, sizes)]]
+    words = block.ids[np.repeat(fresh, sizes)]
     at = np.flatnonzero(fresh)
-    line, place, key = _prefix_keys(h, sizes[at], rarity, percent)
-    return at, h, line, place, key
+    line, place, key = _prefix_keys(block.vocabulary, words, sizes[at], rarity, percent)
+    return at, words, line, place, key
 
 
 def _cells(key):
@@ -331,7 +342,7 @@ def _send_entries(batches, rarity, percent: int, parts, buckets: int, keys=None)
     import numpy as np
 
     for block in ls.unpack(batches):
-        at, h, line, place, key = _keys(block, rarity.value, percent)
+        at, words, line, place, key = _keys(block, rarity.value, percent)
         if keys is not None:
             ok = _has(keys.value, key)
             line, place, key = line[ok], place[ok], key[ok]
@@ -341,7 +352,7 @@ def _send_entries(batches, rarity, percent: int, parts, buckets: int, keys=None)
         doc = block.docs[block.doc_of_lines()[at]]
         rows = np.zeros(len(line), dtype=ENTRY)
         rows["key"], rows["pos"] = key & np.uint64(0xFFFFFFFF), np.minimum(place, 0xFFFF)
-        for c, values in (("n", sizes), ("s1", block.lines["s1"][at]), *_signs(h, sizes, rarity.value), ("oid", doc["oid"]), ("tie", doc["tie"]), ("no", block.lines["no"][at])):
+        for c, values in (("n", sizes), ("s1", block.lines["s1"][at]), *_signs(block.vocabulary, words, sizes, rarity.value), ("oid", doc["oid"]), ("tie", doc["tie"]), ("no", block.lines["no"][at])):
             rows[c] = values[line]
         cell = _cells(key)
         k = parts.value[cell]
@@ -353,14 +364,14 @@ def _send_entries(batches, rarity, percent: int, parts, buckets: int, keys=None)
         yield _send(rows[copy], bucket[copy], np.minimum(own, again), np.maximum(own, again))
 
 
-def _signs(h, sizes, rarity):
+def _signs(vocabulary, words, sizes, rarity):
     """Names and values of the signature's words."""
     import numpy as np
 
-    which = np.where(rarity[_slots(h)] > RARE, 0, 1 + (h >> np.uint64(6)) % np.uint64(SIGNS - 1))
-    bit = np.uint64(1) << (h & np.uint64(63))
+    which = np.where(rarity[_slots(vocabulary)] > RARE, 0, 1 + (vocabulary >> np.uint64(6)) % np.uint64(SIGNS - 1))
+    bit = np.uint64(1) << (vocabulary & np.uint64(63))
     starts = np.cumsum(sizes) - sizes
-    return [(f"sig{i}", np.bitwise_or.reduceat(np.where(which == i, bit, np.uint64(0)), starts)) for i in range(SIGNS)]
+    return [(f"sig{i}", np.bitwise_or.reduceat(np.where(which == i, bit, np.uint64(0))[words], starts)) for i in range(SIGNS)]
 
 
 def _part(s1, k):
@@ -380,8 +391,8 @@ def _has(bits, key):
 
 
 def _meet(batches, percent: int, parts, xs=None):
-    """x, y, several: each line x of a bucket with its first partner y there; with
-    ``xs``, a bit map over sets, these with all their partners."""
+    """x, y, more: each line x of a bucket with its first KEPT partners y there, and
+    whether it may have more; with ``xs``, a bit map over sets, these with all their partners."""
     import numpy as np
     import pyarrow as pa
 
@@ -392,8 +403,8 @@ def _meet(batches, percent: int, parts, xs=None):
             # Cells of a split bucket have one number of parts.
             k = np.full(len(rows), parts.value[group[0] - buckets(parts)])
             part = _part(rows["s1"], k)
-        x, y, several = partners(rows, percent, part, xs and xs.value)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(several)], ["x", "y", "several"])
+        x, y, more = partners(rows, percent, part, xs and xs.value)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(more)], ["x", "y", "more"])
 
     group, held = None, []
     for key, raw in _received(batches):
@@ -414,12 +425,7 @@ def partners(rows, percent: int, part=None, xs=None):
     """As _meet, of the entries of one bucket. ``part``: only pairs across parts."""
     import numpy as np
 
-    order = np.lexsort((rows["no"], rows["tie"], rows["oid"], rows["s1"], rows["n"], rows["key"]))
-    rows = rows[order]
-    part = None if part is None else part[order]
-    # Of equal sets from several blocks the first stays.
-    fresh = np.append(True, (rows["s1"][1:] != rows["s1"][:-1]) | (rows["key"][1:] != rows["key"][:-1]) | (rows["n"][1:] != rows["n"][:-1]))
-    rows, part = rows[fresh], None if part is None else part[fresh]
+    rows, part = _distinct(rows, part)
     n = rows["n"].astype(np.int64)
     key = rows["key"].astype(np.uint64) << np.uint64(32)
     place = key | rows["n"]
@@ -440,18 +446,43 @@ def partners(rows, percent: int, part=None, xs=None):
             lo = np.where(large, hi, lo)
     found += _windows(rows, hi, lo, hi, percent, part)
     a, b = (np.concatenate([f[i] for f in found]) if found else np.empty(0, dtype=np.int64) for i in (0, 1))
-    several = np.concatenate([f[2] for f in found]) if found else np.empty(0, dtype=bool)
-    # The later one is x; two lines of one place cannot be told apart and keep the order of their keys.
+    more = np.concatenate([f[2] for f in found]) if found else np.empty(0, dtype=bool)
+    # The later one is x.
     x, y = _directed(rows, a, b)
     if xs is not None:
-        ok = wanted[x]
-        return rows["s1"][x[ok]], rows["s1"][y[ok]], np.zeros(int(ok.sum()), dtype=bool)
+        x, y = x[wanted[x]], y[wanted[x]]
+        return rows["s1"][x], rows["s1"][y], np.zeros(len(x), dtype=bool)
     order = np.lexsort((rows["s1"][y], rows["no"][y], rows["tie"][y], rows["oid"][y], rows["s1"][x]))
-    x, y, several = rows["s1"][x][order], rows["s1"][y][order], several[order]
-    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, dtype=np.int64)
-    if len(at):
-        several = np.logical_or.reduceat(several, at) | np.logical_or.reduceat(y != np.repeat(y[at], np.diff(np.append(at, len(y)))), at)
-    return x[at], y[at], several
+    x, y, more = rows["s1"][x][order], rows["s1"][y][order], more[order]
+    if not len(x):
+        return x, y, more
+    first = np.append(True, x[1:] != x[:-1])
+    fresh = first | np.append(True, y[1:] != y[:-1])
+    at = np.flatnonzero(first)
+    line = np.cumsum(first) - 1
+    # The place of each partner among the different ones of its line.
+    nth = np.cumsum(fresh) - 1
+    nth -= nth[at][line]
+    more = (np.logical_or.reduceat(more, at) | (np.maximum.reduceat(nth, at) >= KEPT))[line]
+    ok = fresh & (nth < KEPT)
+    return x[ok], y[ok], more[ok]
+
+
+def _distinct(rows, part):
+    """The rows in order of (key, length); of equal sets from several blocks the first by place."""
+    import numpy as np
+
+    order = np.lexsort((rows["s1"], rows["key"].astype(np.uint64) << np.uint64(32) | rows["n"]))
+    rows, part = rows[order], None if part is None else part[order]
+    same = np.zeros(len(rows), dtype=bool)
+    same[1:] = (rows["s1"][1:] == rows["s1"][:-1]) & (rows["key"][1:] == rows["key"][:-1]) & (rows["n"][1:] == rows["n"][:-1])
+    if not same.any():
+        return rows, part
+    run = np.cumsum(~same)
+    twin = np.flatnonzero(same | np.append(same[1:], False))
+    by_place = np.lexsort((rows["no"][twin], rows["tie"][twin], rows["oid"][twin], run[twin]))
+    rows[twin] = rows[twin[by_place]]
+    return rows[~same], None if part is None else part[~same]
 
 
 def _directed(rows, a, b):
@@ -632,12 +663,12 @@ def matches(blocks: DataFrame, percent: int) -> DataFrame:
 
     def met(keys=None, xs=None):
         sent = common.map_arrow(words, partial(_send_entries, rarity=rarity, percent=percent, parts=parts, buckets=n_buckets, keys=keys), PACKED)
-        return common.map_arrow(_dealt(sent), partial(_meet, percent=percent, parts=parts, xs=xs), "x bigint, y bigint, several boolean")
+        return common.map_arrow(_dealt(sent), partial(_meet, percent=percent, parts=parts, xs=xs), "x bigint, y bigint, more boolean")
 
-    first = common.materialise(met().groupBy("x", "y").agg(F.max("several").alias("several")), "pairs")
+    first = common.materialise(met().groupBy("x", "y").agg(F.max("more").alias("more")), "pairs")
     common.sweep(spark)
     found = _verify(blocks, first.select("x", "y"), percent)
-    open_ = first.groupBy("x").agg((F.max("several") | (F.count("*") > 1)).alias("several")).filter("several").select(F.col("x").alias("s1"))
+    open_ = first.filter("more").select(F.col("x").alias("s1")).distinct()
     open_ = common.materialise(open_.join(found, "s1", "left_anti"), "open")
     n = open_.count()
     if n:
@@ -701,46 +732,62 @@ def doc_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
 
 
-def without(text: str, hits: list[int], run_words: int) -> tuple[str, list[int], int]:
-    """The text without the hit lines and runs of units, the numbers of the lines
-    that are gone (those that lose all units included), the count of removed units."""
-    import numpy as np
-
-    h, counts, _ = ls.word_hashes([text])
-    starts, stops, _, _ = ls.cuts(h, counts, np.zeros(len(counts), dtype=np.int64), 1)
-    drop = np.zeros(len(h), dtype=bool)
-    line_of = np.repeat(np.arange(len(counts)), counts)
-    units = sorted((u - ls.FIRST_UNIT) >> 1 for u in hits if u < 0)
-    gone_units, i = 0, 0
-    while i < len(units):
-        j = i + 1
-        while j < len(units) and units[j] == units[j - 1] + 1 and line_of[starts[units[j]]] == line_of[starts[units[i]]]:
-            j += 1
-        a, b = starts[units[i]], stops[units[j - 1]]
-        if b - a >= run_words:
-            drop[a:b] = True
-            gone_units += j - i
-        i = j
-    lines, left, at = {x for x in hits if x >= 0}, [], 0
-    for number, (z, n) in enumerate(zip(text.split("\n"), counts.tolist())):
-        d = drop[at:at + n]
-        at += n
-        if number in lines or (n and d.all()):
-            lines.add(number)
-            continue
-        if d.any():
-            # Each word goes with what stands between it and the next; the first also with what stands before.
-            places = [m.start() for m in WORD.finditer(z)]
-            places[0] = 0
-            z = "".join(z[a:b] for a, b, gone_word in zip(places, [*places[1:], len(z)], d) if not gone_word)
-        left.append(z)
-    return "\n".join(left), sorted(lines), gone_units
+def without(texts: list[str], hits: list[list[int]], run_words: int) -> list[tuple[str, list[int], int]]:
+    """Of each text: the text without the hit lines and runs of units, the numbers of the
+    lines that are gone (those that lose all units included), the count of removed units."""
+    import numpy as np
+
+    lines = [{x for x in h if x >= 0} for h in hits]
+    units = [i for i, h in enumerate(hits) if min(h, default=0) < 0]
+    cut: dict[int, dict[int, object]] = {}
+    counts_of, gone = {}, dict.fromkeys(range(len(texts)), 0)
+    if units:
+        h, counts, per_doc = ls.word_hashes([texts[i] for i in units])
+        doc_of_line = np.repeat(np.arange(len(units)), per_doc)
+        starts, stops, _, doc = ls.cuts(h, counts, doc_of_line, len(units))
+        ends = np.cumsum(counts)
+        line_of = np.searchsorted(ends, starts, side="right")
+        first_line = np.cumsum(per_doc) - per_doc
+        # Hit units as places in the list of all, then runs of neighbours in one line.
+        first_unit = np.searchsorted(doc, np.arange(len(units)))
+        at = np.sort(np.concatenate([first_unit[k] + ((np.array([x for x in hits[i] if x < 0]) - ls.FIRST_UNIT) >> 1) for k, i in enumerate(units)]))
+        begin = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (line_of[at[1:]] != line_of[at[:-1]])))
+        last = np.append(begin[1:], len(at)) - 1
+        for a, b in zip(at[begin].tolist(), at[last].tolist()):
+            if stops[b] - starts[a] >= run_words:
+                line = int(line_of[a])
+                k = int(doc[a])
+                gone[units[k]] += b - a + 1
+                drop = cut.setdefault(units[k], {}).setdefault(line - int(first_line[k]), np.zeros(int(counts[line]), dtype=bool))
+                into = int(ends[line] - counts[line])
+                drop[starts[a] - into:stops[b] - into] = True
+    out = []
+    for i, text in enumerate(texts):
+        left = []
+        for number, z in enumerate(text.split("\n")):
+            drop = cut.get(i, {}).get(number)
+            if number in lines[i] or (drop is not None and drop.all()):
+                lines[i].add(number)
+                continue
+            if drop is not None:
+                # Each word goes with what stands between it and the next; the first also with what stands before.
+                places = [m.start() for m in WORD.finditer(z)]
+                places[0] = 0
+                z = "".join(z[a:b] for a, b, gone_word in zip(places, [*places[1:], len(z)], drop.tolist()) if not gone_word)
+            left.append(z)
+        out.append(("\n".join(left), sorted(lines[i]), gone[i]))
+    return out
 
 
 def _without(texts, hits, run_words):
     import pyarrow as pa
 
-    rows = [(None, None, None) if g is None else without(t, g, r) for t, g, r in zip(texts.to_pylist(), hits.to_pylist(), run_words.to_pylist())]
+    hits = hits.to_pylist()
+    some = [i for i, h in enumerate(hits) if h is not None]
+    rows: list[tuple] = [(None, None, None)] * len(hits)
+    if some:
+        for i, r in zip(some, without(texts.take(pa.array(some)).to_pylist(), [hits[i] for i in some], run_words[0].as_py())):
+            rows[i] = r
     kinds = (pa.string(), pa.list_(pa.int32()), pa.int32())
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["text", "lines", "units"])
 

@@ -18,8 +18,8 @@ from mvmap.llm import text as tx
 LONG, REACH, UNIT = 50, 6, 32
 #: Numbers of units are below zero, odd for units inside long lines.
 FIRST_UNIT = -(1 << 31)
-#: Characters of a block and of a part of it that is hashed at once; places of a word that have a factor of their own in its hash.
-BLOCK_CHARS, HASH_CHARS, PLACES = 3 << 20, 1 << 19, 256
+#: Characters of a block and of a part of it that is hashed at once; places of a word that have a factor of their own in its hash (as many as a byte counts).
+BLOCK_CHARS, HASH_CHARS, PLACES = 3 << 20, 1 << 17, 256
 #: Keeps the keys of units apart from those of lines.
 UNIT_SALT = 0x9E3779B97F4A7C15
 
@@ -121,10 +121,10 @@ def _hash_part(texts: list[str]):
     if not len(starts):
         return np.empty(0, dtype=np.uint64), counts, per_doc
     into = np.cumsum(sizes) - sizes
-    place = np.arange(sizes.sum()) - np.repeat(into, sizes)
+    place = np.arange(sizes.sum(), dtype=np.int32) - np.repeat(into.astype(np.int32), sizes)
     # A sum of byte times a random factor of its place; long words wrap around with a term of the place.
     rates = np.random.default_rng(20).integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    terms = raw[in_word[1:-1]].astype(np.uint64) * rates[place % PLACES]
+    terms = raw[in_word[1:-1]].astype(np.uint64) * rates[place.astype(np.uint8)]
     if sizes.max() > PLACES:
         terms = tx.mix(terms + (place // PLACES).astype(np.uint64))
     return tx.mix(np.add.reduceat(terms, into) + sizes.astype(np.uint64)), counts, per_doc
@@ -199,11 +199,13 @@ def cuts(h, counts, doc_of_line, n_docs: int):
     place = np.arange(len(h)) + REACH * (doc + 1)
     g = np.full(len(h) + REACH * (n_docs + 1), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     g[place] = tx.mix(h)
-    before, after = g[place - 1], g[place + 1]
+    n = len(g) - 2 * REACH
+    before, after = g[REACH - 1:REACH - 1 + n].copy(), g[REACH + 1:REACH + 1 + n].copy()
     for k in range(2, REACH + 1):
-        before = np.minimum(before, g[place - k])
-        after = np.minimum(after, g[place + k])
-    at = np.flatnonzero((g[place] < before) & (g[place] <= after))
+        np.minimum(before, g[REACH - k:REACH - k + n], out=before)
+        np.minimum(after, g[REACH + k:REACH + k + n], out=after)
+    mid = g[REACH:REACH + n]
+    at = np.flatnonzero(((mid < before) & (mid <= after))[place - REACH])
     right = np.searchsorted(edges, at, side="right")
     starts = np.union1d(at[(at - edges[right - 1] >= REACH) & (edges[np.minimum(right, len(edges) - 1)] - at >= REACH)], edges[edges < len(h)])
     pieces = np.maximum(1, np.diff(np.append(starts, len(h))) // UNIT)
