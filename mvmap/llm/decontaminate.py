@@ -7,17 +7,20 @@ budget plus one pieces; a match leaves at least one piece whole, so every
 document is searched once for all pieces (Aho-Corasick), and each hit's
 neighbourhood is verified with Myers' bit-parallel distance. Items shorter than
 ``min_bytes`` are matched without edits and between word borders only. The benchmark is a stated query
-set; it is searched in blocks of at most ``block_bytes`` bytes, each a pass over
-all documents, so what travels to executors is bounded. The search is map-only:
-no document is shuffled.
-
-Null or empty texts and items match nothing. Repeated documents and repeated
-items are reported each. An empty table on either side gives no matches.
+set; it is searched in blocks of about ``block_bytes`` / 2 bytes (some 130,000 pieces
+at the default budget, about 100 MB of automaton in a worker), each a pass over all
+documents, so what travels to executors is bounded. The search is map-only: no
+document is shuffled.
+
+Null or empty texts and items match nothing. Texts are searched whole, whatever their
+length. Repeated documents and repeated items are reported each; of equally good
+places of an item in a document the first is reported. An empty table on either side
+gives no matches. Other columns pass through clean() as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import lru_cache, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,9 +83,10 @@ class Matcher:
         """Items with no budget (None) match without edits, between word borders."""
         import ahocorasick
 
-        self.items = [(item_id, item, budget, Myers(item)) for item_id, item, budget in items]
+        self.items = items
+        self.myers = lru_cache(1024)(Myers)
         where: dict[bytes, list[tuple[int, int]]] = {}
-        for k, (_, item, budget, _) in enumerate(self.items):
+        for k, (_, item, budget) in enumerate(items):
             for at, piece in pieces(item, budget or 0):
                 where.setdefault(piece, []).append((k, at))
         self.automaton = ahocorasick.Automaton()
@@ -102,7 +106,7 @@ class Matcher:
                 spans.setdefault(k, []).append(end + 1 - length - offset)
         out = []
         for k, starts in spans.items():
-            item_id, item, budget, myers = self.items[k]
+            item_id, item, budget = self.items[k]
             n, best = len(item), None
             for s in set(starts):
                 if s >= 0 and doc[s:s + n] == item and (budget is not None or b" " + item + b" " == b" " * (s == 0) + doc[max(0, s - 1):s + n + 1] + b" " * (s + n == len(doc))):
@@ -119,7 +123,7 @@ class Matcher:
                         runs.append([lo, hi])
                 for lo, hi in runs:
                     if hi - lo >= n - budget:
-                        distance, end = myers.best(doc[lo:hi])
+                        distance, end = self.myers(item).best(doc[lo:hi])
                         if distance <= budget and (best is None or distance < best[0]):
                             best = (distance, lo + end)
             if best:
@@ -155,7 +159,7 @@ def item_blocks(benchmark: DataFrame, error_share: float, min_bytes: int, block_
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, error_share: float = 0.06, min_bytes: int = 32, block_bytes: int = 32 << 20) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, error_share: float = 0.06, min_bytes: int = 32, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per document row and item it holds within the item's edit budget."""
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     found = [common.map_arrow(rows, partial(_search, items=block), MATCHES) for block in item_blocks(benchmark, error_share, min_bytes, block_bytes)]
@@ -171,7 +175,7 @@ def _flag(batches, items):
         yield batch.filter(keep)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, error_share: float = 0.06, min_bytes: int = 32, block_bytes: int = 32 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, error_share: float = 0.06, min_bytes: int = 32, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows that hold no benchmark item, with all their columns."""
     for block in item_blocks(benchmark, error_share, min_bytes, block_bytes):
         docs = common.map_arrow(docs, partial(_flag, items=block), docs.schema)

@@ -11,9 +11,11 @@ of a verified template's words found in place.
 
 Beside this, base phrases are found word by word: all their places are counted.
 
-Words are maximal runs of characters other than ASCII non-alphanumerics, after
-lower-casing. Null text counts as empty: no words, no labels, score 0. Repeated
-rows are scanned each. An empty table gives an empty result.
+Words are maximal runs of characters other than ASCII non-alphanumerics, A-Z
+lower-cased. Null text counts as empty: no words, no labels, score 0. Texts are
+scanned whole, whatever their length, one row at a time. Repeated rows are scanned
+each; of templates that tie, all count. An empty table gives an empty result; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ from mvmap.llm.quality_rules import let
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: The letters that are lower-cased; others, such as the Kelvin sign, stay as they are.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 #: Fixed base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -51,7 +56,7 @@ TEMPLATES = [
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
+    return F.array_remove(F.split(F.translate(text, UPPER, UPPER.lower()), SEPARATORS), "")
 
 
 def _strings(values) -> Column:

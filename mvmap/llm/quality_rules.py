@@ -1,14 +1,17 @@
 """Operator 6: a short-circuit cascade of quality rules, native expressions only.
 
-A rule is a boolean column that rejects a text. On a sample of ``sample_rows``
-rows every rule is run alone: its time per row is its cost, the share it rejects
-its selectivity. The cascade is one CASE whose branches stand in descending order
+A rule is a boolean column that rejects a text. On a sample of about ``sample_rows``
+rows, those of the least hashes, every rule is run alone: its time per row, the least
+of ``RUNS`` runs after one that is not counted, is its cost, the share it rejects its
+selectivity. The cascade is one CASE whose branches stand in descending order
 of rejection per cost, so most rejected texts never meet the dear rules. The
 sample only chooses the order; the verdict is the same in any order, and the
 named reason is that of the first rule that fires.
 
 Null and empty texts have no words and fail ``few_words``. Repeated rows are
-judged each. An empty table gives an empty result and keeps the given order.
+judged each, texts whole, whatever their length; of rules that tie, the one given
+first stands first. An empty table gives an empty result and keeps the given order.
+Other columns pass through as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
+#: Timed runs of a rule on the sample.
+RUNS = 2
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -99,10 +104,12 @@ def order_rules(sample: DataFrame, checks: dict[str, Column]) -> list[tuple[str,
             return [(name, 0.0, 0.0) for name in checks]
         out = []
         for name, fails in checks.items():
-            probe = held.agg(F.count_if(fails).alias("n"))
-            began = time.perf_counter()
-            hit = probe.first()["n"]
-            out.append((name, (time.perf_counter() - began) / n, hit / n))
+            took, hit = [], 0
+            for _ in range(1 + RUNS):
+                began = time.perf_counter()
+                hit = held.agg(F.count_if(fails).alias("n")).first()["n"]
+                took.append(time.perf_counter() - began)
+            out.append((name, min(took[1:]) / n, hit / n))
     finally:
         held.unpersist()
     return sorted(out, key=lambda r: -(r[2] + 0.5 / n) / r[1])
@@ -112,7 +119,10 @@ def verdict(docs: DataFrame, sample_rows: int = 1000) -> tuple[Column, list[tupl
     """The first rule that rejects ``text`` (null: none does), and the order used."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     checks = rules(text)
-    order = order_rules(docs.select("text").limit(sample_rows), checks)
+    # Twice the share that is wanted, so that the limit is reached; a row's hash draws it.
+    share = min(1 << 30, (2 * sample_rows << 30) // max(1, docs.count()))
+    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= share)
+    order = order_rules(drawn.select("text").limit(sample_rows), checks)
     reason = F.lit(None).cast("string")
     for name, _, _ in reversed(order):
         reason = F.when(checks[name], F.lit(name)).otherwise(reason)
