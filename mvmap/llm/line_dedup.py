@@ -3,8 +3,8 @@
 A line is the set of its words (lower case, runs of ASCII letters, digits and
 non-ASCII characters). A line is removed if an earlier line has a Jaccard similarity
 of ``percent`` or more with it, whether or not that one stays; equal sets are the
-case of 100. Lines stand in the order of (doc_id nulls first, hash of doc_id and
-text, place in the document). Lines without a word are neither compared nor removed;
+case of 100. Lines stand in the order of (doc_id nulls first, place in the document);
+lines of one doc_id and place, from rows with different texts, in that of a hash. Lines without a word are neither compared nor removed;
 ``min_words`` (1) is the least number of distinct words of a line that is.
 
 Passages repeated inside long lines: the units of line_sets are compared by their
@@ -56,11 +56,11 @@ STEP, FIRST = 1 << 19, 512
 #: Partners of a line that leave a bucket.
 KEPT = 4
 #: Words of a signature: one for frequent words, the others for words of at most RARE lines.
-SIGNS = 3
+SIGNS = 2
 #: The words of text.plain_words, in the text as it is.
 WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 FIRSTS = [("s1", "<u8"), ("s2", "<u4"), ("oid", "<i8"), ("tie", "<u4"), ("no", "<i4"), ("many", "u1")]
-ENTRY = [("key", "<u4"), ("n", "<u4"), ("pos", "<u2"), ("s1", "<u8"), *((f"sig{i}", "<u8") for i in range(SIGNS)), ("oid", "<i8"), ("tie", "<u4"), ("no", "<i4")]
+ENTRY = [("key", "<u4"), ("n", "<u4"), ("pos", "<u2"), ("s1", "<u8"), *((f"sig{i}", "<u8") for i in range(SIGNS)), ("oid", "<i8"), ("no", "<i4")]
 PACKED = "bucket int, part int, other int, rows binary"
 
 
@@ -140,7 +140,7 @@ def _first(rows):
     """One row per key: its first place, and whether it has several."""
     import numpy as np
 
-    rows = rows[np.lexsort((rows["no"], rows["tie"], rows["oid"], rows["s2"], rows["s1"]))]
+    rows = rows[np.lexsort((rows["tie"], rows["no"], rows["oid"], rows["s2"], rows["s1"]))]
     same = np.zeros(len(rows) + 1, dtype=bool)
     same[1:-1] = (rows["s1"][1:] == rows["s1"][:-1]) & (rows["s2"][1:] == rows["s2"][:-1])
     other = np.zeros(len(rows), dtype=bool)
@@ -203,7 +203,7 @@ def _fresh(block):
     import numpy as np
 
     doc = block.docs[block.doc_of_lines()]
-    order = np.lexsort((block.lines["no"], doc["tie"], doc["oid"], block.lines["s2"], block.lines["s1"]))
+    order = np.lexsort((doc["tie"], block.lines["no"], doc["oid"], block.lines["s2"], block.lines["s1"]))
     s1, s2 = block.lines["s1"][order], block.lines["s2"][order]
     first = np.ones(len(order), dtype=bool)
     first[1:] = (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
@@ -352,7 +352,7 @@ def _send_entries(batches, rarity, percent: int, parts, buckets: int, keys=None)
         doc = block.docs[block.doc_of_lines()[at]]
         rows = np.zeros(len(line), dtype=ENTRY)
         rows["key"], rows["pos"] = key & np.uint64(0xFFFFFFFF), np.minimum(place, 0xFFFF)
-        for c, values in (("n", sizes), ("s1", block.lines["s1"][at]), *_signs(block.vocabulary, words, sizes, rarity.value), ("oid", doc["oid"]), ("tie", doc["tie"]), ("no", block.lines["no"][at])):
+        for c, values in (("n", sizes), ("s1", block.lines["s1"][at]), *_signs(block.vocabulary, words, sizes, rarity.value), ("oid", doc["oid"]), ("no", block.lines["no"][at])):
             rows[c] = values[line]
         cell = _cells(key)
         k = parts.value[cell]
@@ -452,7 +452,7 @@ def partners(rows, percent: int, part=None, xs=None):
     if xs is not None:
         x, y = x[wanted[x]], y[wanted[x]]
         return rows["s1"][x], rows["s1"][y], np.zeros(len(x), dtype=bool)
-    order = np.lexsort((rows["s1"][y], rows["no"][y], rows["tie"][y], rows["oid"][y], rows["s1"][x]))
+    order = np.lexsort((rows["s1"][y], rows["no"][y], rows["oid"][y], rows["s1"][x]))
     x, y, more = rows["s1"][x][order], rows["s1"][y][order], more[order]
     if not len(x):
         return x, y, more
@@ -480,7 +480,7 @@ def _distinct(rows, part):
         return rows, part
     run = np.cumsum(~same)
     twin = np.flatnonzero(same | np.append(same[1:], False))
-    by_place = np.lexsort((rows["no"][twin], rows["tie"][twin], rows["oid"][twin], run[twin]))
+    by_place = np.lexsort((rows["no"][twin], rows["oid"][twin], run[twin]))
     rows[twin] = rows[twin[by_place]]
     return rows[~same], None if part is None else part[~same]
 
@@ -490,7 +490,7 @@ def _directed(rows, a, b):
 
     later = np.zeros(len(a), dtype=bool)
     same = np.ones(len(a), dtype=bool)
-    for c in ("oid", "tie", "no", "s1"):
+    for c in ("oid", "no", "s1"):
         later |= same & (rows[c][a] > rows[c][b])
         same &= rows[c][a] == rows[c][b]
     return np.where(later, a, b), np.where(later, b, a)
@@ -523,7 +523,7 @@ def _leaders(rows, large, percent, part):
     key = rows["key"]
     for k in np.unique(key[large]):
         mine = np.arange(np.searchsorted(key, k), np.searchsorted(key, k, side="right"))
-        mine = mine[np.lexsort((rows["s1"][mine], rows["no"][mine], rows["tie"][mine], rows["oid"][mine]))]
+        mine = mine[np.lexsort((rows["s1"][mine], rows["no"][mine], rows["oid"][mine]))]
         left, begin = np.arange(len(mine)), 0
         while begin < len(mine) and len(left):
             heads = np.arange(begin, min(begin + FIRST, len(mine)))
@@ -661,6 +661,8 @@ def matches(blocks: DataFrame, percent: int) -> DataFrame:
     n_buckets = max(64, -(-int(cells.sum()) // BUCKET))
     parts = share(np.append(np.maximum(1, -(-cells // BUCKET)), n_buckets))
 
+    common.sweep(spark)
+
     def met(keys=None, xs=None):
         sent = common.map_arrow(words, partial(_send_entries, rarity=rarity, percent=percent, parts=parts, buckets=n_buckets, keys=keys), PACKED)
         return common.map_arrow(_dealt(sent), partial(_meet, percent=percent, parts=parts, xs=xs), "x bigint, y bigint, more boolean")

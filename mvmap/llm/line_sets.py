@@ -19,7 +19,7 @@ LONG, REACH, UNIT = 50, 6, 32
 #: Numbers of units are below zero, odd for units inside long lines.
 FIRST_UNIT = -(1 << 31)
 #: Characters of a block and of a part of it that is hashed at once; places of a word that have a factor of their own in its hash (as many as a byte counts).
-BLOCK_CHARS, HASH_CHARS, PLACES = 3 << 20, 1 << 17, 256
+BLOCK_CHARS, HASH_CHARS, PLACES = 6 << 20, 1 << 17, 256
 #: Keeps the keys of units apart from those of lines.
 UNIT_SALT = 0x9E3779B97F4A7C15
 
