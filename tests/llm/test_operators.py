@@ -109,18 +109,47 @@ def test_id_files(spark, docs, empty, tmp_path, bits):
 
 
 def test_sharding(spark, docs, empty, tmp_path):
-    got = sharding.shard(docs, n_shards=3, n_slots=64, map_path=str(tmp_path / "map")).collect()
+    path = str(tmp_path / "map")
+    got = sharding.shard(docs, n_shards=3, n_slots=64, map_path=path).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r["size"], r.text_crc32) for r in got) == sorted((r[0] is None, r[0] or 0, len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows())
     for s in range(3):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    before, after = (sharding.SlotMap.load(spark, str(tmp_path / "map"), v, 64, 3) for v in (1, 2))
-    assert set(before.shard_of) == set(after.shard_of)
+    assert sharding.versions(spark, path) == [1, 2]
+    before, after = (sharding.SlotMap.load(spark, path, v) for v in (1, 2))
+    assert before.shard_of == {str(s): s % 3 for s in range(64)} and set(before.shard_of) <= set(after.shard_of)
+    # Where a record lies follows from it and the map; equal texts of a whole slot lie together.
+    assert all(after.locate(r.unit) == r.shard and r.map_version == 2 for r in got)
+    assert len({r.shard for r in got if r.text_crc32 == 0 and "/" not in r.unit}) <= 1
+    # The same rows again move nothing, and other layouts of the table change nothing.
+    again = sharding.shard(docs.repartition(7), n_shards=3, n_slots=64, map_path=path).collect()
+    assert sharding.versions(spark, path) == [1, 2, 3] and sharding.SlotMap.load(spark, path, 3).shard_of == after.shard_of
+    where = lambda rs: collections.Counter((r.doc_id, r.text_crc32, r.shard) for r in rs if r.unit.count("/") < 3)
+    assert where(again) == where(got)
+    with pytest.raises(Exception, match="(?i)already.exists"):
+        after.save(spark, path)
+    with pytest.raises(ValueError):
+        sharding.shard(docs, n_shards=4, n_slots=64, map_path=path)
     load = {u: 10 for u in before.shard_of}
     even = sharding.SlotMap.first(64, 4).rebalance(load)
     assert even.version == 2 and max(collections.Counter(even.shard_of.values()).values()) == 16
     assert sharding.shard(empty, n_shards=3, n_slots=64).count() == 0
 
 
+@pytest.mark.parametrize("hot", ["text", "doc_id", "row"])
+def test_sharding_law_with_a_hot_group(spark, hot):
+    """A third of all rows share a text, a doc_id, or both: sizes still come out near equal."""
+    rng = random.Random(4)
+    data = [(i, "w" * rng.randint(20, 200)) for i in range(4000)]
+    data += [(9999 if hot != "text" else 5000 + i, "same text of some length" if hot != "doc_id" else f"text {i}") for i in range(2000)]
+    got = sharding.shard(spark.createDataFrame(data, "doc_id bigint, text string").repartition(5)).collect()
+    size = [0] * 24
+    for r in got:
+        size[r.shard] += r["size"]
+    assert sum(size) == sum(len(t) + 8 for _, t in data) and max(size) - min(size) <= 208
+    for s in range(24):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_toxicity_and_quality(spark, docs, empty):
     rng = random.Random(1)
     data, labels = [], []
@@ -229,24 +258,113 @@ def test_near_duplicates(docs, empty, width, percent):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
-def test_line_dedup(docs, empty):
-    out = line_dedup.dedup_lines(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
+def lines_left(table, percent=80):
+    """text of each (doc_id, text) without later matches, by comparing each line with all."""
     seen, want = [], {}
-    for doc, text, *_ in sorted({(r[0], r[1]) for r in rows()}, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for doc, text in sorted({(r[0], r[1]) for r in table}, key=lambda r: (r[0] is not None, r[0] or 0)):
         left = []
         for z in (text or "").split("\n"):
             w = set(tx.plain_words(z))
-            if len(w) >= 4:
-                if any(100 * len(w & v) >= 80 * len(w | v) for v in seen):
-                    seen.append(w)
-                    continue
+            if w:
+                again = any(100 * len(w & v) >= percent * len(w | v) for v in seen)
                 seen.append(w)
+                if again:
+                    continue
             left.append(z)
         want[doc] = None if text is None else "\n".join(left)
+    return want
+
+
+def test_line_dedup(docs, empty):
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    want = lines_left(rows())
     for r in out.collect():
         assert r.text == want[r.doc_id], r.doc_id
+        assert r.n_chars is None or r.n_chars == len(r.text or "")
     assert line_dedup.dedup_lines(empty).count() == 0
+    assert line_dedup.dedup_lines(docs, min_words=4).filter("doc_id = 9").first().text == rows()[9][1]
+    with pytest.raises(ValueError):
+        line_dedup.removals(docs, percent=60)
+
+
+@pytest.mark.parametrize("rare,common,bucket,first", [(4096, 1 << 18, 1 << 20, 512), (1, 6, 1 << 20, 512), (1, 1, 40, 512), (4096, 1 << 18, 40, 2), (3, 9, 25, 1)])
+def test_line_join_of_frequent_words(monkeypatch, rare, common, bucket, first):
+    """Lines of few words and families that change a word at a time, over three blocks:
+    keys of one, two and three words, split buckets, lines that meet the first of their
+    key first. Each line with a true partner leaves with candidates, or may have more;
+    as one of several, and with the second pass that asks for all, no pair is lost."""
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    ld = line_dedup
+    for name, value in (("RARE", rare), ("COMMON", common), ("BUCKET", bucket), ("FIRST", first)):
+        monkeypatch.setattr(ld, name, value)
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(14)]
+    lines = [" ".join(rng.sample(vocabulary, rng.randint(3, 12))) for _ in range(150)]
+    for _ in range(200):
+        words = rng.choice(lines).split()
+        words[rng.randrange(len(words))] = f"n{rng.randrange(40)}"
+        lines.append(" ".join(words))
+    rng.shuffle(lines)
+    blocks = [pa.RecordBatch.from_pylist(sum((b.to_pylist() for b in ld.ls.pack(ld.ls.build((i, 7, lines[i]) for i in range(k, 350, 3)))), [])) for k in range(3)]
+    shared = lambda v: types.SimpleNamespace(value=v)
+
+    def reduced(packed, fn):
+        rows = sorted((r for b in packed for r in b.to_pylist()), key=lambda r: (r["bucket"], r["part"], r["other"]))
+        return fn([pa.RecordBatch.from_pylist(rows)]) if rows else []
+
+    def counters(packed, size):
+        out = np.zeros(size, dtype="<u4")
+        for b in reduced(packed, lambda x: ld._summed(x, size)):
+            for r in b.to_pylist():
+                out[r["part"] * size // 64:(r["part"] + 1) * size // 64] = np.frombuffer(r["counts"], dtype="<u4")
+        return out
+
+    rarity = shared(counters([b for x in blocks for b in ld._count_words([x])], 1 << ld.RARITY_BITS))
+    cells = counters([b for x in blocks for b in ld._count_cells([x], rarity, 80)], ld.CELLS).astype(np.int64)
+    parts = shared(np.append(np.maximum(1, -(-cells // bucket)), 4))
+    assert bucket > 40 or parts.value[:-1].max() > 1
+
+    def met(xs=None):
+        sent = [b for x in blocks for b in ld._send_entries([x], rarity, 80, parts, 4)]
+        return [r for b in reduced(sent, lambda x: ld._meet(x, 80, parts, xs)) for r in b.to_pylist()]
+
+    sets = {}
+    for i, z in enumerate(lines):
+        s1 = int(ld.ls.block([(0, 0, z)]).lines["s1"].astype(np.int64)[0])
+        sets.setdefault(s1, (i, frozenset(z.split())))
+    want = {}
+    for x, (i, w) in sets.items():
+        want[x] = {y for y, (j, v) in sets.items() if j < i and v != w and 100 * len(v & w) >= 80 * len(v | w)}
+    got = met()
+    found, more = collections.defaultdict(set), set()
+    for r in got:
+        assert sets[r["y"]][0] < sets[r["x"]][0]
+        found[r["x"]].add(r["y"])
+        if r["more"]:
+            more.add(r["x"])
+    assert sum(map(bool, want.values())) > 50
+    assert all(want[x] <= found[x] or x in more for x in sets)
+    everything = collections.defaultdict(set)
+    for r in met(shared(np.full(1 << 10, 0xFFFFFFFFFFFFFFFF, dtype="<u8"))):
+        everything[r["x"]].add(r["y"])
+    assert all(want[x] <= everything[x] for x in sets)
+
+
+def test_line_dedup_of_awkward_tables(spark):
+    """Clashing columns, rows that share a doc_id, a very long line."""
+    line = "one line of several words that stands here"
+    data = [(1, line, "a", 1), (1, f"{line}\nother words in this text", "b", 2), (2, line, "c", 3), (3, "x" * 300_000 + " " + " ".join(f"w{i}" for i in range(70_000)), "d", 4)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, _key string, dkey int").selectExpr("*", "dkey AS _lines", "dkey AS s1", "_key AS row", "dkey AS `cut.text`")
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns
+    got = {r.dkey: r for r in out.collect()}
+    assert sorted([got[1].text, got[2].text].__str__().count(line) for _ in [0]) == [1] and got[3].text == "" and got[4].text == data[3][1]
+    assert all((r._key, r._lines, r.s1, r.row, r["cut.text"]) == (data[k - 1][2], k, k, data[k - 1][2], k) for k, r in got.items())
 
 
 def test_line_dedup_inside_long_lines(spark):
@@ -266,12 +384,31 @@ def test_line_dedup_inside_long_lines(spark):
     assert len(got[4].split()) < 100
 
 
-def test_line_dedup_of_long_lines_with_few_words(spark):
-    """An unspaced line and one of three long words go, short lines of few words stay."""
-    lines = ["同じ行がもう一度ここに現れるのでこれは消えるはずです", "Donaudampfschifffahrtsgesellschaft gegenueber Kapitaensmuetze", "see below", "one"]
+def test_repeated_short_lines_go(spark):
+    """Whatever their number of words; lines without a word stay."""
+    lines = ["同じ行がもう一度ここに現れるのでこれは消えるはずです", "see below", "one", "---", ""]
     texts = ["\n".join(lines), "\n".join(["intro", *lines])]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
-    assert got == {0: texts[0], 1: "intro\nsee below\none"}
+    assert got == {0: texts[0], 1: "intro\n---\n"}
+
+
+def test_units_do_not_depend_on_neighbours():
+    """A text is cut alike alone and in a block; words as the plain definition has them."""
+    rng = random.Random(7)
+    texts = ["\n".join(" ".join(rng.choice(["a", "bé", "C3", "long" * 80, "x,y", "ß"]) + str(rng.randrange(50)) for _ in range(rng.randint(0, 90))) for _ in range(rng.randint(1, 4))) for _ in range(30)]
+    ls = line_dedup.ls
+    whole = ls.block([(i, i, t) for i, t in enumerate(texts)])
+    at = 0
+    for i, t in enumerate(texts):
+        one = ls.block([(i, i, t)])
+        n = len(one.units)
+        assert whole.docs["units"][i] == n and (whole.units[at:at + n] == one.units).all() and (whole.inside[at:at + n] == one.inside).all()
+        at += n
+        h, counts, per_doc = ls.word_hashes([t])
+        words = [tx.plain_words(z) for z in t.split("\n")]
+        assert counts.tolist() == [len(w) for w in words] and per_doc.tolist() == [len(words)]
+        flat = [w for z in words for w in z]
+        assert len(dict(zip(flat, h.tolist()))) == len(set(h.tolist())) == len(set(zip(flat, h.tolist())))
 
 
 def test_decontamination(spark, docs, empty):
