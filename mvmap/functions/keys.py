@@ -77,3 +77,31 @@ def shortest_successor(key: bytes) -> bytes:
         if c != 255:
             return key[:i] + bytes([c + 1])
     return key
+
+
+def internal_separator(start: bytes, limit: bytes) -> bytes:
+    """shortest_separator() of internal keys: where the user part gets shorter, it stands
+    before all its versions; else ``start`` stays."""
+    return _shorter(start, shortest_separator(start[:-8], limit[:-8]))
+
+
+def internal_successor(key: bytes) -> bytes:
+    return _shorter(key, shortest_successor(key[:-8]))
+
+
+def _shorter(key: bytes, user: bytes) -> bytes:
+    if len(user) < len(key) - 8 and key[:-8] < user:
+        return user + (MAX_SEQUENCE << 8 | SEEK).to_bytes(8, "little")
+    return key
+
+
+def compare_internal(a: bytes, b: bytes) -> int:
+    """User parts ascending, then tags descending."""
+    if a[:-8] != b[:-8]:
+        return -1 if a[:-8] < b[:-8] else 1
+    x, y = (int.from_bytes(k[-8:], "little") for k in (a, b))
+    return (y > x) - (y < x)
+
+
+def internal_key(user_key: bytes, seq: int, op: int) -> bytes:
+    return user_key + (seq << 8 | op).to_bytes(8, "little")

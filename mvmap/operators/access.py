@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mvmap.operators import ranges
+
 
 def scan(state: DataFrame, key: str, start=None, limit=None) -> DataFrame:
     """Half-open range [start, limit); None is unbounded."""
@@ -26,43 +28,29 @@ def multi_get(keys: DataFrame, state: DataFrame, key: str) -> DataFrame:
     return keys.join(state.withColumn("_hit", F.lit(True)), key, "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def seek(probes: DataFrame, keys: DataFrame, probe: str, key: str, ranges: int = 64) -> DataFrame:
-    """For each probe p: ``ge``, the least key >= p, and ``lt``, the greatest key
-    < p. Keys and probes are dealt into the same ordered ranges; a range looks up
-    what it lacks in the ends of the ranges around it, so no task sees all keys."""
-    cuts = keys.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)]).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    cell = lambda c: F.array_size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col(c))) if cuts else F.lit(0)
-    k = keys.select(cell(key).alias("cell"), F.col(key).alias("at"), F.lit(None).cast("bigint").alias("p"))
-    q = probes.select(cell(probe).alias("cell"), F.col(probe).alias("at"), F.col(probe).alias("p"))
-    edge = k.groupBy("cell").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    around = Window.orderBy("cell")
-    edge = edge.union(q.select("cell").distinct().withColumn("lo", F.lit(None).cast("bigint")).withColumn("hi", F.lit(None).cast("bigint"))).groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    edge = edge.select("cell", F.max("hi").over(around.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("lo").over(around.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    w = Window.partitionBy("cell")
-    key_at = F.when(F.col("p").isNull(), F.col("at"))
-    rows = k.union(q)
-    # A probe stands before an equal key for ge, which is then also not below it.
-    rows = rows.withColumn("ge", F.min(key_at).over(w.orderBy("at").rangeBetween(0, Window.unboundedFollowing)))
-    rows = rows.withColumn("lt", F.max(key_at).over(w.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)))
-    rows = rows.filter("p is not null").join(edge, "cell")
-    return rows.select(F.col("p").alias(probe), F.coalesce("ge", "after").alias("ge"), F.coalesce("lt", "before").alias("lt"))
-
-
-def neighbours(state: DataFrame, key: str, part: list[str] = ()) -> DataFrame:
+def seek(probes: DataFrame, keys: DataFrame, probe: str, key: str, points: list | None = None) -> DataFrame:
+    """For each distinct probe p: ``ge``, the least key >= p, and ``lt``, the greatest
+    key < p. Keys and probes are dealt into the same ordered cells, so no task sees
+    all keys."""
+    return ranges.nearest(probes, keys, probe, key, points).select(probe, "ge", "lt")
+
+
+def neighbours(state: DataFrame, key: str, points: list | None = None) -> DataFrame:
     """Each key with its predecessor and successor."""
-    w = Window.partitionBy(*part).orderBy(key)
-    return state.withColumn("prev_key", F.lag(key).over(w)).withColumn("next_key", F.lead(key).over(w))
+    return ranges.around(state, key, points)
 
 
 def next_n(probes: DataFrame, state: DataFrame, probe: str, key: str, n: int) -> DataFrame:
-    """The n entries from each probe on, ranked. Probes are a small stated set
-    and are the broadcast side of the inequality join."""
-    w = Window.partitionBy(probe).orderBy(key)
-    return state.join(F.broadcast(probes), F.col(key) >= F.col(probe)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    """The n entries from each distinct probe on, ranked. Entries are numbered in
+    order; a probe seeks its first one and asks for the n numbers from there on."""
+    points = ranges.cuts(state, key)
+    numbered = ranges.running(state, [key], F.lit(1), F.sum, "_no", points).withColumn("_no", F.coalesce("_no", F.lit(0)))
+    first = seek(probes, state, probe, key, points).filter("ge is not null")
+    first = first.join(numbered.select(F.col(key).alias("ge"), "_no"), "ge").select(probe, F.posexplode(F.sequence(F.col("_no"), F.col("_no") + (n - 1))).alias("rank", "_no"))
+    return first.join(numbered, "_no").withColumn("rank", F.col("rank") + 1).drop("_no")
 
 
-def merge(children: list[DataFrame], keys: list[str]) -> DataFrame:
+def merge(children: list[DataFrame]) -> DataFrame:
     """Bag union of ordered children: duplicates stay, ``child`` is the source."""
     out = children[0].withColumn("child", F.lit(0))
     for i, c in enumerate(children[1:], 1):
@@ -73,7 +61,7 @@ def merge(children: list[DataFrame], keys: list[str]) -> DataFrame:
 def merge_ranked(children: list[DataFrame], keys: list[str]) -> DataFrame:
     """merge() with each entry's place among its key's: newest first, then child."""
     w = Window.partitionBy(*keys).orderBy(F.col("seq").desc(), F.col("op").desc(), "child")
-    return merge(children, keys).withColumn("rank", F.row_number().over(w))
+    return merge(children).withColumn("rank", F.row_number().over(w))
 
 
 def contains(keys: DataFrame, state: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mvmap.operators import ranges
+
 DELETE = 2
 
 
@@ -33,8 +35,7 @@ def collect_for(log: DataFrame, keys: list[str], snapshots: list) -> DataFrame:
 
 
 def covered(log: DataFrame, files: DataFrame, key: str) -> DataFrame:
-    """log with ``base_level``: no deeper file's range holds the key. File
-    metadata is small beside the log and is the broadcast side if its size allows."""
-    ranges = files.select("smallest_key", "largest_key").distinct()
-    hit = log.select(key).distinct().join(ranges, F.col(key).between(F.col("smallest_key"), F.col("largest_key")), "left_semi").withColumn("_deep", F.lit(True))
+    """log with ``base_level``: no deeper file's range holds the key. The keys are
+    looked up in order among the files' ranges, not each against each."""
+    hit = ranges.covered(log, files, key, "smallest_key", "largest_key").withColumn("_deep", F.lit(True))
     return log.join(hit, key, "left").withColumn("base_level", F.col("_deep").isNull()).drop("_deep")

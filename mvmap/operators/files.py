@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mvmap.operators import ranges
+
 #: Fixed values of the level shape.
-L0_TRIGGER, LEVELS, TARGET_FILE = 4, 7, 2 << 20
+L0_TRIGGER, L0_STOP, LEVELS, TARGET_FILE = 4, 12, 7, 2 << 20
 GRANDPARENT_CAP, EXPANSION_CAP = 10 * TARGET_FILE, 25 * TARGET_FILE
 MAX_FLUSH_LEVEL = 2
 
@@ -20,24 +22,27 @@ def statistics(entries: DataFrame, by: list[str], key: str, size: Column) -> Dat
 
 
 def find_file(probes: DataFrame, files: DataFrame, probe: str) -> DataFrame:
-    """Of disjoint sorted files, the first whose largest key is at or past the probe."""
-    hit = probes.join(F.broadcast(files), F.col("largest_key") >= F.col(probe), "left")
-    return hit.groupBy(probe).agg(F.min_by("file_no", "largest_key").alias("file_no"))
+    """Of disjoint sorted files, the first whose largest key is at or past the
+    distinct probe; null past the end."""
+    at = ranges.nearest(probes, files, probe, "largest_key").select(probe, F.col("ge").alias("largest_key"))
+    return at.join(files.select("largest_key", "file_no"), "largest_key", "left").select(probe, "file_no")
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of files whose closed key ranges meet."""
     x = a.select(*[F.col(c).alias(f"a_{c}") for c in ("file_no", "smallest_key", "largest_key")])
     y = b.select(*[F.col(c).alias(f"b_{c}") for c in ("file_no", "smallest_key", "largest_key", "file_size")])
-    return x.join(y, (F.col("a_smallest_key") <= F.col("b_largest_key")) & (F.col("b_smallest_key") <= F.col("a_largest_key")))
+    return ranges.meeting(x, y, "a_smallest_key", "a_largest_key", "b_smallest_key", "b_largest_key")
 
 
 def islands(files: DataFrame) -> DataFrame:
     """Transitive overlap clusters of one level, numbered from 0."""
-    w = Window.orderBy("smallest_key", "file_no")
-    seen = F.max("largest_key").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(seen.isNull() | (F.col("smallest_key") > seen), 1).otherwise(0)
-    return files.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w) - 1).drop("_new")
+    order = ["smallest_key", "file_no"]
+    points = ranges.cuts(files, order[0])
+    seen = ranges.running(files, order, F.col("largest_key"), F.max, "_seen", points)
+    new = seen.withColumn("_new", F.when(F.col("smallest_key") <= F.col("_seen"), 0).otherwise(1)).drop("_seen")
+    out = ranges.running(new, order, F.col("_new"), F.sum, "_ahead", points)
+    return out.withColumn("cluster", F.coalesce("_ahead", F.lit(0)) + F.col("_new") - 1).drop("_new", "_ahead")
 
 
 def scores(levels: DataFrame) -> DataFrame:
@@ -50,19 +55,37 @@ def pick(files: DataFrame, pointer) -> DataFrame:
     return files.orderBy((F.col("largest_key") <= pointer).cast("int"), "smallest_key").limit(1)
 
 
-def running_bucket(rows: DataFrame, order: list[str], size: str, limit: int, part: list[str] = ()) -> DataFrame:
-    """Output number by running bytes before each row."""
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("running", F.sum(size).over(w)).withColumn("bucket", F.floor((F.col("running") - F.col(size)) / limit).cast("bigint"))
+def flush_level(flushed: DataFrame, below: DataFrame) -> DataFrame:
+    """file_no, flush_level: where a flushed file goes. It sinks a level while the next
+    one holds none of its keys and the one after that at most GRANDPARENT_CAP bytes of
+    files that meet it, to MAX_FLUSH_LEVEL at most."""
+    met = overlaps(flushed, below).join(below.select(F.col("file_no").alias("b_file_no"), "level"), "b_file_no")
+    at = lambda n: F.count_if(F.col("level") == n) > 0
+    heavy = lambda n: F.coalesce(F.sum(F.when(F.col("level") == n, F.col("b_file_size"))), F.lit(0)) > GRANDPARENT_CAP
+    level = F.lit(MAX_FLUSH_LEVEL)
+    for n in reversed(range(MAX_FLUSH_LEVEL)):
+        level = F.when(at(n + 1) | heavy(n + 2), n).otherwise(level)
+    found = met.groupBy(F.col("a_file_no").alias("file_no")).agg(level.alias("flush_level"))
+    return flushed.select("file_no").join(found, "file_no", "left").select("file_no", F.coalesce("flush_level", F.lit(MAX_FLUSH_LEVEL)).alias("flush_level"))
+
+
+def running_bucket(rows: DataFrame, order: list[str], size: str, limit: int) -> DataFrame:
+    """Output number by running bytes before each row of the total order."""
+    out = ranges.running(rows, order, F.col(size), F.sum, "_ahead")
+    return out.withColumn("bucket", F.floor(F.coalesce("_ahead", F.lit(0)) / limit).cast("bigint")).drop("_ahead")
 
 
 def offset_of(keys: DataFrame, files: DataFrame, key: str) -> DataFrame:
-    """Approximate bytes before each key: whole files below it, none above it,
-    a proportional share of the file that holds it."""
+    """Approximate bytes before each distinct key in disjoint sorted files: all files
+    below it and a proportional share of the file that holds it."""
+    points = ranges.cuts(files, "smallest_key")
+    ahead = ranges.running(files, ["smallest_key"], F.col("file_size"), F.sum, "_ahead", points)
+    at = ranges.nearest(keys, files, key, "smallest_key", points).select(key, F.col("le").alias("smallest_key"))
+    held = at.join(ahead.select("smallest_key", "largest_key", "file_size", "_ahead"), "smallest_key", "left")
     span = F.col("largest_key") - F.col("smallest_key") + 1
     inside = F.floor(F.col("file_size") * (F.col(key) - F.col("smallest_key")) / span)
-    part = F.when(F.col("largest_key") <= F.col(key), F.col("file_size")).when(F.col("smallest_key") > F.col(key), 0).otherwise(inside)
-    return keys.join(F.broadcast(files)).groupBy(key).agg(F.sum(part.cast("bigint")).alias("bytes_before"))
+    part = F.when(F.col("largest_key") <= F.col(key), F.col("file_size")).otherwise(inside)
+    return held.select(key, F.coalesce(F.coalesce("_ahead", F.lit(0)) + part, F.lit(0)).cast("bigint").alias("bytes_before"))
 
 
 def fold_edits(edits: DataFrame) -> DataFrame:

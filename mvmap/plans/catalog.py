@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mvmap.functions import keys
 from mvmap.operators import access, compaction, files, visibility
 from mvmap.sources import bindings as b
+from mvmap.sources import wal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,7 +34,7 @@ KEY = ["user_key"]
 def query(name: str, sql: str, wrap: bool = True):
     def add(f):
         QUERIES[name] = f
-        ORACLE_SQL[name] = f"WITH {LOG}{sql if sql.startswith(',') else ' ' + sql}" if wrap else sql
+        ORACLE_SQL[name] = f"WITH {'RECURSIVE ' if ' UNION ALL\n  SELECT ' in sql else ''}{LOG}{sql if sql.startswith(',') else ' ' + sql}" if wrap else sql
         return f
 
     return add
@@ -141,23 +142,23 @@ def q17(spark, d):
     return access.contains(b.table(spark, d, "customer").select(F.col("c_custkey").alias("user_key")), live(spark, d), "user_key")
 
 
-def thirds(spark, d):
+def children(spark, d):
+    """Three children that hold the whole log, and a fourth with a part of it again."""
     rows = log(spark, d)
-    return [rows.filter(F.col("seq") % 3 == i) for i in range(2)] + [rows.filter(F.col("seq") % 6 == 2), rows.filter(F.col("seq") % 6 == 2)]
+    return [rows.filter(F.col("seq") % 3 == i) for i in range(3)] + [rows.filter(F.col("seq") % 6 == 2)]
 
 
-CHILDREN = """(SELECT *, 0 AS child FROM loge WHERE seq % 3 = 0 UNION ALL SELECT *, 1 FROM loge WHERE seq % 3 = 1
- UNION ALL SELECT *, 2 FROM loge WHERE seq % 6 = 2 UNION ALL SELECT *, 3 FROM loge WHERE seq % 6 = 2)"""
+CHILDREN = """(SELECT *, CAST(seq % 3 AS INT) AS child FROM loge UNION ALL SELECT *, 3 FROM loge WHERE seq % 6 = 2)"""
 
 
 @query("q18_merge_bag", f"SELECT * FROM {CHILDREN}")
 def q18(spark, d):
-    return access.merge(thirds(spark, d), KEY)
+    return access.merge(children(spark, d))
 
 
 @query("q19_merge_ordered_rank", f"SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC, op DESC, child) AS rank FROM {CHILDREN}")
 def q19(spark, d):
-    return access.merge_ranked(thirds(spark, d), KEY)
+    return access.merge_ranked(children(spark, d), KEY)
 
 
 @query("q20_level_concat", """SELECT f.file_no, f.smallest_key, f.largest_key, f.n_entries, coalesce(lag(f.largest_key) OVER (ORDER BY f.file_no) < f.smallest_key, TRUE) AS in_order FROM f1 f""")
@@ -178,10 +179,14 @@ def q21(spark, d):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
-@query("q22_asof_snapshot_read", """SELECT o_orderkey AS probe_id, o_custkey % 150 AS user_key, o_orderkey % 10000 AS at, CASE WHEN op = 1 THEN seq END AS found_seq, CASE WHEN op = 1 THEN l.value END AS value
- FROM orders o ASOF LEFT JOIN loge l ON o_custkey % 150 = l.user_key AND o_orderkey % 10000 >= l.seq""")
+#: Probes of every user and over the whole run of sequence numbers, at any size of the tables.
+ASKED = "q AS (SELECT o_orderkey AS probe_id, o_custkey // 10 AS user_key, o_orderkey * 2 // 3 AS \"at\" FROM orders)"
+
+
+@query("q22_asof_snapshot_read", f""", {ASKED} SELECT probe_id, q.user_key, "at", CASE WHEN op = 1 THEN seq END AS found_seq, CASE WHEN op = 1 THEN l.value END AS value
+ FROM q ASOF LEFT JOIN loge l ON q.user_key = l.user_key AND "at" >= l.seq""")
 def q22(spark, d):
-    asked = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("probe_id"), (F.col("o_custkey") % 150).alias("user_key"), (F.col("o_orderkey") % 10000).alias("at"))
+    asked = b.table(spark, d, "orders").selectExpr("o_orderkey AS probe_id", "o_custkey div 10 AS user_key", "o_orderkey * 2 div 3 AS at")
     return visibility.as_of(asked, log(spark, d), "user_key", "at")
 
 
@@ -225,7 +230,12 @@ def q27(spark, d):
     return sums(rows, "before").join(sums(compaction.collect(rows, KEY, b.half(rows)), "after"))
 
 
-@query("q28_compact_invariant", "SELECT CAST(0 AS BIGINT) AS differences")
+VIEW = "SELECT * EXCLUDE (op, rn) FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC, op DESC) AS rn FROM {}) WHERE rn = 1 AND op = 1"
+
+
+@query("q28_compact_invariant", f""", {GC}, k AS (SELECT user_key, seq, op, value FROM g, s WHERE (newer IS NULL OR newer > s) AND NOT (op = 2 AND seq <= s)),
+ n AS ({VIEW.format("k")}), o AS ({VIEW.format("(SELECT k.* FROM k, s WHERE seq <= s)")})
+ SELECT count(*) AS differences FROM ((FROM live EXCEPT ALL FROM n) UNION ALL (FROM n EXCEPT ALL FROM live) UNION ALL (FROM oldlive EXCEPT ALL FROM o) UNION ALL (FROM o EXCEPT ALL FROM oldlive))""")
 def q28(spark, d):
     rows = log(spark, d)
     s = b.half(rows)
@@ -281,21 +291,21 @@ def q34(spark, d):
     return files.pick(b.map_files(b.order_map(spark, d)), 2500).select("file_no", "smallest_key", "largest_key")
 
 
-@query("q35_pick_flush_level", """, o AS (SELECT a.file_no, max(CASE WHEN z.file_no % 2 = 0 THEN 1 ELSE 0 END) AS at1, max(CASE WHEN z.file_no % 2 = 1 THEN 1 ELSE 0 END) AS at2 FROM
- (SELECT file_no, smallest_key * 25 AS lo, largest_key * 4 AS hi FROM f0) a LEFT JOIN f1 z ON a.lo <= z.largest_key AND z.smallest_key <= a.hi GROUP BY a.file_no)
- SELECT file_no, CASE WHEN at1 = 1 THEN 0 WHEN at2 = 1 THEN 1 ELSE 2 END AS flush_level FROM o""")
+@query("q35_pick_flush_level", """, o AS (SELECT a.file_no, max(CASE WHEN z.file_no % 2 = 0 THEN 1 ELSE 0 END) AS at1, max(CASE WHEN z.file_no % 2 = 1 THEN 1 ELSE 0 END) AS at2,
+ sum(CASE WHEN z.file_no % 2 = 1 THEN file_size END) AS bytes2 FROM
+ (SELECT file_no, smallest_key * 25 AS lo, largest_key * 4 AS hi FROM f0) a LEFT JOIN f1 z ON a.lo <= a.hi AND a.lo <= z.largest_key AND z.smallest_key <= a.hi GROUP BY a.file_no)
+ SELECT file_no, CASE WHEN at1 = 1 OR bytes2 > 20971520 THEN 0 WHEN at2 = 1 THEN 1 ELSE 2 END AS flush_level FROM o""")
 def q35(spark, d):
     flushed = b.log_files(log(spark, d)).select("file_no", (F.col("smallest_key") * 25).alias("smallest_key"), (F.col("largest_key") * 4).alias("largest_key"))
-    below = b.map_files(b.order_map(spark, d))
-    met = files.overlaps(flushed, below).groupBy(F.col("a_file_no").alias("file_no")).agg(F.max((F.col("b_file_no") % 2 == 0).cast("int")).alias("at1"), F.max((F.col("b_file_no") % 2 == 1).cast("int")).alias("at2"))
-    level = F.when(F.col("at1") == 1, 0).when(F.col("at2") == 1, 1).otherwise(files.MAX_FLUSH_LEVEL)
-    return flushed.join(met, "file_no", "left").select("file_no", level.alias("flush_level"))
+    below = b.map_files(b.order_map(spark, d)).withColumn("level", F.when(F.col("file_no") % 2 == 0, 1).otherwise(2))
+    return files.flush_level(flushed, below)
 
 
-@query("q36_split_outputs", "SELECT user_key, seq, CAST((sum(CASE WHEN op = 1 THEN 24 ELSE 16 END) OVER (PARTITION BY user_key ORDER BY seq) - CASE WHEN op = 1 THEN 24 ELSE 16 END) // 512 AS BIGINT) AS bucket FROM loge")
+@query("q36_split_outputs", """, n AS (SELECT user_key, seq, CASE WHEN op = 1 THEN 24 ELSE 16 END AS bytes FROM loge)
+ SELECT user_key, seq, CAST((sum(bytes) OVER (ORDER BY user_key, seq DESC) - bytes) // 2097152 AS BIGINT) AS bucket FROM n""")
 def q36(spark, d):
-    rows = log(spark, d).withColumn("bytes", b.entry_size())
-    return files.running_bucket(rows, ["seq"], "bytes", 512, KEY).select("user_key", "seq", "bucket")
+    rows = log(spark, d).withColumn("bytes", b.entry_size()).withColumn("newest", -F.col("seq"))
+    return files.running_bucket(rows, ["user_key", "newest"], "bytes", files.TARGET_FILE).select("user_key", "seq", "bucket")
 
 
 @query("q37_next_level_overlap_bytes", "SELECT a.file_no, CAST(sum(z.file_size) AS BIGINT) AS overlap_bytes FROM f0 a JOIN f1 z ON a.smallest_key <= z.largest_key AND z.smallest_key <= a.largest_key GROUP BY a.file_no")
@@ -356,20 +366,35 @@ def q42(spark, d):
     return files.disjointness(level_files(spark, d)).select("file_no", "smallest_key", "largest_key", "prev_largest")
 
 
-@query("q43_wal_framing", """, r AS (SELECT user_key, seq, 11 + 12 + 13 + CASE WHEN op = 1 THEN 12 ELSE 0 END AS bytes FROM loge), c AS (SELECT *, sum(bytes) OVER (PARTITION BY user_key ORDER BY seq) - bytes AS start FROM r)
- SELECT user_key, seq, CAST(start // 32768 AS BIGINT) AS block, CAST((start + bytes - 1) // 32768 - start // 32768 + 1 AS BIGINT) AS fragments FROM c""")
+#: Records of one operation: batch header, tag and key, and a put's value.
+RECORDS = """r AS (SELECT user_key, seq, op, 25 + CASE WHEN op = 1 THEN 12 ELSE 0 END AS bytes FROM loge),
+ n AS (SELECT *, CAST((sum(bytes) OVER (ORDER BY seq) - bytes) // 4194304 AS BIGINT) AS log_no FROM r),
+ i AS (SELECT *, row_number() OVER (PARTITION BY log_no ORDER BY seq) AS i, sum(bytes) OVER (PARTITION BY log_no ORDER BY seq) AS upto FROM n)"""
+
+
+def records(spark, d):
+    rows = log(spark, d).select("user_key", "seq", (F.lit(25) + F.when(F.col("op") == 1, 12).otherwise(0)).cast("bigint").alias("bytes"))
+    return wal.log_numbers(rows, "seq", "bytes")
+
+
+@query("q43_wal_framing", f""", {RECORDS},
+ p(log_no, i, seq, user_key, block, fragments, pos) AS (SELECT log_no, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM i GROUP BY log_no UNION ALL
+  SELECT log_no, i, seq, user_key, start // 32768, 1 + more, CASE WHEN more > 0 THEN (start // 32768 + 1) * 32768 + over + 11 * more ELSE start + 11 + bytes END FROM
+  (SELECT *, CASE WHEN over > 0 THEN (over + 32756) // 32757 ELSE 0 END AS more FROM
+   (SELECT *, bytes - (32768 - start % 32768 - 11) AS over FROM
+    (SELECT i.log_no, i.i, i.seq, i.user_key, i.bytes, CASE WHEN 32768 - pos % 32768 < 11 THEN pos + 32768 - pos % 32768 ELSE pos END AS start FROM p JOIN i ON i.log_no = p.log_no AND i.i = p.i + 1))))
+ SELECT user_key, seq, log_no, block, fragments FROM p WHERE i > 0""")
 def q43(spark, d):
-    rows = log(spark, d).withColumn("bytes", F.lit(36) + F.when(F.col("op") == 1, 12).otherwise(0))
-    w = Window.partitionBy("user_key").orderBy("seq")
-    rows = rows.withColumn("start", F.sum("bytes").over(w) - F.col("bytes"))
-    block = lambda c: F.floor(c / 32768).cast("bigint")
-    return rows.select("user_key", "seq", block(F.col("start")).alias("block"), (block(F.col("start") + F.col("bytes") - 1) - block(F.col("start")) + 1).alias("fragments"))
+    return wal.framed(records(spark, d), "seq", "bytes").select("user_key", "seq", "log_no", "block", "fragments")
 
 
-@query("q44_group_commit", "SELECT user_key, seq, CAST((sum(CASE WHEN op = 1 THEN 24 ELSE 16 END) OVER (PARTITION BY user_key ORDER BY seq) - CASE WHEN op = 1 THEN 24 ELSE 16 END) // 1024 AS BIGINT) AS commit_no FROM loge")
+@query("q44_group_commit", f""", {RECORDS},
+ w AS (SELECT *, upto - bytes + CASE WHEN bytes <= 131072 THEN bytes + 131072 ELSE greatest(bytes, 1048576) END AS last FROM i),
+ c(log_no, i, commit_no) AS (SELECT log_no, CAST(1 AS BIGINT), CAST(0 AS BIGINT) FROM w GROUP BY log_no UNION ALL
+  SELECT c.log_no, min(x.i), c.commit_no + 1 FROM c JOIN w ON w.log_no = c.log_no AND w.i = c.i JOIN w x ON x.log_no = w.log_no AND x.upto > w.last GROUP BY c.log_no, c.commit_no)
+ SELECT user_key, seq, w.log_no, c.commit_no FROM w ASOF JOIN c ON w.log_no = c.log_no AND w.i >= c.i""")
 def q44(spark, d):
-    rows = log(spark, d).withColumn("bytes", b.entry_size())
-    return files.running_bucket(rows, ["seq"], "bytes", 1024, KEY).select("user_key", "seq", F.col("bucket").alias("commit_no"))
+    return wal.commit_groups(records(spark, d), "seq", "bytes").select("user_key", "seq", "log_no", "commit_no")
 
 
 @query("q45_tag_pack_unpack", "SELECT seq, op, (seq << 8) | op AS tag, ((seq << 8) | op) >> 8 AS seq_back, CAST(((seq << 8) | op) & 255 AS INT) AS op_back FROM loge")

@@ -1,8 +1,11 @@
 """A directory-backed store: an ordered, versioned map as DataFrames.
 
-A write appends a sorted Parquet file and publishes it with a manifest commit;
-reads merge the live files, newest wins; compaction rewrites them under the
-collection rule. Snapshots are sequence numbers pinned on the handle.
+A write appends a sorted Parquet folder and publishes it with a manifest commit;
+reads merge the live files, newest wins; compaction merges files of a level into the
+next one under the collection rule. Snapshots are sequence numbers pinned in the
+store's folder, so they bind every process. Data folders have names of their own, so
+two writers never meet on one; the one that commits second is refused and its folder
+removed.
 """
 
 from __future__ import annotations
@@ -13,30 +16,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mvmap.operators import access, compaction, files, visibility
-from mvmap.sources.batch import WriteBatch
-from mvmap.sources.manifest import Manifest
+from mvmap.plans import leveling
+from mvmap.sources import wal
+from mvmap.sources.batch import BadFormat, WriteBatch
+from mvmap.sources.manifest import CommitConflict, Manifest
 
 LOG_SCHEMA = "user_key binary, seq bigint, op int, value binary"
 
 
 @dataclass
 class Options:
+    """Of the reference's options, those with a meaning here; block size, restart
+    interval, compression and caches are Parquet's and Spark's own."""
+
     create_if_missing: bool = True
     error_if_existing: bool = False
+    #: Level-0 files at which a write compacts first, and at which one is refused otherwise.
     l0_trigger: int = files.L0_TRIGGER
+    l0_stop: int = files.L0_STOP
+    #: Compact after a write that makes a level due.
+    auto_compact: bool = False
+    write_buffer: int = 4 << 20
+    target_file: int = files.TARGET_FILE
     rows_per_file: int = 5_000_000
     bloom_ndv: int = 1_000_000
+    #: Check live folders when the store is opened.
+    paranoid_checks: bool = True
+
+
+@dataclass
+class ReadOptions:
+    snapshot: int | None = None
+
+
+@dataclass
+class WriteOptions:
+    """``sync``: a commit is always on the file system before write() returns."""
+
+    sync: bool = True
 
 
 class SnapshotTooOld(ValueError):
     """Compaction has dropped versions this snapshot would need."""
 
 
+class WritesStalled(RuntimeError):
+    """Level 0 holds as many files as ``l0_stop``; compact first."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options):
         self.spark, self.path, self.options = spark, path.rstrip("/"), options
         self.manifest = Manifest(spark, path)
-        self.pinned: list[int] = []
+        self.pinned: list[tuple[int, str]] = []
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, options: Options | None = None) -> Store:
@@ -47,11 +79,11 @@ class Store:
         elif not store.options.create_if_missing:
             raise FileNotFoundError(path)
         else:
-            store.manifest.commit({"next_file": 1, "last_sequence": 0, "floor": 0, "files": []})
-        state = store.manifest.read()
-        missing = {f["file_no"] for f in state["files"]} - set(store.manifest.listing())
-        if missing:
-            raise FileNotFoundError(f"live files are missing: {sorted(missing)}")
+            store.manifest.commit({"next_file": 1, "last_sequence": 0, "floor": 0, "files": [], "pointers": {}})
+        if store.options.paranoid_checks:
+            missing = {f["folder"] for f in store.state["files"]} - set(store.manifest.folders())
+            if missing:
+                raise FileNotFoundError(f"live files are missing: {sorted(missing)}")
         return store
 
     @property
@@ -60,46 +92,98 @@ class Store:
 
     # writes
 
-    def write_frame(self, ops: DataFrame, order: str) -> int:
+    def write_frame(self, ops: DataFrame, order: str, also: dict | None = None) -> int:
         """Apply rows (user_key, op, value) in the order of the integer column
-        ``order``, distinct from 0 on; returns the last sequence number."""
+        ``order``, distinct from 0 on; returns the last sequence number. ``also``:
+        entries of the state that change in the same commit."""
+        self._make_room()
         state = self.state
-        base, number = state["last_sequence"] + 1, state["next_file"]
+        base = state["last_sequence"] + 1
         rows = ops.select(F.col("user_key").cast("binary"), (F.col(order).cast("bigint") + base).alias("seq"), F.col("op").cast("int"), F.col("value").cast("binary"))
         rows = rows.withColumn("op", F.when(F.col("user_key").isNull(), F.raise_error(F.lit("null key"))).when(~F.col("op").isin(1, 2), F.raise_error(F.lit("unknown operation"))).otherwise(F.col("op")))
-        meta = self._add(rows, number, 0)
-        state["next_file"] = number + 1
-        if meta:
-            state["files"].append(meta)
-            state["last_sequence"] = meta["largest_seq"]
-        return self.manifest.commit(state)["last_sequence"]
-
-    def write(self, batch: WriteBatch) -> int:
+        made = self._add(rows, state, 0)
+        state["files"] += made
+        state["last_sequence"] = max([state["last_sequence"], *(m["largest_seq"] for m in made)])
+        out = self._commit(state | (also or {}), made)["last_sequence"]
+        if self.options.auto_compact:
+            self.maybe_compact()
+        return out
+
+    def _make_room(self) -> None:
+        """Before a write: compact, or refuse it, where level 0 is full."""
+        held = sum(f["level"] == 0 for f in self.state["files"])
+        if held >= self.options.l0_stop:
+            if not self.options.auto_compact:
+                raise WritesStalled(f"{held} files at level 0")
+            self.maybe_compact()
+
+    def write(self, batch: WriteBatch, options: WriteOptions | None = None) -> int:
         if not len(batch):
             return self.state["last_sequence"]
         rows = [(bytearray(k), i, op, None if v is None else bytearray(v)) for i, (op, k, v) in enumerate(batch.ops)]
         return self.write_frame(self.spark.createDataFrame(rows, "user_key binary, ord int, op int, value binary"), "ord")
 
+    def write_group(self, batches: list[WriteBatch]) -> int:
+        """Waiting batches as few commits: each takes what leveling.batch_groups gives it."""
+        last = self.state["last_sequence"]
+        for group in leveling.batch_groups([b.byte_size() for b in batches]):
+            joint = WriteBatch()
+            for i in group:
+                joint.append(batches[i])
+            last = self.write(joint)
+        return last
+
+    def recover_log(self, raw: bytes) -> int:
+        """Apply the batches of a framed log that the store does not hold yet, known by
+        their sequence numbers, in one commit; returns the last sequence number. A batch
+        that begins at or before the store's last number is skipped, the end of a log
+        that was not written whole is dropped."""
+        last = self.state["last_sequence"]
+        joint, ahead = WriteBatch(), last
+        for record in wal.unframe(raw)[0]:
+            sequence, batch = WriteBatch.parse(record)
+            if sequence <= ahead:
+                continue
+            if sequence != ahead + 1:
+                raise BadFormat(f"sequence {ahead + 1} is missing from the log")
+            joint.append(batch)
+            ahead += len(batch)
+        return self.write(joint)
+
     def put(self, key: bytes, value: bytes) -> int:
         return self.write(WriteBatch().put(key, value))
 
     def delete(self, key: bytes) -> int:
         return self.write(WriteBatch().delete(key))
 
-    def _add(self, rows: DataFrame, number: int, level: int) -> dict | None:
-        path = f"{self.path}/data/file_no={number}"
+    def _commit(self, state: dict, made: list[dict]) -> dict:
+        try:
+            return self.manifest.commit(state)
+        except CommitConflict:
+            for m in made:
+                self.manifest.drop_folder(m["folder"])
+            raise
+
+    def _add(self, rows: DataFrame, state: dict, level: int, replaces: list[str] = ()) -> list[dict]:
+        """Write rows as one sorted folder; its metadata, none if it is empty."""
+        number = state["next_file"]
+        state["next_file"] = number + 1
+        folder = self.manifest.new_folder(number)
         writer = rows.sortWithinPartitions(F.col("user_key"), F.col("seq").desc()).write.option("maxRecordsPerFile", self.options.rows_per_file)
         writer = writer.option("parquet.bloom.filter.enabled#user_key", "true").option("parquet.bloom.filter.expected.ndv#user_key", str(self.options.bloom_ndv))
-        writer.parquet(path)
-        return self._describe(number, level)
-
-    def _describe(self, number: int, level: int) -> dict | None:
-        rows = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/data/file_no={number}")
+        writer.parquet(f"{self.path}/data/{folder}")
+        found = self._measure(folder)
+        meta = found and found | {"level": level, "file_no": number, "folder": folder}
+        self.manifest.describe(folder, {"meta": meta, "floor": state["floor"], "replaces": list(replaces)})
+        return [meta] if meta else []
+
+    def _measure(self, folder: str) -> dict | None:
+        rows = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/data/{folder}")
         size = F.octet_length("user_key") + 8 + F.coalesce(F.octet_length("value"), F.lit(0))
         r = rows.agg(F.hex(F.min("user_key")).alias("lo"), F.hex(F.max("user_key")).alias("hi"), F.max("seq").alias("seq"), F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
         if not r["n"]:
             return None
-        return {"file_no": number, "level": level, "smallest_key": r["lo"], "largest_key": r["hi"], "largest_seq": r["seq"], "n_entries": r["n"], "file_size": r["bytes"]}
+        return {"smallest_key": r["lo"], "largest_key": r["hi"], "largest_seq": r["seq"], "n_entries": r["n"], "file_size": r["bytes"]}
 
     # reads
 
@@ -107,11 +191,13 @@ class Store:
         rows = [(f["level"], f["file_no"], f["file_size"], f["smallest_key"], f["largest_key"], f["largest_seq"], f["n_entries"]) for f in self.state["files"]]
         return self.spark.createDataFrame(rows, "level int, file_no bigint, file_size bigint, smallest_key string, largest_key string, largest_seq bigint, n_entries bigint")
 
+    def _rows(self, found: list[dict]) -> DataFrame:
+        paths = [f"{self.path}/data/{f['folder']}" for f in found]
+        return self.spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], LOG_SCHEMA)
+
     def log(self, lo: bytes | None = None, hi: bytes | None = None) -> DataFrame:
         """All versions in live files, of those alone whose range meets [lo, hi]."""
-        live = [f for f in self.state["files"] if (hi is None or f["smallest_key"] <= hi.hex().upper()) and (lo is None or f["largest_key"] >= lo.hex().upper())]
-        paths = [f"{self.path}/data/file_no={f['file_no']}" for f in live]
-        return self.spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], LOG_SCHEMA)
+        return self._rows([f for f in self.state["files"] if leveling.meets(f, lo, hi)])
 
     def _check(self, snapshot: int | None) -> None:
         if snapshot and snapshot < self.state["floor"]:
@@ -121,25 +207,37 @@ class Store:
         self._check(snapshot)
         return visibility.live(self.log(), ["user_key"], snapshot)
 
-    def get(self, key: bytes, snapshot: int | None = None) -> bytes | None:
+    def get(self, key: bytes, snapshot: int | ReadOptions | None = None) -> bytes | None:
+        """The value of a key. Levels are asked from the newest on, and the first that
+        holds a visible entry answers: one read for each level until then."""
+        snapshot = snapshot.snapshot if isinstance(snapshot, ReadOptions) else snapshot
         self._check(snapshot)
-        rows = self.log(key, key).filter(F.col("user_key") == F.lit(bytearray(key)))
-        top = visibility.at_snapshot(rows, snapshot).orderBy(F.col("seq").desc()).limit(1).collect()
-        return bytes(top[0]["value"]) if top and top[0]["op"] == 1 else None
+        for found in leveling.read_order(self.state["files"], key):
+            rows = self._rows(found).filter(F.col("user_key") == F.lit(bytearray(key)))
+            top = visibility.at_snapshot(rows, snapshot).orderBy(F.col("seq").desc()).limit(1).collect()
+            if top:
+                return bytes(top[0]["value"]) if top[0]["op"] == 1 else None
+        return None
 
     def iterator(self, start: bytes | None = None, limit: bytes | None = None, reverse: bool = False, snapshot: int | None = None) -> DataFrame:
+        """Live entries of [start, limit) in order; only files that meet the range are read."""
+        self._check(snapshot)
         literal = lambda k: None if k is None else F.lit(bytearray(k))
-        rows = access.scan(self.view(snapshot), "user_key", literal(start), literal(limit))
+        held = access.scan(self.log(start, limit), "user_key", literal(start), literal(limit))
+        rows = visibility.live(held, ["user_key"], snapshot)
         return rows.orderBy(F.col("user_key").desc() if reverse else F.col("user_key"))
 
     def snapshot(self) -> int:
-        self.pinned.append(self.state["last_sequence"])
-        return self.pinned[-1]
+        sequence = self.state["last_sequence"]
+        self.pinned.append((sequence, self.manifest.pin(sequence)))
+        return sequence
 
     def release(self, snapshot: int) -> bool:
-        if snapshot in self.pinned:
-            self.pinned.remove(snapshot)
-            return True
+        for held in self.pinned:
+            if held[0] == snapshot:
+                self.manifest.unpin(held[1])
+                self.pinned.remove(held)
+                return True
         return False
 
     def property(self, name: str) -> str | None:
@@ -153,41 +251,93 @@ class Store:
         return None
 
     def approximate_sizes(self, ranges: list[tuple[bytes, bytes]]) -> list[int]:
-        """Bytes of whole files below the limit less those below the start, files
-        that hold a bound counted by half."""
+        """Bytes of whole files below the limit less those below the start; a file
+        that holds a bound counts by the bound's place between its ends."""
         found = self.state["files"]
-
-        def before(key: bytes) -> int:
-            k = key.hex().upper()
-            return sum(f["file_size"] if f["largest_key"] <= k else 0 if f["smallest_key"] > k else f["file_size"] // 2 for f in found)
-
-        return [max(0, before(b) - before(a)) for a, b in ranges]
+        return [max(0, leveling.bytes_before(found, b) - leveling.bytes_before(found, a)) for a, b in ranges]
 
     # upkeep
 
-    def compact(self) -> None:
-        """Rewrite all files as one sorted run below the oldest pinned snapshot."""
+    def _oldest(self, state: dict) -> int:
+        return min([*self.manifest.pins(), state["last_sequence"]])
+
+    def compact(self, begin: bytes | None = None, end: bytes | None = None) -> int:
+        """Push all entries of [begin, end] down, level by level, to the deepest level
+        that holds any; returns the number of steps. Without bounds all files become
+        one level."""
+        steps = 0
+        held = [f["level"] for f in self.state["files"] if leveling.meets(f, begin, end)]
+        deepest = max(held, default=0)
+        for level in range(max(1, deepest)):
+            steps += self._step(level, begin, end)
+        if held and deepest and not steps:
+            steps += self._rewrite(deepest, begin, end)
+        return steps
+
+    def _step(self, level: int, begin: bytes | None, end: bytes | None) -> int:
+        state = self.state
+        seeds = [f for f in leveling.overlapping(state["files"], level, begin, end)]
+        if not seeds:
+            return 0
+        self._run(state, leveling.plan(state["files"], level, seeds))
+        return 1
+
+    def _rewrite(self, level: int, begin: bytes | None, end: bytes | None) -> int:
+        """Collect within the deepest level itself, as a released snapshot asks for."""
         state = self.state
-        if not state["files"]:
+        seeds = leveling.overlapping(state["files"], level, begin, end)
+        self._run(state, leveling.Plan(level, seeds, [], []), target=level)
+        return 1
+
+    def _run(self, state: dict, plan: leveling.Plan, target: int | None = None) -> None:
+        """One compaction: move a file down as it is, or merge the inputs."""
+        target = plan.level + 1 if target is None else target
+        inputs = plan.inputs + plan.below
+        gone = {f["folder"] for f in inputs}
+        rest = [f for f in state["files"] if f["folder"] not in gone]
+        if plan.trivial and target != plan.level:
+            state["files"] = rest + [plan.inputs[0] | {"level": target}]
+            self._commit(self._pointed(state, plan), [])
             return
-        oldest = min([*self.pinned, state["last_sequence"]])
-        kept = compaction.collect(self.log(), ["user_key"], oldest).repartitionByRange("user_key")
-        meta = self._add(kept, state["next_file"], 1)
-        state |= {"next_file": state["next_file"] + 1, "floor": max(state["floor"], oldest), "files": [meta] if meta else []}
-        self.manifest.commit(state)
-
-    def maybe_compact(self) -> bool:
-        """Compact once level 0 holds the trigger's number of files."""
-        due = sum(f["level"] == 0 for f in self.state["files"]) >= self.options.l0_trigger
-        if due:
-            self.compact()
-        return due
-
-    def vacuum(self) -> list[int]:
-        """Delete data files that the latest version does not name."""
-        gone = sorted(set(self.manifest.listing()) - {f["file_no"] for f in self.state["files"]})
-        for n in gone:
-            self.manifest.drop_file(n)
+        oldest = self._oldest(state)
+        deeper = [f for f in rest if f["level"] > target]
+        rows = self._rows(inputs)
+        ranges = [(bytearray.fromhex(f["smallest_key"]), bytearray.fromhex(f["largest_key"])) for f in deeper]
+        if ranges:
+            below = self.spark.createDataFrame(ranges, "smallest_key binary, largest_key binary")
+            kept = compaction.collect(compaction.covered(rows, below, "user_key"), ["user_key"], oldest, F.col("base_level")).select("user_key", "seq", "op", "value")
+        else:
+            kept = compaction.collect(rows, ["user_key"], oldest)
+        state["floor"] = max(state["floor"], oldest)
+        made = self._add(kept.repartitionByRange("user_key"), state, target, sorted(gone))
+        state["files"] = rest + made
+        self._commit(self._pointed(state, plan), made)
+
+    @staticmethod
+    def _pointed(state: dict, plan: leveling.Plan) -> dict:
+        pointers = dict(state.get("pointers", {}))
+        pointers[str(plan.level)] = max(f["largest_key"] for f in plan.inputs)
+        return state | {"pointers": pointers}
+
+    def maybe_compact(self) -> int:
+        """Compact the level of the highest score until none is due; returns the steps."""
+        steps = 0
+        while True:
+            state = self.state
+            level, score = leveling.best_level(state["files"], self.options.l0_trigger)
+            if score < 1:
+                return steps
+            self._run(state, leveling.plan(state["files"], level, leveling.next_seeds(state["files"], level, state.get("pointers", {}).get(str(level)))))
+            steps += 1
+
+    def vacuum(self, keep_versions: int = 10, pending_seconds: float = 3600) -> list[str]:
+        """Delete data folders that none of the ``keep_versions`` latest versions names
+        (readers may still scan those) and that no writer has touched for
+        ``pending_seconds`` (it may be about to commit them)."""
+        live = {f["folder"] for state in self.manifest.recent(max(1, keep_versions)) for f in state["files"]}
+        gone = [d for d in self.manifest.folders() if d not in live and self.manifest.age(d) >= pending_seconds]
+        for d in gone:
+            self.manifest.drop_folder(d)
         return gone
 
     @staticmethod
@@ -196,13 +346,20 @@ class Store:
 
     @classmethod
     def repair(cls, spark: SparkSession, path: str, options: Options | None = None) -> Store:
-        """Rebuild the manifest from the data files present, all as level 0."""
+        """Rebuild the manifest from the data folders that were written whole, all as
+        level 0. Folders that a compaction has replaced stay out, so nothing that it
+        dropped comes back. The floor is the highest of any folder."""
         store = cls(spark, path, options or Options())
-        found = store.manifest.listing()
-        metas = [m for n in found if (m := store._describe(n, 0))]
+        told = {d: m for d in store.manifest.folders() if (m := store.manifest.described(d))}
+        replaced = {r for m in told.values() for r in m["replaces"]}
+        found = [m["meta"] | {"level": 0} for d, m in told.items() if d not in replaced and m["meta"]]
         version = (store.manifest.versions() or [0])[-1]
-        store.manifest.commit({"version": version, "next_file": max(found, default=0) + 1, "last_sequence": max((m["largest_seq"] for m in metas), default=0), "floor": 0, "files": metas})
+        state = {"version": version, "next_file": 1 + max((int(d.split("-")[0]) for d in store.manifest.folders()), default=0), "pointers": {}}
+        state |= {"last_sequence": max((m["meta"]["largest_seq"] for m in told.values() if m["meta"]), default=0), "floor": max((m["floor"] for m in told.values()), default=0), "files": found}
+        store.manifest.commit(state)
         return store
 
     def close(self) -> None:
+        for _, name in self.pinned:
+            self.manifest.unpin(name)
         self.pinned.clear()

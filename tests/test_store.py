@@ -5,10 +5,12 @@ import random
 import pytest
 
 from mvmap.functions import keys
-from mvmap.plans.store import Options, SnapshotTooOld, Store
+from mvmap.plans import leveling
+from mvmap.plans.store import Options, SnapshotTooOld, Store, WritesStalled
 from mvmap.sources import wal
 from mvmap.sources.batch import BadFormat, WriteBatch
 from mvmap.sources.manifest import CommitConflict, file_name, parse_file_name
+from mvmap.streaming.ingest import ingest
 
 
 def test_put_get_delete_snapshot_compact(spark, tmp_path):
@@ -31,7 +33,7 @@ def test_put_get_delete_snapshot_compact(spark, tmp_path):
     assert s.log().count() == 499
     with pytest.raises(SnapshotTooOld):
         s.get(b"key1", at)
-    assert len(s.vacuum()) == 3
+    assert s.vacuum() == [] and len(s.vacuum(keep_versions=1, pending_seconds=0)) == 3
     again = Store.open(spark, path)
     assert [bytes(r.user_key) for r in again.iterator(b"key10", b"key102").collect()] == [b"key10", b"key100", b"key101"]
     assert bytes(again.iterator(reverse=True).first().user_key) == b"key99"
@@ -45,6 +47,152 @@ def test_put_get_delete_snapshot_compact(spark, tmp_path):
         Store.open(spark, path, Options(create_if_missing=False))
 
 
+def rows_of(store, **kw):
+    return {bytes(r.user_key): bytes(r.value) for r in store.view(**kw).collect()}
+
+
+def test_levels_against_a_dictionary(spark, tmp_path):
+    """Random writes, ranges compacted level by level, snapshots of another handle."""
+    rng = random.Random(4)
+    path, want, past = str(tmp_path / "db"), {}, {}
+    s = Store.open(spark, path, Options(l0_trigger=2))
+    other = Store.open(spark, path)
+    for step in range(6):
+        batch = WriteBatch()
+        for _ in range(60):
+            k = b"%03d" % rng.randrange(80)
+            if rng.random() < 0.3:
+                batch.delete(k)
+                want.pop(k, None)
+            else:
+                v = b"%d" % rng.randrange(10**6)
+                batch.put(k, v)
+                want[k] = v
+        s.write(batch)
+        if step == 2:
+            at = other.snapshot()
+            past = dict(want)
+        if step in (1, 4):
+            s.compact(b"010", b"050")
+        if step == 3:
+            assert s.maybe_compact() >= 1
+        assert rows_of(s) == want
+    s.compact()
+    assert rows_of(s) == want and rows_of(s, snapshot=at) == past
+    assert {f["level"] for f in s.state["files"]} != {0}
+    assert [s.get(k) for k in (b"005", b"077", b"999")] == [want.get(k) for k in (b"005", b"077", b"999")]
+    got = [bytes(r.user_key) for r in s.iterator(b"020", b"040").collect()]
+    assert got == sorted(k for k in want if b"020" <= k < b"040")
+    other.close()
+    s.compact()
+    s.vacuum(keep_versions=1, pending_seconds=0)
+    with pytest.raises(SnapshotTooOld):
+        s.view(at)
+    again = Store.repair(spark, path)
+    assert rows_of(again) == want
+    with pytest.raises(SnapshotTooOld):
+        again.get(b"005", at)
+
+
+def test_repair_leaves_replaced_files_out(spark, tmp_path):
+    """A tombstone that compaction dropped does not bring its put back."""
+    path = str(tmp_path / "db")
+    s = Store.open(spark, path)
+    s.put(b"a", b"1")
+    s.put(b"b", b"2")
+    s.delete(b"a")
+    s.compact()
+    assert len(s.manifest.folders()) == 4
+    again = Store.repair(spark, path)
+    assert rows_of(again) == {b"b": b"2"} and again.state["last_sequence"] == 3
+
+
+def test_damaged_newest_version_is_passed_over(spark, tmp_path):
+    path = tmp_path / "db"
+    s = Store.open(spark, str(path))
+    s.put(b"a", b"1")
+    (path / "manifest" / "00000003.json").write_bytes(b"")
+    again = Store.open(spark, str(path))
+    assert again.get(b"a") == b"1"
+    again.put(b"b", b"2")
+    assert rows_of(Store.open(spark, str(path))) == {b"a": b"1", b"b": b"2"}
+
+
+def test_two_writers(spark, tmp_path):
+    """The second to commit is refused, its folder goes, and nothing is mixed."""
+    path = str(tmp_path / "db")
+    a, b = Store.open(spark, path), Store.open(spark, path)
+    state = b.state
+    a.put(b"k", b"a")
+    made = b._add(spark.createDataFrame([(bytearray(b"k"), 1, 1, bytearray(b"b"))], "user_key binary, seq bigint, op int, value binary"), state, 0)
+    assert a.vacuum(keep_versions=1) == []  # it may be about to commit
+    state["files"] += made
+    with pytest.raises(CommitConflict):
+        b._commit(state, made)
+    assert b.get(b"k") == b"a" and len(a.manifest.folders()) == 1
+
+
+def test_write_stops_at_a_full_level(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "db"), Options(l0_stop=2))
+    s.put(b"a", b"1")
+    s.put(b"b", b"2")
+    with pytest.raises(WritesStalled):
+        s.put(b"c", b"3")
+    t = Store.open(spark, str(tmp_path / "db"), Options(l0_stop=2, l0_trigger=2, auto_compact=True))
+    t.put(b"c", b"3")
+    assert rows_of(t) == {b"a": b"1", b"b": b"2", b"c": b"3"} and t.property("num-files-at-level0") in ("0", "1")
+
+
+def test_log_recovery_and_groups(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "db"))
+    s.put(b"a", b"1")
+    batches = [(1, WriteBatch().put(b"a", b"1")), (2, WriteBatch().put(b"b", b"2").delete(b"a")), (4, WriteBatch().put(b"c", b"3"))]
+    raw = wal.frame([b.contents(n) for n, b in batches])
+    assert s.recover_log(raw + b"\x01" * 5) == 4 and rows_of(s) == {b"b": b"2", b"c": b"3"}
+    assert s.recover_log(raw) == 4
+    with pytest.raises(BadFormat):
+        s.recover_log(wal.frame([WriteBatch().put(b"x", b"").contents(9)]))
+    assert s.write_group([WriteBatch().put(b"d", b"4"), WriteBatch().put(b"e", b"5")]) == 6
+    assert s.state["version"] == 4  # two batches, one commit
+    assert leveling.batch_groups([200_000, 800_000, 100_000, 10, 131_000, 80]) == [[0, 1], [2, 3, 4], [5]]
+
+
+def test_ingest_replays_nothing(spark, tmp_path):
+    """A stream of two files, its checkpoint lost between: no row comes twice."""
+    store = Store.open(spark, str(tmp_path / "db"))
+    source = str(tmp_path / "in")
+    schema = "user_key binary, op int, value binary, at bigint"
+    spark.createDataFrame([(bytearray(b"a"), 1, bytearray(b"1"), 5), (bytearray(b"a"), 1, bytearray(b"2"), 7), (bytearray(b"b"), 2, None, None)], schema).coalesce(1).write.mode("append").parquet(source)
+    run = lambda at: ingest(spark.readStream.schema(schema).parquet(source), store, "at", str(tmp_path / at)).awaitTermination()
+    run("c1")
+    assert rows_of(store) == {b"a": b"2"} and store.state["last_sequence"] == 3
+    run("c2")  # the same batch number again
+    assert store.state["last_sequence"] == 3
+    spark.createDataFrame([(bytearray(b"a"), 2, None, 1)], schema).coalesce(1).write.mode("append").parquet(source)
+    run("c1")
+    assert rows_of(store) == {} and store.state["last_sequence"] == 4 and store.state["epoch"] == 1
+
+
+def test_compaction_plans():
+    """Expansion, grandparents, trivial moves, the level to compact, output cuts."""
+    n = iter(range(100))
+    f = lambda level, lo, hi, size=1: {"level": level, "smallest_key": lo, "largest_key": hi, "file_size": size, "folder": str(next(n)), "file_no": 0}
+    a, b, c = f(0, "10", "20"), f(0, "18", "30"), f(0, "50", "60")
+    assert leveling.overlapping([a, b, c], 0, "05", "12") == [a, b]  # through the overlap of a and b
+    x, y, z = f(1, "10", "19"), f(1, "20", "29"), f(1, "40", "49")
+    below = f(2, "15", "35")
+    deep = f(3, "00", "99", 7)
+    p = leveling.plan([x, y, z, below, deep], 1, [x])
+    assert (p.inputs, p.below, p.grandparents, p.trivial) == ([x, y], [below], [deep], False)
+    p = leveling.plan([x, y | {"file_size": 60 << 20}, below], 1, [x])
+    assert p.inputs == [x]
+    assert leveling.plan([z, deep], 1, [z]).trivial and not leveling.plan([z, deep | {"level": 3, "file_size": 21 << 20}], 1, [z]).trivial
+    assert leveling.best_level([a, b, c, x | {"file_size": 9 << 20}]) == (1, 0.9)
+    assert leveling.next_seeds([x, y, z], 1, "19") == [y] and leveling.next_seeds([x, y, z], 1, "49") == [x]
+    heavy = [f(3, "00", "09", 15 << 20), f(3, "10", "19", 15 << 20), f(3, "20", "29", 15 << 20)]
+    assert leveling.output_cuts(["05", "15", "25", "35"], heavy) == [2]
+
+
 def test_commit_conflict(spark, tmp_path):
     s = Store.open(spark, str(tmp_path / "db"))
     state = s.state
