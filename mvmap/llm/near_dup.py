@@ -5,8 +5,9 @@ Its sketch is the ``k`` least values. Copies (equal sets) collapse to the least
 doc_id first. Each three neighbouring values among the ``listed`` least are one
 entry of an inverted list: of the least values of two documents' union, a share J
 lies in both, so two documents above the threshold miss a common run of three only
-with a probability of about 0.63^listed at J = 0.85 (below 1e-6 for 32), and sets
-of up to ``listed`` shingles never miss one. The whole sketch of k values serves
+with a probability of about 0.63^listed at J = 0.85 (below 1e-6 for 32). Sets of 6 to
+``listed`` shingles never miss one, as a fifth of the union cannot cut the rest into
+runs of two; sets of up to ``SMALL`` shingles are listed under each value too. The whole sketch of k values serves
 the estimate. Its values are drawn from the union without replacement, so it errs
 by 0.03 at k = 128 for large unions, less for smaller ones, and not at all where the
 sketches hold both sets; pairs up to ``SIGMAS`` standard errors below the threshold
@@ -22,7 +23,8 @@ whole texts again: each pair sends one set to its partner's (salted) group, in
 which one set at a time is held.
 
 No words: no shingles, linked with nothing. Fewer words than ``width``: the whole
-sequence is the one shingle. Rows of one doc_id are one document. Rows without a
+sequence is the one shingle. Texts are cut whole, whatever their length; other columns
+are not read, whatever their names. Rows of one doc_id are one document. Rows without a
 doc_id are linked with nothing and kept. An empty table gives an empty result.
 """
 
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from mvmap.llm import common, graph
 from mvmap.llm import text as tx
 
-RUN = 3
+RUN, SMALL = 3, 5
 SIGMAS = 5.0
 BLOCK = 1024
 SALTS = 16
@@ -195,6 +197,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
     runs = F.transform(F.sequence(F.lit(1), F.least(F.size("sketch"), F.lit(listed)) - (RUN - 1)), lambda i: F.xxhash64(*[F.element_at("sketch", i + j) for j in range(RUN)]))
     keys = reps.filter(F.size("sketch") >= RUN).select("rep", "n", F.posexplode(runs).alias("at", "key"))
+    # At place 0 no earlier list is taken to have a pair; what is looked at twice counts once.
+    values = F.transform("sketch", lambda v: F.xxhash64(F.lit("value"), v))
+    keys = keys.union(reps.filter(F.col("n") <= SMALL).select("rep", "n", F.lit(0).alias("at"), F.explode(values).alias("key")))
     lists = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).filter("m > 1")
     multi = common.materialise(keys.join(lists, "key").select("key", "at", "rep", "n", "hub"), "lists")
 
