@@ -258,6 +258,17 @@ def test_near_duplicates(docs, empty, width, percent):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """Sets of four and five shingles at exactly 80 percent, where no run of three is shared for sure."""
+    rng = random.Random(15)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        texts += [" ".join(words), " ".join(words[:8])]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), width=5, percent=80).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
 def lines_left(table, percent=80):
     """text of each (doc_id, text) without later matches, by comparing each line with all."""
     seen, want = [], {}
