@@ -25,9 +25,10 @@ travel as packed arrays, one for each block and bucket, so copies within a block
 one entry; buckets of more than ``BUCKET`` entries are split, each part meeting each
 other. A bucket sorts its entries by (key, length), so that the length filter is a
 range; positions and a signature of ``SIGNS`` times 64 bits, whose missing bits bound the
-overlap, filter its pairs, and each line leaves with its first partner there. The Jaccard index of
-the whole sets verifies these pairs. Lines that had several partners and no true one
-so far meet all of them in a second pass.
+overlap, filter its pairs. Of a line's partners in a bucket the first ``CLEAR`` likely
+ones leave it, or the first ``KEPT`` where none is likely. The Jaccard index of the whole
+sets verifies these pairs. Lines that may have had more partners and have no true one so
+far meet all of them in a second pass.
 
 Null and empty texts have no lines to remove. Rows that repeat a doc_id and text
 get the same decisions and do not remove each other's lines; rows of one doc_id with
@@ -53,10 +54,10 @@ RARITY_BITS = 22
 RARE, COMMON, BUCKET, CELLS = 4096, 1 << 18, 1 << 20, 1 << 16
 #: Pairs that a bucket looks at in one step; lines of a key that later ones meet first.
 STEP, FIRST = 1 << 19, 512
-#: Partners of a line that leave a bucket.
-KEPT = 4
+#: Partners of a line that leave a bucket: of those whose signatures leave half of the words to spare, and of others where there is none.
+CLEAR, KEPT = 2, 48
 #: Words of a signature: one for frequent words, the others for words of at most RARE lines.
-SIGNS = 2
+SIGNS = 3
 #: The words of text.plain_words, in the text as it is.
 WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 FIRSTS = [("s1", "<u8"), ("s2", "<u4"), ("oid", "<i8"), ("tie", "<u4"), ("no", "<i4"), ("many", "u1")]
@@ -445,26 +446,27 @@ def partners(rows, percent: int, part=None, xs=None):
             found += _leaders(rows, large, percent, part)
             lo = np.where(large, hi, lo)
     found += _windows(rows, hi, lo, hi, percent, part)
-    a, b = (np.concatenate([f[i] for f in found]) if found else np.empty(0, dtype=np.int64) for i in (0, 1))
-    more = np.concatenate([f[2] for f in found]) if found else np.empty(0, dtype=bool)
+    a, b, clear, more = (np.concatenate([f[i] for f in found]) if found else np.empty(0, dtype=np.int64) for i in range(4))
     # The later one is x.
     x, y = _directed(rows, a, b)
     if xs is not None:
         x, y = x[wanted[x]], y[wanted[x]]
         return rows["s1"][x], rows["s1"][y], np.zeros(len(x), dtype=bool)
-    order = np.lexsort((rows["s1"][y], rows["no"][y], rows["oid"][y], rows["s1"][x]))
-    x, y, more = rows["s1"][x][order], rows["s1"][y][order], more[order]
+    clear, more = clear.astype(bool), more.astype(bool)
+    order = np.lexsort((rows["s1"][y], rows["no"][y], rows["oid"][y], ~clear, rows["s1"][x]))
+    x, y, clear, more = rows["s1"][x][order], rows["s1"][y][order], clear[order], more[order]
     if not len(x):
         return x, y, more
     first = np.append(True, x[1:] != x[:-1])
     fresh = first | np.append(True, y[1:] != y[:-1])
     at = np.flatnonzero(first)
     line = np.cumsum(first) - 1
-    # The place of each partner among the different ones of its line.
+    # The place of each partner among the different ones of its line, likely ones first.
     nth = np.cumsum(fresh) - 1
     nth -= nth[at][line]
-    more = (np.logical_or.reduceat(more, at) | (np.maximum.reduceat(nth, at) >= KEPT))[line]
-    ok = fresh & (nth < KEPT)
+    kept = np.where(clear[at], CLEAR, KEPT)[line]
+    ok = fresh & (nth < kept) & (clear | ~clear[at][line])
+    more = np.logical_or.reduceat(more | (fresh & ~ok), at)[line]
     return x[ok], y[ok], more[ok]
 
 
@@ -497,7 +499,7 @@ def _directed(rows, a, b):
 
 
 def _windows(rows, at, lo, hi, percent, part):
-    """[(a, b, False)]: the pairs of at[i] with lo[i] to hi[i] - 1 that pass."""
+    """[(a, b, clear, False)]: the pairs of at[i] with lo[i] to hi[i] - 1 that pass."""
     import numpy as np
 
     out, size = [], np.maximum(hi - lo, 0)
@@ -508,8 +510,8 @@ def _windows(rows, at, lo, hi, percent, part):
         k = size[begin:stop]
         a = np.repeat(at[begin:stop], k)
         b = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[begin:stop], k)
-        ok = _passes(rows, a, b, percent, part)
-        out.append((a[ok], b[ok], np.zeros(len(ok), dtype=bool)))
+        ok, clear = _passes(rows, a, b, percent, part)
+        out.append((a[ok], b[ok], clear, np.zeros(len(ok), dtype=bool)))
         begin = stop
     return out
 
@@ -535,8 +537,8 @@ def _leaders(rows, large, percent, part):
                 a, b = mine[a[a > b]], mine[b[a > b]]
                 ok = large[np.maximum(a, b)]
                 a, b = a[ok], b[ok]
-                ok = _passes(rows, a, b, percent, part)
-                out.append((a[ok], b[ok], np.ones(len(ok), dtype=bool)))
+                ok, clear = _passes(rows, a, b, percent, part)
+                out.append((a[ok], b[ok], clear, np.ones(len(ok), dtype=bool)))
                 back = np.zeros(len(rows), dtype=bool)
                 back[a[ok]] = True
                 got |= back[mine]
@@ -546,7 +548,8 @@ def _leaders(rows, large, percent, part):
 
 
 def _passes(rows, a, b, percent, part):
-    """Of the pairs, those that the length, positional and signature filters let pass."""
+    """Of the pairs, those that the length, positional and signature filters let pass,
+    and which of these leave half of the spare words."""
     import numpy as np
 
     n = rows["n"].astype(np.int64)
@@ -559,12 +562,13 @@ def _passes(rows, a, b, percent, part):
     ok = ok[rows["s1"][a[ok]] != rows["s1"][b[ok]]]
     # Words of each that the other lacks, at most.
     spare_a, spare_b = na[ok] - need[ok], nb[ok] - need[ok]
+    half = (spare_a + spare_b) // 2
     for i in reversed(range(SIGNS)):
         x, y = rows[f"sig{i}"][a[ok]], rows[f"sig{i}"][b[ok]]
         spare_a, spare_b = spare_a - np.bitwise_count(x & ~y), spare_b - np.bitwise_count(y & ~x)
         good = (spare_a >= 0) & (spare_b >= 0)
-        ok, spare_a, spare_b = ok[good], spare_a[good], spare_b[good]
-    return ok
+        ok, spare_a, spare_b, half = ok[good], spare_a[good], spare_b[good], half[good]
+    return ok, spare_a + spare_b >= half
 
 
 # Verification
