@@ -15,8 +15,10 @@ through Spark's commit protocol on any store Spark can reach; ``<path>/index`` i
 the chunk index: file, chunk, first id overall, number of ids and documents,
 first and last document, crc32 of the image.
 
-Null text counts as empty (the end id alone). Rows sort by (doc_id nulls first,
-text); repeated rows are stored each. An empty table gives an empty file set.
+Null text counts as empty (the end id alone). Texts are encoded whole; a very long one
+makes its chunk as large as it is. Rows sort by (doc_id nulls first, text); repeated
+rows are stored each, ties in no defined order, as they are alike. An empty table gives
+an empty file set. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

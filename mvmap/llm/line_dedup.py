@@ -40,6 +40,7 @@ that ``n_chars`` follows the text.
 from __future__ import annotations
 
 import re
+import zlib
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,9 +54,9 @@ RARITY_BITS = 22
 #: Most lines of a word that is a key alone, and of one that makes pairs; entries of a bucket; parts of the key space whose entries are counted.
 RARE, COMMON, BUCKET, CELLS = 4096, 1 << 18, 1 << 20, 1 << 16
 #: Pairs that a bucket looks at in one step; lines of a key that later ones meet first.
-STEP, FIRST = 1 << 19, 512
+STEP, FIRST = 1 << 19, 2048
 #: Partners of a line that leave a bucket: of those whose signatures leave half of the words to spare, and of others where there is none.
-CLEAR, KEPT = 2, 48
+CLEAR, KEPT = 3, 128
 #: Words of a signature: one for frequent words, the others for words of at most RARE lines.
 SIGNS = 3
 #: The words of text.plain_words, in the text as it is.
@@ -329,12 +330,16 @@ def _cells(key):
     return (key >> np.uint64(48)).astype(np.int64) % CELLS
 
 
-def _count_cells(batches, rarity, percent: int):
+def _count_cells(batches, rarity, percent: int, every: int):
+    """Entries of each cell, from one of ``every`` blocks: they only tell how to deal the
+    work, no result depends on them."""
     import numpy as np
 
     total = np.zeros(CELLS, dtype=np.int64)
-    for block in ls.unpack(batches):
-        total += np.bincount(_cells(_keys(block, rarity.value, percent)[4]), minlength=CELLS)
+    for batch in batches:
+        picked = [i for i in range(batch.num_rows) if zlib.crc32(batch.column(0)[i].as_py()[:64]) % every == 0]
+        for block in ls.unpack([batch.take(picked)] if picked else []):
+            total += every * np.bincount(_cells(_keys(block, rarity.value, percent)[4]), minlength=CELLS)
     yield _sparse(total)
 
 
@@ -369,7 +374,7 @@ def _signs(vocabulary, words, sizes, rarity):
     """Names and values of the signature's words."""
     import numpy as np
 
-    which = np.where(rarity[_slots(vocabulary)] > RARE, 0, 1 + (vocabulary >> np.uint64(6)) % np.uint64(SIGNS - 1))
+    which = (vocabulary >> np.uint64(6)) % np.uint64(SIGNS)
     bit = np.uint64(1) << (vocabulary & np.uint64(63))
     starts = np.cumsum(sizes) - sizes
     return [(f"sig{i}", np.bitwise_or.reduceat(np.where(which == i, bit, np.uint64(0))[words], starts)) for i in range(SIGNS)]
@@ -431,21 +436,24 @@ def partners(rows, percent: int, part=None, xs=None):
     key = rows["key"].astype(np.uint64) << np.uint64(32)
     place = key | rows["n"]
     bound = lambda of, side: np.searchsorted(place, key | of.astype(np.uint64), side=side)
-    hi = np.arange(len(rows))
     lo = bound((percent * n + 99) // 100, "left")
+    # Words from the entry's place on bound the length of a shorter partner.
+    rest = n - rows["pos"]
+    own = np.arange(len(rows))
+    hi = np.minimum(own, bound(np.maximum(rest * (100 + percent) // percent - n, 0), "right"))
     found = []
     wanted = None if xs is None else _has(xs, rows["s1"])
     if wanted is not None:
         # Pairs without a wanted line are not looked at.
         lo = np.where(wanted, lo, hi)
         up = bound(100 * n // percent, "right")
-        found += _windows(rows, np.flatnonzero(wanted), hi[wanted] + 1, up[wanted], percent, part)
+        found += _windows(rows, own[wanted], own[wanted] + 1, up[wanted], percent, part)
     else:
         large = hi - lo > FIRST
         if large.any():
             found += _leaders(rows, large, percent, part)
             lo = np.where(large, hi, lo)
-    found += _windows(rows, hi, lo, hi, percent, part)
+    found += _windows(rows, own, lo, hi, percent, part)
     a, b, clear, more = (np.concatenate([f[i] for f in found]) if found else np.empty(0, dtype=np.int64) for i in range(4))
     # The later one is x.
     x, y = _directed(rows, a, b)
@@ -518,7 +526,7 @@ def _windows(rows, at, lo, hi, percent, part):
 
 def _leaders(rows, large, percent, part):
     """Keys with a line of more than FIRST possible partners: all its lines meet the
-    first FIRST of them by place, then those without a partner the next ones."""
+    first FIRST of them by place, then those without a likely partner the next ones."""
     import numpy as np
 
     out = []
@@ -528,21 +536,22 @@ def _leaders(rows, large, percent, part):
         mine = mine[np.lexsort((rows["s1"][mine], rows["no"][mine], rows["oid"][mine]))]
         left, begin = np.arange(len(mine)), 0
         while begin < len(mine) and len(left):
-            heads = np.arange(begin, min(begin + FIRST, len(mine)))
+            end = min(begin + FIRST, len(mine))
+            heads = np.arange(begin, end)
             got = np.zeros(len(mine), dtype=bool)
-            for at in range(0, len(left), STEP // FIRST):
-                chunk = left[at:at + STEP // FIRST]
+            for at in range(0, len(left), max(1, STEP // FIRST)):
+                chunk = left[at:at + max(1, STEP // FIRST)]
                 a, b = np.repeat(chunk, len(heads)), np.tile(heads, len(chunk))
+                a, b = a[a > b], b[a > b]
                 # A pair is in the range of its longer line; small ranges are looked at with those of other keys.
-                a, b = mine[a[a > b]], mine[b[a > b]]
-                ok = large[np.maximum(a, b)]
+                ok = large[np.maximum(mine[a], mine[b])]
                 a, b = a[ok], b[ok]
-                ok, clear = _passes(rows, a, b, percent, part)
-                out.append((a[ok], b[ok], clear, np.ones(len(ok), dtype=bool)))
-                back = np.zeros(len(rows), dtype=bool)
-                back[a[ok]] = True
-                got |= back[mine]
-            begin += FIRST
+                ok, clear = _passes(rows, mine[a], mine[b], percent, part)
+                a, b = a[ok], b[ok]
+                got[a[clear]] = True
+                # A line that has a likely partner does not meet what is left.
+                out.append((mine[a], mine[b], clear, got[a] & (a >= end)))
+            begin = end
             left = left[~got[left] & (left >= begin)]
     return out
 
@@ -616,8 +625,9 @@ def _bit_map(marks: DataFrame, size: int):
 
 
 def _map_size(n: int) -> int:
-    """Bits for n keys: 16 each, at most 16 MiB in all. A bit map only prunes."""
-    bits = 1 << 16
+    """Bits for n keys: 2 MiB of them at least and 16 MiB at most, so that few of many
+    million other keys pass. A bit map only prunes."""
+    bits = 1 << 24
     while bits < 16 * n and bits < 1 << 27:
         bits *= 2
     return bits
@@ -629,8 +639,8 @@ def bit_map(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(_bit_map(common.map_arrow(keys, partial(_mark, size=size), "word int, bits bigint"), size))
 
 
-def _verify(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """s1 of the sets with a verified earlier match."""
+def _verify(blocks: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """s1 of the sets with a verified earlier match; s1 and words of all sets of the pairs."""
     ids = bit_map(pairs.select("x").union(pairs.select("y")))
     sets = common.map_arrow(blocks.select("docs", "lines", "ids", "vocabulary"), partial(_words, sets=ids), "s1 bigint, words array<bigint>")
     sets = common.materialise(sets.groupBy("s1").agg(F.first("words").alias("words")), "line-sets")
@@ -638,18 +648,19 @@ def _verify(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     met = met.join(sets, F.col("y") == F.col("s1"))
     shared = F.size(F.array_intersect("x_words", "words"))
     true = met.filter(shared * (100 + percent) >= (F.size("x_words") + F.size("words")) * percent)
-    out = common.materialise(true.select(F.col("x").alias("s1")).distinct(), "matched")
-    common.release(sets)
-    return out
+    return common.materialise(true.select(F.col("x").alias("s1")).distinct(), "matched"), sets
 
 
-def _key_marks(batches, rarity, percent: int, sets, size: int):
-    """Bits of the index keys of the lines whose set is in a bit map."""
+def _key_marks(batches, rarity, percent: int, size: int):
+    """Bits of the index keys of sets of words."""
     import numpy as np
 
     total = np.zeros(size, dtype=bool)
-    for block in ls.unpack(batches):
-        total[_keys(block, rarity.value, percent, _has(sets.value, block.lines["s1"]))[4] % np.uint64(size)] = True
+    for batch in batches:
+        column = batch.column(0)
+        vocabulary, words = np.unique(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        total[_prefix_keys(vocabulary, words, sizes, rarity.value, percent)[2] % np.uint64(size)] = True
     yield from _sparse_bits(total)
 
 
@@ -661,7 +672,8 @@ def matches(blocks: DataFrame, percent: int) -> DataFrame:
     share = spark.sparkContext.broadcast
     words = blocks.select("docs", "lines", "ids", "vocabulary")
     rarity = share(_counters(common.map_arrow(words, _count_words, PACKED), 1 << RARITY_BITS))
-    cells = _counters(common.map_arrow(words, partial(_count_cells, rarity=rarity, percent=percent), PACKED), CELLS).astype(np.int64)
+    every = max(1, min(8, blocks.count() // 64))
+    cells = _counters(common.map_arrow(words, partial(_count_cells, rarity=rarity, percent=percent, every=every), PACKED), CELLS).astype(np.int64)
     n_buckets = max(64, -(-int(cells.sum()) // BUCKET))
     parts = share(np.append(np.maximum(1, -(-cells // BUCKET)), n_buckets))
 
@@ -673,17 +685,19 @@ def matches(blocks: DataFrame, percent: int) -> DataFrame:
 
     first = common.materialise(met().groupBy("x", "y").agg(F.max("more").alias("more")), "pairs")
     common.sweep(spark)
-    found = _verify(blocks, first.select("x", "y"), percent)
+    found, sets = _verify(blocks, first.select("x", "y"), percent)
     open_ = first.filter("more").select(F.col("x").alias("s1")).distinct()
     open_ = common.materialise(open_.join(found, "s1", "left_anti"), "open")
     n = open_.count()
     if n:
         xs = bit_map(open_)
         size = _map_size(16 * n)
-        keys = share(_bit_map(common.map_arrow(words, partial(_key_marks, rarity=rarity, percent=percent, sets=xs, size=size), "word int, bits bigint"), size))
+        theirs = sets.join(open_, "s1", "left_semi").select("words")
+        keys = share(_bit_map(common.map_arrow(theirs, partial(_key_marks, rarity=rarity, percent=percent, size=size), "word int, bits bigint"), size))
         rest = met(keys, xs).select("x", "y").distinct().join(first.select("x", "y"), ["x", "y"], "left_anti")
         rest = common.materialise(rest, "pairs")
-        found = common.materialise(found.union(_verify(blocks, rest, percent)).distinct(), "matched")
+        found = common.materialise(found.union(_verify(blocks, rest, percent)[0]).distinct(), "matched")
+    common.release(sets)
     return found
 
 

@@ -12,7 +12,10 @@ sequences whose lengths are powers of two, so no id of padding is needed.
 Packing is map-only: a block is a run of documents of one task holding about
 ``block_tokens`` ids, so memory is bounded, no row is shuffled, and a lost task
 is simply run again. Null text counts as empty; every document has at least its
-end id, so each row yields at least one piece. Repeated rows are packed each.
+end id, so each row yields at least one piece. A very long text is cut into full pieces
+and one rest, held whole by its task. Repeated rows are packed each; of rests of equal
+length the earlier row goes first, of sequences of equal cost the earlier one is taken.
+An empty table gives no pieces; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
