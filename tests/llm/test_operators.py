@@ -336,7 +336,7 @@ def test_line_join_of_frequent_words(monkeypatch, rare, common, bucket, first):
         return out
 
     rarity = shared(counters([b for x in blocks for b in ld._count_words([x])], 1 << ld.RARITY_BITS))
-    cells = counters([b for x in blocks for b in ld._count_cells([x], rarity, 80)], ld.CELLS).astype(np.int64)
+    cells = counters([b for x in blocks for b in ld._count_cells([x], rarity, 80, 1)], ld.CELLS).astype(np.int64)
     parts = shared(np.append(np.maximum(1, -(-cells // bucket)), 4))
     assert bucket > 40 or parts.value[:-1].max() > 1
 
