@@ -47,6 +47,12 @@ def length_prefixed(raw: Column) -> Column:
     return F.concat(fixed_le(F.octet_length(raw), 4), raw)
 
 
+def length_value(raw: Column) -> Column:
+    """The bytes of a length_prefixed() value that stands first; null if cut short."""
+    n = unfixed_le(F.substring(raw, F.lit(1), F.lit(4)), 4)
+    return F.when((F.octet_length(raw) >= 4) & (F.octet_length(raw) >= 4 + n), F.substring(raw, F.lit(5), n.cast("int")))
+
+
 def ordered_long(value: Column) -> Column:
     """8 big-endian bytes whose unsigned order is the numeric order."""
     return F.unhex(F.lpad(F.hex(value.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))), 16, "0"))

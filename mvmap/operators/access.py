@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mvmap.functions import keys
 from mvmap.operators import ranges
 
 
@@ -23,9 +24,9 @@ def ends(state: DataFrame, key: str, value: str) -> DataFrame:
     return state.agg(F.min(key).alias("first_key"), F.min_by(value, key).alias("first_value"), F.max(key).alias("last_key"), F.max_by(value, key).alias("last_value"))
 
 
-def multi_get(keys: DataFrame, state: DataFrame, key: str) -> DataFrame:
+def multi_get(asked: DataFrame, state: DataFrame, key: str) -> DataFrame:
     """Each asked key with its value and whether it was found."""
-    return keys.join(state.withColumn("_hit", F.lit(True)), key, "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return asked.join(state.withColumn("_hit", F.lit(True)), key, "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def seek(probes: DataFrame, keys: DataFrame, probe: str, key: str, points: list | None = None) -> DataFrame:
@@ -58,22 +59,31 @@ def merge(children: list[DataFrame]) -> DataFrame:
     return out
 
 
-def merge_ranked(children: list[DataFrame], keys: list[str]) -> DataFrame:
+def merge_sorted(children: list[DataFrame], key: str = "user_key") -> DataFrame:
+    """merge() in internal order: keys ascending, the newest entry of a key first."""
+    return merge(children).orderBy(*keys.internal_order(key), "child")
+
+
+def merge_ranked(children: list[DataFrame], by: list[str]) -> DataFrame:
     """merge() with each entry's place among its key's: newest first, then child."""
-    w = Window.partitionBy(*keys).orderBy(F.col("seq").desc(), F.col("op").desc(), "child")
+    w = Window.partitionBy(*by).orderBy(F.col("seq").desc(), F.col("op").desc(), "child")
     return merge(children).withColumn("rank", F.row_number().over(w))
 
 
-def contains(keys: DataFrame, state: DataFrame, key: str) -> DataFrame:
-    return keys.join(state, key, "left_semi")
+def contains(asked: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    return asked.join(state, key, "left_semi")
 
 
-def may_contain(keys: DataFrame, state: DataFrame, key: str, bits: int = 1 << 16) -> DataFrame:
-    """keys that a one-hash Bloom filter of ``bits`` bits over the state admits;
-    the caller checks them exactly. The filter is one row per 64-bit word, so at
-    most bits / 64 rows are broadcast whatever the state's size."""
+def may_contain(asked: DataFrame, state: DataFrame, key: str, bits_per_key: int = 10, max_bits: int = 1 << 26) -> DataFrame:
+    """Asked keys that a one-hash Bloom filter over the state admits (of others about one
+    in ``bits_per_key``); the caller checks them exactly. The filter is one row per 64-bit
+    word, at most ``max_bits`` / 64 rows, so what is broadcast is bounded; beyond
+    max_bits / bits_per_key keys it admits more."""
+    bits = 1 << 10
+    while bits < min(max_bits, bits_per_key * state.count()):
+        bits *= 2
     slot = lambda: F.pmod(F.xxhash64(key), F.lit(bits))
     words = state.select(slot().alias("s")).groupBy(F.shiftright("s", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("_bits"))
-    asked = keys.withColumn("_s", slot()).withColumn("_word", F.shiftright("_s", 6))
+    asked = asked.withColumn("_s", slot()).withColumn("_word", F.shiftright("_s", 6))
     hit = F.expr("(shiftright(_bits, cast(_s & 63 as int)) & 1) = 1")
     return asked.join(F.broadcast(words), "_word").filter(hit).drop("_s", "_word", "_bits")

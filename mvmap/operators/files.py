@@ -106,3 +106,65 @@ def obsolete(listing: DataFrame, live: DataFrame) -> DataFrame:
 
 def levels(files: DataFrame) -> DataFrame:
     return files.groupBy("level").agg(F.count("*").alias("n_files"), F.sum("file_size").cast("bigint").alias("n_bytes"))
+
+
+def compaction_inputs(level: DataFrame, below: DataFrame) -> DataFrame:
+    """For each file of a disjoint level as the seed of a compaction: its inputs once the
+    next level's files that meet it are known. More files of the seed's own level join
+    where that brings in none of the next level's and all together stay below
+    EXPANSION_CAP. file_no, n_inputs, n_below, input_bytes, below_bytes."""
+    def met(a, b):
+        """a's files with count, bytes and span of b's that meet them."""
+        y = b.select(*[F.col(c).alias(f"b_{c}") for c in ("smallest_key", "largest_key", "file_size")])
+        x = a.select(F.col("file_no").alias("a_file_no"), F.col("smallest_key").alias("a_lo"), F.col("largest_key").alias("a_hi"))
+        found = ranges.meeting(x, y, "a_lo", "a_hi", "b_smallest_key", "b_largest_key")
+        sums = found.groupBy(F.col("a_file_no").alias("file_no")).agg(F.count("*").alias("n"), F.sum("b_file_size").alias("bytes"), F.min("b_smallest_key").alias("lo"), F.max("b_largest_key").alias("hi"))
+        return a.select("file_no", "smallest_key", "largest_key").join(sums, "file_no", "left").fillna({"n": 0, "bytes": 0})
+
+    def reach(found):
+        return found.select("file_no", F.least("smallest_key", F.coalesce("lo", "smallest_key")).alias("smallest_key"), F.greatest("largest_key", F.coalesce("hi", "largest_key")).alias("largest_key"))
+
+    first = met(level, below)
+    wider = met(reach(first), level)
+    again = met(reach(wider), below)
+    both = level.select("file_no", "file_size").join(first.select("file_no", F.col("n").alias("n_below"), F.col("bytes").alias("below_bytes")), "file_no")
+    both = both.join(wider.select("file_no", F.col("n").alias("n_wider"), F.col("bytes").alias("wider_bytes")), "file_no").join(again.select("file_no", F.col("n").alias("n_again")), "file_no")
+    grows = (F.col("n_below") > 0) & (F.col("n_wider") > 1) & (F.col("n_again") == F.col("n_below")) & (F.col("wider_bytes") + F.col("below_bytes") < EXPANSION_CAP)
+    return both.select(
+        "file_no",
+        F.when(grows, F.col("n_wider")).otherwise(1).cast("bigint").alias("n_inputs"),
+        F.col("n_below").cast("bigint").alias("n_below"),
+        F.when(grows, F.col("wider_bytes")).otherwise(F.col("file_size")).cast("bigint").alias("input_bytes"),
+        F.col("below_bytes").cast("bigint").alias("below_bytes"),
+    )
+
+
+def trivial_moves(level: DataFrame, below: DataFrame, deeper: DataFrame) -> DataFrame:
+    """file_no of the files that can move down as they are: nothing of the next level
+    meets them, and at most GRANDPARENT_CAP bytes of the one after."""
+    merged = overlaps(level, below).select(F.col("a_file_no").alias("file_no")).distinct()
+    heavy = overlaps(level, deeper).groupBy(F.col("a_file_no").alias("file_no")).agg(F.sum("b_file_size").alias("bytes")).filter(F.col("bytes") > GRANDPARENT_CAP)
+    return level.select("file_no").join(merged, "file_no", "left_anti").join(heavy.select("file_no"), "file_no", "left_anti")
+
+
+def range_inputs(files: DataFrame, begin, end) -> DataFrame:
+    """Level-0 files of a manual compaction of [begin, end]: those that meet it, and all
+    that hang together with them by overlaps."""
+    found = islands(files)
+    hit = found.groupBy("cluster").agg(F.min("smallest_key").alias("_lo"), F.max("largest_key").alias("_hi"))
+    # Within a cluster every key between its ends is covered by some file.
+    hit = hit.filter((F.col("_lo") <= end) & (F.col("_hi") >= begin)).select("cluster")
+    return found.join(hit, "cluster", "left_semi").drop("cluster")
+
+
+def best_level(levels: DataFrame) -> DataFrame:
+    """level, score of the level that wants compaction most, the upper one of equals."""
+    return scores(levels).orderBy(F.col("score").desc(), "level").limit(1).select("level", "score")
+
+
+def live_files(edits: DataFrame, versions: list[int]) -> DataFrame:
+    """file_no of the files that any of the versions (numbers of their last edits) holds."""
+    every = F.explode(F.array(*[F.lit(v) for v in versions]))
+    seen = edits.withColumn("version", every).filter(F.col("edit_no") <= F.col("version"))
+    w = Window.partitionBy("version", "level", "file_no").orderBy(F.col("edit_no").desc())
+    return seen.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1 and action = 'add'").select("file_no").distinct()

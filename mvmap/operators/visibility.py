@@ -62,3 +62,14 @@ def as_of(probes: DataFrame, log: DataFrame, key: str, at: str) -> DataFrame:
     seen = marks.union(rows).withColumn("e", F.last("e", ignorenulls=True).over(order)).filter("_probe = 1")
     value = F.when(F.col("e.op") == PUT, F.col("e.value"))
     return seen.select("probe_id", key, F.col("seq").alias(at), F.when(F.col("e.op") == PUT, F.col("e.seq")).alias("found_seq"), value.alias("value"))
+
+
+def first_hit(levels: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The newest entry of each key in the first level that holds one, tombstones
+    included, with that ``level``: deeper levels hold older entries only."""
+    rows = None
+    for n, level in enumerate(levels):
+        part = level.withColumn("level", F.lit(n))
+        rows = part if rows is None else rows.unionByName(part)
+    order = Window.partitionBy(*keys).orderBy("level", F.col("seq").desc(), F.col("op").desc())
+    return rows.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")

@@ -419,3 +419,73 @@ def q48(spark, d):
     state = live(spark, d)
     asked = b.table(spark, d, "customer").select(F.col("c_custkey").alias("user_key"))
     return access.contains(access.may_contain(asked, state, "user_key"), state, "user_key")
+
+
+TIERS = """t1 AS (SELECT c_custkey AS file_no, c_custkey * 10 AS smallest_key, c_custkey * 10 + 7 AS largest_key, 1000000 + c_custkey % 7 * 300000 AS file_size FROM customer),
+ t2 AS (SELECT c_custkey AS file_no, c_custkey * 25 AS smallest_key, c_custkey * 25 + 11 AS largest_key, (c_custkey % 5 + 1) * 2097152 AS file_size FROM customer),
+ t3 AS (SELECT c_custkey AS file_no, c_custkey * 40 AS smallest_key, c_custkey * 40 + 35 AS largest_key, (c_custkey % 4 + 1) * 6291456 AS file_size FROM customer)"""
+
+
+def tiers(spark, d):
+    """Three disjoint levels of files."""
+    k = F.col("c_custkey")
+    make = lambda step, width, size: b.table(spark, d, "customer").select(k.alias("file_no"), (k * step).alias("smallest_key"), (k * step + width).alias("largest_key"), size.alias("file_size"))
+    return make(10, 7, 1000000 + k % 7 * 300000), make(25, 11, (k % 5 + 1) * 2097152), make(40, 35, (k % 4 + 1) * 6291456)
+
+
+@query("q49_compaction_inputs", f""", {TIERS},
+ m AS (SELECT a.file_no, a.file_size, a.smallest_key AS lo, a.largest_key AS hi, count(z.file_no) AS n_below, coalesce(sum(z.file_size), 0) AS below_bytes, min(z.smallest_key) AS zlo, max(z.largest_key) AS zhi
+  FROM t1 a LEFT JOIN t2 z ON a.smallest_key <= z.largest_key AND z.smallest_key <= a.largest_key GROUP BY a.file_no, a.file_size, a.smallest_key, a.largest_key),
+ r AS (SELECT *, least(lo, coalesce(zlo, lo)) AS lo2, greatest(hi, coalesce(zhi, hi)) AS hi2 FROM m),
+ w AS (SELECT r.file_no, r.file_size, n_below, below_bytes, lo2, hi2, count(*) AS n_wider, sum(x.file_size) AS wider_bytes, min(x.smallest_key) AS xlo, max(x.largest_key) AS xhi
+  FROM r JOIN t1 x ON x.smallest_key <= hi2 AND x.largest_key >= lo2 GROUP BY r.file_no, r.file_size, n_below, below_bytes, lo2, hi2),
+ g AS (SELECT w.file_no, w.file_size, n_below, below_bytes, n_wider, wider_bytes, count(z.file_no) AS n_again FROM w LEFT JOIN t2 z ON z.smallest_key <= greatest(hi2, xhi) AND z.largest_key >= least(lo2, xlo) GROUP BY w.file_no, w.file_size, n_below, below_bytes, n_wider, wider_bytes),
+ e AS (SELECT *, n_below > 0 AND n_wider > 1 AND n_again = n_below AND wider_bytes + below_bytes < 52428800 AS grows FROM g)
+ SELECT file_no, CASE WHEN grows THEN n_wider ELSE 1 END AS n_inputs, n_below, CAST(CASE WHEN grows THEN wider_bytes ELSE file_size END AS BIGINT) AS input_bytes, CAST(below_bytes AS BIGINT) AS below_bytes FROM e""")
+def q49(spark, d):
+    t1, t2, _ = tiers(spark, d)
+    return files.compaction_inputs(t1, t2)
+
+
+@query("q50_trivial_moves", f""", {TIERS} SELECT file_no FROM t1 a WHERE NOT EXISTS (SELECT 1 FROM t2 z WHERE a.smallest_key <= z.largest_key AND z.smallest_key <= a.largest_key)
+ AND coalesce((SELECT sum(file_size) FROM t3 z WHERE a.smallest_key <= z.largest_key AND z.smallest_key <= a.largest_key), 0) <= 20971520""")
+def q50(spark, d):
+    return files.trivial_moves(*tiers(spark, d))
+
+
+@query("q51_manual_range_inputs", """, x AS (SELECT c_custkey AS file_no, c_custkey * 10 AS smallest_key, c_custkey * 10 + 3 + (c_custkey % 5) * 3 AS largest_key FROM customer),
+ y AS (SELECT *, max(largest_key) OVER (ORDER BY smallest_key, file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM x),
+ c AS (SELECT *, sum(CASE WHEN seen IS NULL OR smallest_key > seen THEN 1 ELSE 0 END) OVER (ORDER BY smallest_key, file_no) AS cluster FROM y),
+ h AS (SELECT cluster FROM c GROUP BY cluster HAVING min(smallest_key) <= 1204 AND max(largest_key) >= 745)
+ SELECT file_no, smallest_key, largest_key FROM c WHERE cluster IN (SELECT cluster FROM h)""")
+def q51(spark, d):
+    k = F.col("c_custkey")
+    f = b.table(spark, d, "customer").select(k.alias("file_no"), (k * 10).alias("smallest_key"), (k * 10 + 3 + (k % 5) * 3).alias("largest_key"))
+    return files.range_inputs(f, 745, 1204)
+
+
+@query("q52_best_level", f", {LEVELS}, c AS (SELECT level, CASE WHEN level = 0 THEN n_files / 4.0 ELSE n_bytes / (10.0 * 1048576 * pow(10.0, level - 1)) END AS score FROM l) SELECT level, CAST(round(score, 6) AS DOUBLE) AS score FROM c ORDER BY c.score DESC, level LIMIT 1")
+def q52(spark, d):
+    return files.best_level(files.levels(level_files(spark, d))).withColumn("score", F.round("score", 6))
+
+
+@query("q53_live_files", f""", {EDITS}, n AS (SELECT max(edit_no) AS n FROM ed), v AS (SELECT unnest([n // 3, n // 2, n]) AS version FROM n),
+ r AS (SELECT version, level, file_no, arg_max(action, edit_no) AS a FROM ed, v WHERE edit_no <= version GROUP BY ALL) SELECT DISTINCT file_no FROM r WHERE a = 'add'""")
+def q53(spark, d):
+    e = edits(spark, d)
+    n = e.agg(F.max("edit_no").alias("n")).first()["n"] or 0
+    return files.live_files(e, [n // 3, n // 2, n])
+
+
+@query("q54_get_by_level", """, t AS (SELECT loge.*, CASE WHEN seq > s THEN 0 WHEN seq > s // 2 THEN 1 ELSE 2 END AS level FROM loge, s)
+ SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY level, seq DESC, op DESC) AS rn FROM t) WHERE rn = 1""")
+def q54(spark, d):
+    rows = log(spark, d)
+    s = b.half(rows)
+    seq = F.col("seq")
+    return visibility.first_hit([rows.filter(seq > s), rows.filter((seq <= s) & (seq > s // 2)), rows.filter(seq <= s // 2)], KEY)
+
+
+@query("q55_log_recovery", f", {RECORDS} SELECT log_no, count(*) AS n_records, max(seq) AS max_seq, CAST(sum(bytes) AS BIGINT) AS bytes FROM i GROUP BY log_no")
+def q55(spark, d):
+    return records(spark, d).groupBy("log_no").agg(F.count("*").alias("n_records"), F.max("seq").alias("max_seq"), F.sum("bytes").alias("bytes"))

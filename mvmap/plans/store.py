@@ -10,17 +10,19 @@ removed.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mvmap.operators import access, compaction, files, visibility
+from mvmap.operators import access, compaction, files, ranges, visibility
 from mvmap.plans import leveling
 from mvmap.sources import wal
 from mvmap.sources.batch import BadFormat, WriteBatch
 from mvmap.sources.manifest import CommitConflict, Manifest
 
+LOGGER = logging.getLogger("mvmap.store")
 LOG_SCHEMA = "user_key binary, seq bigint, op int, value binary"
 
 
@@ -81,7 +83,7 @@ class Store:
         else:
             store.manifest.commit({"next_file": 1, "last_sequence": 0, "floor": 0, "files": [], "pointers": {}})
         if store.options.paranoid_checks:
-            missing = {f["folder"] for f in store.state["files"]} - set(store.manifest.folders())
+            missing = {f["folder"] for f in store.state["files"] if not store.manifest.holds(f["folder"])}
             if missing:
                 raise FileNotFoundError(f"live files are missing: {sorted(missing)}")
         return store
@@ -148,6 +150,7 @@ class Store:
                 raise BadFormat(f"sequence {ahead + 1} is missing from the log")
             joint.append(batch)
             ahead += len(batch)
+        LOGGER.info("recovering operations %d to %d from a log", last + 1, ahead)
         return self.write(joint)
 
     def put(self, key: bytes, value: bytes) -> int:
@@ -160,30 +163,33 @@ class Store:
         try:
             return self.manifest.commit(state)
         except CommitConflict:
-            for m in made:
-                self.manifest.drop_folder(m["folder"])
+            for top in {m["folder"].split("/")[0] for m in made}:
+                self.manifest.drop_folder(top)
             raise
 
-    def _add(self, rows: DataFrame, state: dict, level: int, replaces: list[str] = ()) -> list[dict]:
-        """Write rows as one sorted folder; its metadata, none if it is empty."""
+    def _add(self, rows: DataFrame, state: dict, level: int, replaces: list[str] = (), cuts: list[int] = ()) -> list[dict]:
+        """Write rows as one sorted folder, or one for each range between ``cuts``
+        (places of keys); the metadata of those that are not empty."""
         number = state["next_file"]
-        state["next_file"] = number + 1
         folder = self.manifest.new_folder(number)
-        writer = rows.sortWithinPartitions(F.col("user_key"), F.col("seq").desc()).write.option("maxRecordsPerFile", self.options.rows_per_file)
+        if cuts:
+            rows = rows.withColumn("part", ranges.cell(ranges.place(rows, "user_key"), list(cuts))).repartition("part")
+        writer = rows.sortWithinPartitions(*(["part"] if cuts else []), F.col("user_key"), F.col("seq").desc()).write.option("maxRecordsPerFile", self.options.rows_per_file)
         writer = writer.option("parquet.bloom.filter.enabled#user_key", "true").option("parquet.bloom.filter.expected.ndv#user_key", str(self.options.bloom_ndv))
-        writer.parquet(f"{self.path}/data/{folder}")
-        found = self._measure(folder)
-        meta = found and found | {"level": level, "file_no": number, "folder": folder}
-        self.manifest.describe(folder, {"meta": meta, "floor": state["floor"], "replaces": list(replaces)})
-        return [meta] if meta else []
-
-    def _measure(self, folder: str) -> dict | None:
-        rows = self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/data/{folder}")
+        (writer.partitionBy("part") if cuts else writer).parquet(f"{self.path}/data/{folder}")
+        made = [m | {"level": level, "file_no": number + i} for i, m in enumerate(self._measure(folder, bool(cuts)))]
+        state["next_file"] = number + max(1, len(made))
+        self.manifest.describe(folder, {"files": made, "floor": state["floor"], "replaces": list(replaces)})
+        return made
+
+    def _measure(self, folder: str, parted: bool) -> list[dict]:
+        """Metadata of a folder's parts in key order, from one pass over it."""
+        schema = f"{LOG_SCHEMA}, part int" if parted else LOG_SCHEMA
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/data/{folder}")
         size = F.octet_length("user_key") + 8 + F.coalesce(F.octet_length("value"), F.lit(0))
-        r = rows.agg(F.hex(F.min("user_key")).alias("lo"), F.hex(F.max("user_key")).alias("hi"), F.max("seq").alias("seq"), F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
-        if not r["n"]:
-            return None
-        return {"smallest_key": r["lo"], "largest_key": r["hi"], "largest_seq": r["seq"], "n_entries": r["n"], "file_size": r["bytes"]}
+        found = rows.groupBy(*(["part"] if parted else [])).agg(F.hex(F.min("user_key")).alias("lo"), F.hex(F.max("user_key")).alias("hi"), F.max("seq").alias("seq"), F.count("*").alias("n"), F.sum(size).alias("bytes")).filter("n > 0").collect()
+        name = lambda r: f"{folder}/part={r['part']}" if parted else folder
+        return [{"folder": name(r), "smallest_key": r["lo"], "largest_key": r["hi"], "largest_seq": r["seq"], "n_entries": r["n"], "file_size": r["bytes"]} for r in sorted(found, key=lambda r: r["lo"])]
 
     # reads
 
@@ -250,11 +256,11 @@ class Store:
             return "\n".join(f"{f['level']} {f['file_no']}: {f['file_size']} [{f['smallest_key']} .. {f['largest_key']}]" for f in found)
         return None
 
-    def approximate_sizes(self, ranges: list[tuple[bytes, bytes]]) -> list[int]:
+    def approximate_sizes(self, bounds: list[tuple[bytes, bytes]]) -> list[int]:
         """Bytes of whole files below the limit less those below the start; a file
         that holds a bound counts by the bound's place between its ends."""
         found = self.state["files"]
-        return [max(0, leveling.bytes_before(found, b) - leveling.bytes_before(found, a)) for a, b in ranges]
+        return [max(0, leveling.bytes_before(found, b) - leveling.bytes_before(found, a)) for a, b in bounds]
 
     # upkeep
 
@@ -269,14 +275,15 @@ class Store:
         held = [f["level"] for f in self.state["files"] if leveling.meets(f, begin, end)]
         deepest = max(held, default=0)
         for level in range(max(1, deepest)):
-            steps += self._step(level, begin, end)
+            steps += self.compact_level(level, begin, end)
         if held and deepest and not steps:
             steps += self._rewrite(deepest, begin, end)
         return steps
 
-    def _step(self, level: int, begin: bytes | None, end: bytes | None) -> int:
+    def compact_level(self, level: int, begin: bytes | None = None, end: bytes | None = None) -> int:
+        """One step: the files of a level that meet [begin, end] go into the next level."""
         state = self.state
-        seeds = [f for f in leveling.overlapping(state["files"], level, begin, end)]
+        seeds = leveling.overlapping(state["files"], level, begin, end)
         if not seeds:
             return 0
         self._run(state, leveling.plan(state["files"], level, seeds))
@@ -295,6 +302,7 @@ class Store:
         inputs = plan.inputs + plan.below
         gone = {f["folder"] for f in inputs}
         rest = [f for f in state["files"] if f["folder"] not in gone]
+        LOGGER.info("compacting level %d: %d files, %d below, into level %d", plan.level, len(plan.inputs), len(plan.below), target)
         if plan.trivial and target != plan.level:
             state["files"] = rest + [plan.inputs[0] | {"level": target}]
             self._commit(self._pointed(state, plan), [])
@@ -302,17 +310,24 @@ class Store:
         oldest = self._oldest(state)
         deeper = [f for f in rest if f["level"] > target]
         rows = self._rows(inputs)
-        ranges = [(bytearray.fromhex(f["smallest_key"]), bytearray.fromhex(f["largest_key"])) for f in deeper]
-        if ranges:
-            below = self.spark.createDataFrame(ranges, "smallest_key binary, largest_key binary")
+        spans = [(bytearray.fromhex(f["smallest_key"]), bytearray.fromhex(f["largest_key"])) for f in deeper]
+        if spans:
+            below = self.spark.createDataFrame(spans, "smallest_key binary, largest_key binary")
             kept = compaction.collect(compaction.covered(rows, below, "user_key"), ["user_key"], oldest, F.col("base_level")).select("user_key", "seq", "op", "value")
         else:
             kept = compaction.collect(rows, ["user_key"], oldest)
         state["floor"] = max(state["floor"], oldest)
-        made = self._add(kept.repartitionByRange("user_key"), state, target, sorted(gone))
+        made = self._add(kept, state, target, sorted(gone), self._cuts(rows, inputs, plan))
         state["files"] = rest + made
         self._commit(self._pointed(state, plan), made)
 
+    def _cuts(self, rows: DataFrame, inputs: list[dict], plan: leveling.Plan) -> list[int]:
+        """Where outputs end: at quantiles of the keys, for files of about ``target_file``
+        bytes, and where one would meet too many bytes of the level after the next."""
+        n = min(ranges.MAX_CELLS, -(-leveling.size(inputs) // self.options.target_file))
+        per_cell = -(-sum(f["n_entries"] for f in inputs) // n)
+        return sorted({*(ranges.cuts(rows, "user_key", per_cell) if n > 1 else []), *leveling.grandparent_cuts(plan.grandparents)})
+
     @staticmethod
     def _pointed(state: dict, plan: leveling.Plan) -> dict:
         pointers = dict(state.get("pointers", {}))
@@ -331,12 +346,18 @@ class Store:
             steps += 1
 
     def vacuum(self, keep_versions: int = 10, pending_seconds: float = 3600) -> list[str]:
-        """Delete data folders that none of the ``keep_versions`` latest versions names
-        (readers may still scan those) and that no writer has touched for
-        ``pending_seconds`` (it may be about to commit them)."""
+        """Delete data folders, and parts of folders, that none of the ``keep_versions``
+        latest versions names (readers may still scan those) and that no writer has
+        touched for ``pending_seconds`` (it may be about to commit them)."""
         live = {f["folder"] for state in self.manifest.recent(max(1, keep_versions)) for f in state["files"]}
-        gone = [d for d in self.manifest.folders() if d not in live and self.manifest.age(d) >= pending_seconds]
+        tops = {f.split("/")[0] for f in live}
+        gone = []
+        for d in self.manifest.folders():
+            if self.manifest.age(d) < pending_seconds or d in live:
+                continue
+            gone += [d] if d not in tops else [f["folder"] for f in (self.manifest.described(d) or {"files": []})["files"] if f["folder"] not in live and self.manifest.holds(f["folder"])]
         for d in gone:
+            LOGGER.info("deleting %s", d)
             self.manifest.drop_folder(d)
         return gone
 
@@ -352,10 +373,11 @@ class Store:
         store = cls(spark, path, options or Options())
         told = {d: m for d in store.manifest.folders() if (m := store.manifest.described(d))}
         replaced = {r for m in told.values() for r in m["replaces"]}
-        found = [m["meta"] | {"level": 0} for d, m in told.items() if d not in replaced and m["meta"]]
+        every = [f for m in told.values() for f in m["files"]]
+        found = [f | {"level": 0} for f in every if f["folder"] not in replaced and store.manifest.holds(f["folder"])]
         version = (store.manifest.versions() or [0])[-1]
-        state = {"version": version, "next_file": 1 + max((int(d.split("-")[0]) for d in store.manifest.folders()), default=0), "pointers": {}}
-        state |= {"last_sequence": max((m["meta"]["largest_seq"] for m in told.values() if m["meta"]), default=0), "floor": max((m["floor"] for m in told.values()), default=0), "files": found}
+        state = {"version": version, "next_file": 1 + max([0, *(int(d.split("-")[0]) for d in store.manifest.folders()), *(f["file_no"] for f in every)]), "pointers": {}}
+        state |= {"last_sequence": max((f["largest_seq"] for f in every), default=0), "floor": max((m["floor"] for m in told.values()), default=0), "files": found}
         store.manifest.commit(state)
         return store
 

@@ -87,3 +87,16 @@ def test_framing_and_groups_of_frames(spark):
     assert all(sum(g[1:]) <= wal.SMALL_FIRST for g in total.values()) and [n for g in total.values() for n in g] == sizes
     logs = wal.log_numbers(rows.drop("log_no"), "seq", "bytes", 100_000).collect()
     assert all(r.log_no == sum(sizes[:r.seq]) // 100_000 for r in logs)
+
+
+def test_batch_visitor_and_length_prefix(spark):
+    from pyspark.sql import functions as F
+
+    from mvmap.sources.batch import WriteBatch
+
+    batch, copy = WriteBatch().put(b"a", b"1").delete(b"b").put(b"a", b""), WriteBatch()
+    batch.iterate(copy)
+    assert copy.ops == batch.ops
+    raw = keys.length_prefixed(F.lit(bytearray(b"xyz")))
+    r = spark.range(1).select(keys.length_value(F.concat(raw, F.lit(bytearray(b"tail")))).alias("v"), keys.length_value(F.lit(bytearray(b"\x05\0\0\0ab"))).alias("short")).first()
+    assert (bytes(r.v), r.short) == (b"xyz", None)

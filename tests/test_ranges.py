@@ -81,3 +81,13 @@ def test_files(spark):
     for v in range(-5, 640, 7):
         assert found[v] == next((i for i, _, hi, _ in parts if hi >= v), None)
         assert offsets[v] == sum(n if hi <= v else 0 if lo > v else n * (v - lo) // (hi - lo + 1) for _, lo, hi, n in parts)
+
+
+def test_merges(spark):
+    schema = "user_key bigint, seq bigint, op int"
+    a, b = table(spark, [(1, 3, 1), (2, 1, 1)], schema), table(spark, [(1, 5, 2), (1, 3, 1)], schema)
+    got = [(r.user_key, r.seq, r.child) for r in access.merge_sorted([a, b]).collect()]
+    assert got == [(1, 5, 1), (1, 3, 0), (1, 3, 1), (2, 1, 0)]
+    asked = table(spark, [(k,) for k in range(2000)], "user_key bigint")
+    hit = access.may_contain(asked, a, "user_key").count()
+    assert 2 <= hit < 100 and access.contains(access.may_contain(asked, a, "user_key"), a, "user_key").count() == 2

@@ -94,6 +94,33 @@ def test_levels_against_a_dictionary(spark, tmp_path):
         again.get(b"005", at)
 
 
+def test_outputs_are_split_and_parts_compacted_alone(spark, tmp_path):
+    """Files of about 600 bytes in level 1; a range of them goes on, the others stay as they are."""
+    path = str(tmp_path / "db")
+    s = Store.open(spark, path, Options(target_file=600))
+    value = {b"%04d" % i: b"v%d" % i for i in range(200)}
+    batch = WriteBatch()
+    for k, v in value.items():
+        batch.put(k, v)
+    s.write(batch)
+    s.put(b"0007", b"again")
+    s.compact()
+    held = s.state["files"]
+    assert len(held) >= 4 and {f["level"] for f in held} == {1} and len({f["file_no"] for f in held}) == len(held)
+    spans = sorted((f["smallest_key"], f["largest_key"]) for f in held)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    value[b"0007"] = b"again"
+    assert rows_of(s) == value
+    s.put(b"0150", b"new")
+    value[b"0150"] = b"new"
+    s.compact(b"0150", b"0150")
+    stayed = {f["folder"] for f in held} & {f["folder"] for f in s.state["files"]}
+    assert len(stayed) == len(held) - 1 and rows_of(s) == value
+    gone = s.vacuum(keep_versions=1, pending_seconds=0)
+    assert any("/part=" in d for d in gone) and rows_of(Store.open(spark, path)) == value
+    assert rows_of(Store.repair(spark, path)) == value
+
+
 def test_repair_leaves_replaced_files_out(spark, tmp_path):
     """A tombstone that compaction dropped does not bring its put back."""
     path = str(tmp_path / "db")
@@ -190,7 +217,7 @@ def test_compaction_plans():
     assert leveling.best_level([a, b, c, x | {"file_size": 9 << 20}]) == (1, 0.9)
     assert leveling.next_seeds([x, y, z], 1, "19") == [y] and leveling.next_seeds([x, y, z], 1, "49") == [x]
     heavy = [f(3, "00", "09", 15 << 20), f(3, "10", "19", 15 << 20), f(3, "20", "29", 15 << 20)]
-    assert leveling.output_cuts(["05", "15", "25", "35"], heavy) == [2]
+    assert leveling.grandparent_cuts(heavy) == [(0x19 << 48) + 1]
 
 
 def test_commit_conflict(spark, tmp_path):
