@@ -63,6 +63,7 @@ SIGNS = 3
 WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 FIRSTS = [("s1", "<u8"), ("s2", "<u4"), ("oid", "<i8"), ("tie", "<u4"), ("no", "<i4"), ("many", "u1")]
 ENTRY = [("key", "<u4"), ("n", "<u4"), ("pos", "<u2"), ("s1", "<u8"), *((f"sig{i}", "<u8") for i in range(SIGNS)), ("oid", "<i8"), ("no", "<i4")]
+NUMBERS = {"n", "pos", "oid", "no", "slot"}
 PACKED = "bucket int, part int, other int, rows binary"
 
 
@@ -70,10 +71,14 @@ PACKED = "bucket int, part int, other int, rows binary"
 
 
 def _dump(rows) -> bytes:
-    """A structured array, column by column in planes of bytes, as many of them are all zero."""
+    """A structured array, column by column; numbers in planes of bytes, many of which are all zero."""
     import numpy as np
 
-    return b"".join(np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for c in rows.dtype.names)
+    parts = []
+    for c in rows.dtype.names:
+        column = np.ascontiguousarray(rows[c])
+        parts.append((column.view(np.uint8).reshape(len(rows), -1).T if c in NUMBERS else column).tobytes())
+    return b"".join(parts)
 
 
 def _load(raw, dtype):
@@ -82,10 +87,12 @@ def _load(raw, dtype):
     kind = np.dtype(dtype)
     rows, at = np.empty(len(raw) // kind.itemsize, dtype=kind), 0
     for c in kind.names:
-        size = kind[c].itemsize * len(rows)
-        planes = np.frombuffer(raw, dtype=np.uint8, count=size, offset=at).reshape(-1, len(rows))
-        rows[c] = np.ascontiguousarray(planes.T).view(kind[c]).ravel()
-        at += size
+        if c in NUMBERS:
+            planes = np.frombuffer(raw, dtype=np.uint8, count=kind[c].itemsize * len(rows), offset=at).reshape(-1, len(rows))
+            rows[c] = np.ascontiguousarray(planes.T).view(kind[c]).ravel()
+        else:
+            rows[c] = np.frombuffer(raw, dtype=kind[c], count=len(rows), offset=at)
+        at += kind[c].itemsize * len(rows)
     return rows
 
 
@@ -94,7 +101,7 @@ def _send(rows, bucket, part, other):
     import numpy as np
     import pyarrow as pa
 
-    order = np.lexsort((other, part, bucket))
+    order = np.lexsort((other, part, bucket)) if part.any() or other.any() else np.argsort(bucket)
     rows, where = rows[order], np.stack([bucket, part, other])[:, order]
     cuts = np.flatnonzero(np.append(True, (where[:, 1:] != where[:, :-1]).any(axis=0))) if len(rows) else np.empty(0, dtype=np.int64)
     blobs = [_dump(rows[a:b]) for a, b in zip(cuts, [*cuts[1:], len(rows)])]
@@ -355,6 +362,12 @@ def _send_entries(batches, rarity, percent: int, parts, buckets: int, keys=None)
         if not len(line):
             continue
         sizes = block.lines["n"][at].astype(np.int64)
+        if keys is not None:
+            # Only the lines that are left need a signature.
+            used = np.zeros(len(at), dtype=bool)
+            used[line] = True
+            words, line = words[np.repeat(used, sizes)], (np.cumsum(used) - 1)[line]
+            at, sizes = at[used], sizes[used]
         doc = block.docs[block.doc_of_lines()[at]]
         rows = np.zeros(len(line), dtype=ENTRY)
         rows["key"], rows["pos"] = key & np.uint64(0xFFFFFFFF), np.minimum(place, 0xFFFF)
@@ -482,17 +495,21 @@ def _distinct(rows, part):
     """The rows in order of (key, length); of equal sets from several blocks the first by place."""
     import numpy as np
 
-    order = np.lexsort((rows["s1"], rows["key"].astype(np.uint64) << np.uint64(32) | rows["n"]))
+    place = rows["key"].astype(np.uint64) << np.uint64(32) | rows["n"]
+    order = np.argsort(place)
     rows, part = rows[order], None if part is None else part[order]
-    same = np.zeros(len(rows), dtype=bool)
-    same[1:] = (rows["s1"][1:] == rows["s1"][:-1]) & (rows["key"][1:] == rows["key"][:-1]) & (rows["n"][1:] == rows["n"][:-1])
-    if not same.any():
+    same = tx.mix(rows["s1"] ^ tx.mix(place[order]))
+    by = np.argsort(same)
+    again = np.append(False, same[by][1:] == same[by][:-1])
+    if not again.any():
         return rows, part
-    run = np.cumsum(~same)
-    twin = np.flatnonzero(same | np.append(same[1:], False))
-    by_place = np.lexsort((rows["no"][twin], rows["oid"][twin], run[twin]))
-    rows[twin] = rows[twin[by_place]]
-    return rows[~same], None if part is None else part[~same]
+    run = np.cumsum(~again)
+    twin = np.flatnonzero(again | np.append(again[1:], False))
+    run, twin = run[twin], by[twin]
+    order = np.lexsort((rows["no"][twin], rows["oid"][twin], run))
+    keep = np.ones(len(rows), dtype=bool)
+    keep[twin[order[np.append(False, run[order][1:] == run[order][:-1])]]] = False
+    return rows[keep], None if part is None else part[keep]
 
 
 def _directed(rows, a, b):
