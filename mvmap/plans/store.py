@@ -28,7 +28,7 @@ LOG_SCHEMA = "user_key binary, seq bigint, op int, value binary"
 
 @dataclass
 class Options:
-    """Of the reference's options, those with a meaning here; block size, restart
+    """The options with a meaning for Parquet folders; block size, restart
     interval, compression and caches are Parquet's and Spark's own."""
 
     create_if_missing: bool = True
