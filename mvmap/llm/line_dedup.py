@@ -23,7 +23,9 @@ each prefix word of at most ``RARE`` lines, and for a more frequent one an entry
 each pair (triple) that it makes with later words of the longer prefix. Entries
 travel as packed arrays, one for each block and bucket, so copies within a block are
 one entry; buckets of more than ``BUCKET`` entries are split, each part meeting each
-other. A bucket sorts its entries by (key, length), so that the length filter is a
+other. Their number follows that of the entries, and a task looks at ``BUCKET`` entries
+(or one key's) and about ``PAIRS`` pairs at a time, so its memory does not grow with the
+input. A bucket sorts its entries by (key, length), so that the length filter is a
 range; positions and a signature of ``SIGNS`` times 64 bits, whose missing bits bound the
 overlap, filter its pairs. Of a line's partners in a bucket the first ``CLEAR`` likely
 ones leave it, or the first ``KEPT`` where none is likely. The Jaccard index of the whole
@@ -52,9 +54,9 @@ from mvmap.llm import text as tx
 
 RARITY_BITS = 22
 #: Most lines of a word that is a key alone, and of one that makes pairs; entries of a bucket; parts of the key space whose entries are counted.
-RARE, COMMON, BUCKET, CELLS = 4096, 1 << 18, 1 << 20, 1 << 16
-#: Pairs that a bucket looks at in one step; lines of a key that later ones meet first.
-STEP, FIRST = 1 << 19, 2048
+RARE, COMMON, BUCKET, CELLS = 4096, 1 << 18, 1 << 18, 1 << 16
+#: Pairs that a bucket looks at in one step; lines of a key that later ones meet first; pairs held before the partners over a line's first ones go.
+STEP, FIRST, PAIRS = 1 << 19, 2048, 1 << 20
 #: Partners of a line that leave a bucket: of those whose signatures leave half of the words to spare, and of others where there is none.
 CLEAR, KEPT = 3, 128
 #: Words of a signature: one for frequent words, the others for words of at most RARE lines.
@@ -416,24 +418,33 @@ def _meet(batches, percent: int, parts, xs=None):
     import pyarrow as pa
 
     def flush(group, held):
-        rows = np.concatenate(held)
-        part = None
-        if group[1] != group[2]:
-            # Cells of a split bucket have one number of parts.
-            k = np.full(len(rows), parts.value[group[0] - buckets(parts)])
-            part = _part(rows["s1"], k)
-        x, y, more = partners(rows, percent, part, xs and xs.value)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(more)], ["x", "y", "more"])
+        for rows in _slices(held):
+            part = None
+            if group[1] != group[2]:
+                # Cells of a split bucket have one number of parts.
+                k = np.full(len(rows), parts.value[group[0] - buckets(parts)])
+                part = _part(rows["s1"], k)
+            for x, y, more in partners(rows, percent, part, xs and xs.value):
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(more)], ["x", "y", "more"])
 
     group, held = None, []
     for key, raw in _received(batches):
         if key != group and held:
-            yield flush(group, held)
+            yield from flush(group, held)
             held = []
         group = key
         held.append(_load(raw, ENTRY))
     if held:
-        yield flush(group, held)
+        yield from flush(group, held)
+
+
+def _slices(held):
+    """The entries of a bucket in arrays of about BUCKET entries; those of a key stay together."""
+    import numpy as np
+
+    n = -(-sum(map(len, held)) // BUCKET)
+    for i in range(n):
+        yield np.concatenate(held if n == 1 else [h[(h["key"].astype(np.uint64) * np.uint64(n) >> np.uint64(32)) == i] for h in held])
 
 
 def buckets(parts) -> int:
@@ -441,7 +452,9 @@ def buckets(parts) -> int:
 
 
 def partners(rows, percent: int, part=None, xs=None):
-    """As _meet, of the entries of one bucket. ``part``: only pairs across parts."""
+    """(x, y, more) as _meet, of the entries of one bucket, in pieces. ``part``: only pairs across parts."""
+    from itertools import chain
+
     import numpy as np
 
     rows, part = _distinct(rows, part)
@@ -454,32 +467,46 @@ def partners(rows, percent: int, part=None, xs=None):
     rest = n - rows["pos"]
     own = np.arange(len(rows))
     hi = np.minimum(own, bound(np.maximum(rest * (100 + percent) // percent - n, 0), "right"))
-    found = []
     wanted = None if xs is None else _has(xs, rows["s1"])
     if wanted is not None:
         # Pairs without a wanted line are not looked at.
         lo = np.where(wanted, lo, hi)
         up = bound(100 * n // percent, "right")
-        found += _windows(rows, own[wanted], own[wanted] + 1, up[wanted], percent, part)
-    else:
-        large = hi - lo > FIRST
-        if large.any():
-            found += _leaders(rows, large, percent, part)
-            lo = np.where(large, hi, lo)
-    found += _windows(rows, own, lo, hi, percent, part)
-    a, b, clear, more = (np.concatenate([f[i] for f in found]) if found else np.empty(0, dtype=np.int64) for i in range(4))
-    # The later one is x.
-    x, y = _directed(rows, a, b)
-    if xs is not None:
-        x, y = x[wanted[x]], y[wanted[x]]
-        return rows["s1"][x], rows["s1"][y], np.zeros(len(x), dtype=bool)
+        for a, b, _, _ in chain(_windows(rows, own[wanted], own[wanted] + 1, up[wanted], percent, part), _windows(rows, own, lo, hi, percent, part)):
+            x, y = _directed(rows, a, b)
+            x, y = x[wanted[x]], y[wanted[x]]
+            yield rows["s1"][x], rows["s1"][y], np.zeros(len(x), dtype=bool)
+        return
+    large = hi - lo > FIRST
+    found, size, most = [], 0, PAIRS
+    for a, b, clear, more in chain(_leaders(rows, large, percent, part), _windows(rows, own, np.where(large, hi, lo), hi, percent, part)):
+        # The later one is x.
+        found.append((*_directed(rows, a, b), clear, more))
+        size += len(a)
+        if size > most:
+            found = [_nearest(rows, found)]
+            size = len(found[0][0])
+            most = max(PAIRS, 2 * size)
+    if found:
+        x, y, _, more = _nearest(rows, found)
+        yield rows["s1"][x], rows["s1"][y], more
+
+
+def _nearest(rows, found):
+    """Of the pairs in a list of (x, y, clear, more), those of each line x with its first
+    partners; ``more`` tells whether it has others. What this leaves can be joined with
+    further pairs and go through it again: the result is that of all at once."""
+    import numpy as np
+
+    x, y, clear, more = (np.concatenate([f[i] for f in found]) for i in range(4))
     clear, more = clear.astype(bool), more.astype(bool)
     order = np.lexsort((rows["s1"][y], rows["no"][y], rows["oid"][y], ~clear, rows["s1"][x]))
-    x, y, clear, more = rows["s1"][x][order], rows["s1"][y][order], clear[order], more[order]
+    x, y, clear, more = x[order], y[order], clear[order], more[order]
     if not len(x):
-        return x, y, more
-    first = np.append(True, x[1:] != x[:-1])
-    fresh = first | np.append(True, y[1:] != y[:-1])
+        return x, y, clear, more
+    s1, other = rows["s1"][x], rows["s1"][y]
+    first = np.append(True, s1[1:] != s1[:-1])
+    fresh = first | np.append(True, other[1:] != other[:-1])
     at = np.flatnonzero(first)
     line = np.cumsum(first) - 1
     # The place of each partner among the different ones of its line, likely ones first.
@@ -488,7 +515,7 @@ def partners(rows, percent: int, part=None, xs=None):
     kept = np.where(clear[at], CLEAR, KEPT)[line]
     ok = fresh & (nth < kept) & (clear | ~clear[at][line])
     more = np.logical_or.reduceat(more | (fresh & ~ok), at)[line]
-    return x[ok], y[ok], more[ok]
+    return x[ok], y[ok], clear[ok], more[ok]
 
 
 def _distinct(rows, part):
@@ -524,10 +551,10 @@ def _directed(rows, a, b):
 
 
 def _windows(rows, at, lo, hi, percent, part):
-    """[(a, b, clear, False)]: the pairs of at[i] with lo[i] to hi[i] - 1 that pass."""
+    """(a, b, clear, False) in pieces: the pairs of at[i] with lo[i] to hi[i] - 1 that pass."""
     import numpy as np
 
-    out, size = [], np.maximum(hi - lo, 0)
+    size = np.maximum(hi - lo, 0)
     ends = np.cumsum(size)
     begin = 0
     while begin < len(at):
@@ -536,9 +563,8 @@ def _windows(rows, at, lo, hi, percent, part):
         a = np.repeat(at[begin:stop], k)
         b = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[begin:stop], k)
         ok, clear = _passes(rows, a, b, percent, part)
-        out.append((a[ok], b[ok], clear, np.zeros(len(ok), dtype=bool)))
+        yield a[ok], b[ok], clear, np.zeros(len(ok), dtype=bool)
         begin = stop
-    return out
 
 
 def _leaders(rows, large, percent, part):
@@ -546,7 +572,6 @@ def _leaders(rows, large, percent, part):
     first FIRST of them by place, then those without a likely partner the next ones."""
     import numpy as np
 
-    out = []
     key = rows["key"]
     for k in np.unique(key[large]):
         mine = np.arange(np.searchsorted(key, k), np.searchsorted(key, k, side="right"))
@@ -567,10 +592,9 @@ def _leaders(rows, large, percent, part):
                 a, b = a[ok], b[ok]
                 got[a[clear]] = True
                 # A line that has a likely partner does not meet what is left.
-                out.append((mine[a], mine[b], clear, got[a] & (a >= end)))
+                yield mine[a], mine[b], clear, got[a] & (a >= end)
             begin = end
             left = left[~got[left] & (left >= begin)]
-    return out
 
 
 def _passes(rows, a, b, percent, part):
@@ -740,6 +764,14 @@ def _hits(batches, keys):
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["dkey", "s1", "s2", "oid", "tie", "no"])
 
 
+def _n_places(blocks: DataFrame) -> int:
+    """Lines and units of all blocks."""
+    import numpy as np
+
+    sizes = {"lines": np.dtype(ls.LINE).itemsize, "units": 8}
+    return sum(int(n or 0) for n in blocks.select(*[F.sum(F.floor(F.length(c) / size)) for c, size in sizes.items()]).first())
+
+
 def removals(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
     """dkey, lines: the numbers of the lines (from 0) to remove and of the units
     (below 0) with an earlier equal, one row per distinct (doc_id, text) that has
@@ -748,7 +780,7 @@ def removals(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFram
         raise ValueError("percent must be from 67 to 100")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("oid"), doc_key().alias("dkey"), F.col("text").cast("string").alias("text"))
     blocks = common.materialise(common.map_arrow(rows, partial(_read, min_words=min_words), ls.BLOCKS), "blocks", "zstd")
-    n = max(64, -(-(blocks.count() * 40_000) // BUCKET))
+    n = max(64, -(-_n_places(blocks) // BUCKET))
     sent = common.map_arrow(blocks.select("docs", "lines", "units", "inside"), partial(_send_firsts, buckets=n), PACKED)
     repeated = common.materialise(common.map_arrow(_dealt(sent), _repeated, "s1 bigint, s2 int, oid bigint, tie int, no int"), "repeated")
     common.sweep(docs.sparkSession)

@@ -366,6 +366,62 @@ def test_line_join_of_frequent_words(monkeypatch, rare, common, bucket, first):
     assert all(want[x] <= everything[x] for x in sets)
 
 
+def _bucket_run(rows):
+    """x, y, more of a bucket, and the most MB that looking at it took."""
+    import tracemalloc
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    ld = line_dedup
+    parts = types.SimpleNamespace(value=np.append(np.ones(ld.CELLS, dtype=np.int64), 64))
+    packed = [ld._send(rows[at:at + 4096], *np.zeros((3, len(rows[at:at + 4096])), dtype=np.int64)) for at in range(0, len(rows), 4096)]
+    packed = [pa.Table.from_batches(packed).combine_chunks().to_batches()[0]]
+    tracemalloc.start()
+    got = list(ld._meet(packed, 80, parts))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got] or [np.empty(0)]) for i in range(3)], most
+
+
+def test_line_join_holds_a_bucket_in_bounded_memory():
+    """As many entries as a bucket is dealt, and lines of near copies, whose pairs
+    outnumber the entries by far: two tasks of an executor have room for either."""
+    import numpy as np
+
+    ld, rng = line_dedup, np.random.default_rng(5)
+    rows = np.zeros(ld.BUCKET, dtype=ld.ENTRY)
+    for c, high in (("key", 1 << 32), ("s1", 1 << 63), ("sig0", 1 << 63), ("sig1", 1 << 63), ("sig2", 1 << 63), ("oid", 1 << 40)):
+        rows[c] = rng.integers(0, high, len(rows))
+    rows["n"] = rng.integers(5, 40, len(rows))
+    assert _bucket_run(rows)[1] < 200
+    family, keys = 1500, 4
+    rows = np.zeros(family * keys, dtype=ld.ENTRY)
+    rows["n"], rows["s1"], rows["oid"] = 20, rng.permutation(family * keys), np.arange(family * keys)
+    rows["key"] = np.arange(family * keys) // family * 1000
+    (x, y, more), most = _bucket_run(rows)
+    assert most < 200
+    place = {int(s): i for i, s in enumerate(rows["s1"])}
+    found, others = collections.defaultdict(set), {}
+    for a, b, m in zip(x.tolist(), y.tolist(), more.tolist()):
+        found[place[a]].add(place[b])
+        others[place[a]] = bool(m)
+    for i in range(family * keys):
+        earlier = range(i - i % family, i)
+        assert found.get(i, set()) == set(earlier[:ld.CLEAR])
+        assert others.get(i, False) == (len(earlier) > ld.CLEAR)
+
+
+def test_first_places_are_dealt_by_their_number(spark):
+    """Buckets follow the lines and units that there are, not the number of blocks."""
+    text = "\n".join(f"a{i}" for i in range(3000))
+    blocks = spark.createDataFrame(sum((b.to_pylist() for b in line_dedup.ls.pack(line_dedup.ls.build([(1, 1, text), (2, 2, None)]))), []), line_dedup.ls.BLOCKS)
+    b = line_dedup.ls.block([(1, 1, text), (2, 2, "")])
+    assert line_dedup._n_places(blocks) == 3000 + len(b.units)
+    assert line_dedup._n_places(blocks.limit(0)) == 0
+
+
 def test_line_dedup_of_awkward_tables(spark):
     """Clashing columns, rows that share a doc_id, a very long line."""
     line = "one line of several words that stands here"
