@@ -7,6 +7,7 @@ and never a lost block.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import tempfile
@@ -53,7 +54,9 @@ def release(*frames: DataFrame) -> None:
 
 def sweep(spark: SparkSession) -> None:
     """Let Spark's cleaner see that the shuffles of frames which are gone are unused:
-    one collection on the driver, after a stage whose shuffle is as large as its input."""
+    one collection on the driver, after a stage whose shuffle is as large as its input.
+    Frames in reference cycles are gone after one of Python's own."""
+    gc.collect()
     spark._jvm.System.gc()
 
 

@@ -231,17 +231,20 @@ def _count_words(batches):
     for block in ls.unpack(batches):
         words = block.ids[np.repeat(_fresh(block), block.lines["n"])]
         np.add.at(total, _slots(block.vocabulary), np.bincount(words, minlength=len(block.vocabulary)))
-    yield _sparse(total)
+    yield from _sparse(total)
 
 
 def _sparse(total):
     import numpy as np
 
-    at = np.flatnonzero(total)
-    rows = np.zeros(len(at), dtype=[("slot", "<u4"), ("n", "<u4")])
-    rows["slot"], rows["n"] = at, np.minimum(total[at], 0xFFFFFFFF)
-    part = at // max(1, len(total) // 64)
-    return _send(rows, part, np.zeros_like(part), np.zeros_like(part))
+    width = max(1, len(total) // 64)
+    for part in range(-(-len(total) // width)):
+        piece = total[part * width:(part + 1) * width]
+        at = np.flatnonzero(piece)
+        rows = np.zeros(len(at), dtype=[("slot", "<u4"), ("n", "<u4")])
+        rows["slot"], rows["n"] = part * width + at, np.minimum(piece[at], 0xFFFFFFFF)
+        none = np.zeros(len(at), dtype=np.int64)
+        yield _send(rows, none + part, none, none)
 
 
 def _summed(batches, size: int):
@@ -349,7 +352,7 @@ def _count_cells(batches, rarity, percent: int, every: int):
         picked = [i for i in range(batch.num_rows) if zlib.crc32(batch.column(0)[i].as_py()[:64]) % every == 0]
         for block in ls.unpack([batch.take(picked)] if picked else []):
             total += every * np.bincount(_cells(_keys(block, rarity.value, percent)[4]), minlength=CELLS)
-    yield _sparse(total)
+    yield from _sparse(total)
 
 
 def _send_entries(batches, rarity, percent: int, parts, buckets: int, keys=None):
@@ -641,19 +644,29 @@ def _mark(batches, size: int):
     """A bit map over uint64 keys, as one row of its words that are not zero."""
     import numpy as np
 
-    total = np.zeros(size, dtype=bool)
+    bits = np.zeros(size // 64, dtype="<u8")
     for batch in batches:
-        total[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(size)] = True
-    yield from _sparse_bits(total)
+        _set(bits, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+    yield _sparse_bits(bits)
 
 
-def _sparse_bits(total):
+def _set(bits, key):
+    """Set the bits that _has tests."""
+    import numpy as np
+
+    at = np.unique(key % np.uint64(64 * len(bits)))
+    word = (at >> np.uint64(6)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1])[:len(word)])
+    if len(first):
+        bits[word[first]] |= np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+
+
+def _sparse_bits(bits):
     import numpy as np
     import pyarrow as pa
 
-    words = np.packbits(total, bitorder="little").view("<u8")
-    at = np.flatnonzero(words)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at].view(np.int64))], ["word", "bits"])
+    at = np.flatnonzero(bits)
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bits[at].view(np.int64))], ["word", "bits"])
 
 
 def _bit_map(marks: DataFrame, size: int):
@@ -696,13 +709,13 @@ def _key_marks(batches, rarity, percent: int, size: int):
     """Bits of the index keys of sets of words."""
     import numpy as np
 
-    total = np.zeros(size, dtype=bool)
+    bits = np.zeros(size // 64, dtype="<u8")
     for batch in batches:
         column = batch.column(0)
         vocabulary, words = np.unique(column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
         sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        total[_prefix_keys(vocabulary, words, sizes, rarity.value, percent)[2] % np.uint64(size)] = True
-    yield from _sparse_bits(total)
+        _set(bits, _prefix_keys(vocabulary, words, sizes, rarity.value, percent)[2])
+    yield _sparse_bits(bits)
 
 
 def matches(blocks: DataFrame, percent: int) -> DataFrame:

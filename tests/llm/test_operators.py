@@ -422,6 +422,36 @@ def test_first_places_are_dealt_by_their_number(spark):
     assert line_dedup._n_places(blocks.limit(0)) == 0
 
 
+def test_maps_and_sums_of_the_line_join_take_little_memory():
+    """A task's bit map takes its bits, not a byte for each; sums leave a part at a time."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    ld, size = line_dedup, 1 << 27
+    keys = np.random.default_rng(6).integers(0, 1 << 63, 50_000).astype(np.uint64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(k.view(np.int64))], ["k"]) for k in (keys[:30_000], keys[30_000:], keys[:0], keys[:7])]
+    tracemalloc.start()
+    bits = np.zeros(size // 64, dtype="<u8")
+    for b in ld._mark(batches, size):
+        bits[b.column(0).to_numpy()] |= b.column(1).to_numpy().view(np.uint64)
+    assert tracemalloc.get_traced_memory()[1] < 64e6
+    assert ld._has(bits, keys).all() and int(np.bitwise_count(bits).sum()) == len(np.unique(keys % np.uint64(size)))
+    del bits
+    total = np.arange(1, 1 + (1 << ld.RARITY_BITS))
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    seen = 0
+    for b in ld._sparse(total):
+        for part, raw in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+            rows = ld._load(raw, [("slot", "<u4"), ("n", "<u4")])
+            assert (rows["n"] == total[rows["slot"]]).all() and (rows["slot"] >> 16 == part).all()
+            seen += len(rows)
+    assert seen == len(total) and tracemalloc.get_traced_memory()[1] - before < 32e6
+    tracemalloc.stop()
+
+
 def test_line_dedup_of_awkward_tables(spark):
     """Clashing columns, rows that share a doc_id, a very long line."""
     line = "one line of several words that stands here"
