@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 _COUNTER = itertools.count()
 #: Columns of word hashes repeat a file's vocabulary, so their dictionary may be larger than by default.
 DICTIONARY_BYTES = 4 << 20
+#: Spark's option that removes an execution's shuffles from disk at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -36,10 +38,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends there. The
+    shuffles that made it go from disk with the write, not when the driver collects garbage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).option("parquet.dictionary.page.size", DICTIONARY_BYTES).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).option("parquet.dictionary.page.size", DICTIONARY_BYTES).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

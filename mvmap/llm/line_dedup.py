@@ -42,7 +42,6 @@ that ``n_chars`` follows the text.
 from __future__ import annotations
 
 import re
-import zlib
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,14 +72,10 @@ PACKED = "bucket int, part int, other int, rows binary"
 
 
 def _dump(rows) -> bytes:
-    """A structured array, column by column; numbers in planes of bytes, many of which are all zero."""
+    """Contiguous columns, one by one; numbers in planes of bytes, many of which are all zero."""
     import numpy as np
 
-    parts = []
-    for c in rows.dtype.names:
-        column = np.ascontiguousarray(rows[c])
-        parts.append((column.view(np.uint8).reshape(len(rows), -1).T if c in NUMBERS else column).tobytes())
-    return b"".join(parts)
+    return b"".join([(v.view(np.uint8).reshape(len(v), -1).T if c in NUMBERS else v).tobytes() for c, v in rows.items()])
 
 
 def _load(raw, dtype):
@@ -99,14 +94,17 @@ def _load(raw, dtype):
 
 
 def _send(rows, bucket, part, other):
-    """One row for each (bucket, part, other), with the packed rows of it."""
+    """One row for each (bucket, part, other), with the packed rows of it. ``rows``: a
+    structured array, or of each column its values and the row's place among them."""
     import numpy as np
     import pyarrow as pa
 
     order = np.lexsort((other, part, bucket)) if part.any() or other.any() else np.argsort(bucket)
-    rows, where = rows[order], np.stack([bucket, part, other])[:, order]
-    cuts = np.flatnonzero(np.append(True, (where[:, 1:] != where[:, :-1]).any(axis=0))) if len(rows) else np.empty(0, dtype=np.int64)
-    blobs = [_dump(rows[a:b]) for a, b in zip(cuts, [*cuts[1:], len(rows)])]
+    where = np.stack([bucket, part, other])[:, order]
+    n = len(order)
+    columns = {c: v[at[order]] for c, (v, at) in rows.items()} if isinstance(rows, dict) else {c: rows[c][order] for c in rows.dtype.names}
+    cuts = np.flatnonzero(np.append(True, (where[:, 1:] != where[:, :-1]).any(axis=0))) if n else np.empty(0, dtype=np.int64)
+    blobs = [_dump({c: v[a:b] for c, v in columns.items()}) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), n])]
     columns = [pa.array(w[cuts].astype(np.int32)) for w in where]
     return pa.RecordBatch.from_arrays([*columns, pa.array(blobs, pa.binary())], [c.split()[0] for c in PACKED.split(", ")])
 
@@ -151,7 +149,15 @@ def _first(rows):
     """One row per key: its first place, and whether it has several."""
     import numpy as np
 
-    rows = rows[np.lexsort((rows["tie"], rows["no"], rows["oid"], rows["s2"], rows["s1"]))]
+    s1 = np.ascontiguousarray(rows["s1"])
+    order = np.argsort(s1)
+    again = np.append(False, s1[order][1:] == s1[order][:-1])
+    if again.any():
+        # Only keys that come again have an order of their own.
+        at = np.flatnonzero(again | np.append(again[1:], False))
+        twin = rows[order[at]]
+        order[at] = order[at][np.lexsort((twin["tie"], twin["no"], twin["oid"], twin["s2"], twin["s1"]))]
+    rows = rows[order]
     same = np.zeros(len(rows) + 1, dtype=bool)
     same[1:-1] = (rows["s1"][1:] == rows["s1"][:-1]) & (rows["s2"][1:] == rows["s2"][:-1])
     other = np.zeros(len(rows), dtype=bool)
@@ -348,19 +354,28 @@ def _count_cells(batches, rarity, percent: int, every: int):
     import numpy as np
 
     total = np.zeros(CELLS, dtype=np.int64)
-    for batch in batches:
-        picked = [i for i in range(batch.num_rows) if zlib.crc32(batch.column(0)[i].as_py()[:64]) % every == 0]
-        for block in ls.unpack([batch.take(picked)] if picked else []):
-            total += every * np.bincount(_cells(_keys(block, rarity.value, percent)[4]), minlength=CELLS)
+    for block in ls.unpack(batches):
+        total += every * np.bincount(_cells(_keys(block, rarity.value, percent)[4]), minlength=CELLS)
     yield from _sparse(total)
 
 
-def _send_entries(batches, rarity, percent: int, parts, buckets: int, keys=None):
-    """The packed entries of each bucket; with ``keys``, a bit map over keys, of those in it only."""
+def _within(block, vocabulary, percent: int):
+    """Lines that have ``percent`` or more of their words in a bit map, as a mask: others
+    are similar to no set of such words."""
+    import numpy as np
+
+    n = block.lines["n"].astype(np.int64)
+    known = _has(vocabulary, block.vocabulary)[block.ids]
+    return 100 * np.add.reduceat(known, np.cumsum(n) - n, dtype=np.int64) >= percent * n if len(n) else np.empty(0, dtype=bool)
+
+
+def _send_entries(batches, rarity, percent: int, parts, buckets: int, keys=None, vocabulary=None):
+    """The packed entries of each bucket; with ``keys``, a bit map over keys, of those in it
+    only, and of lines whose words may be in ``vocabulary``, a bit map over words."""
     import numpy as np
 
     for block in ls.unpack(batches):
-        at, words, line, place, key = _keys(block, rarity.value, percent)
+        at, words, line, place, key = _keys(block, rarity.value, percent, None if vocabulary is None else _within(block, vocabulary.value, percent))
         if keys is not None:
             ok = _has(keys.value, key)
             line, place, key = line[ok], place[ok], key[ok]
@@ -374,18 +389,21 @@ def _send_entries(batches, rarity, percent: int, parts, buckets: int, keys=None)
             words, line = words[np.repeat(used, sizes)], (np.cumsum(used) - 1)[line]
             at, sizes = at[used], sizes[used]
         doc = block.docs[block.doc_of_lines()[at]]
-        rows = np.zeros(len(line), dtype=ENTRY)
-        rows["key"], rows["pos"] = key & np.uint64(0xFFFFFFFF), np.minimum(place, 0xFFFF)
-        for c, values in (("n", sizes), ("s1", block.lines["s1"][at]), *_signs(block.vocabulary, words, sizes, rarity.value), ("oid", doc["oid"]), ("no", block.lines["no"][at])):
-            rows[c] = values[line]
+        s1 = block.lines["s1"][at]
+        by_line = dict([("n", sizes), ("s1", s1), *_signs(block.vocabulary, words, sizes, rarity.value), ("oid", doc["oid"]), ("no", block.lines["no"][at])])
+        by_entry = {"key": key & np.uint64(0xFFFFFFFF), "pos": np.minimum(place, 0xFFFF)}
         cell = _cells(key)
         k = parts.value[cell]
         bucket = np.where(k == 1, cell % buckets, buckets + cell)
-        own = _part(rows["s1"], k)
-        # Of a split cell, an entry goes to each pair of its part with another.
-        again = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        own, copy = np.repeat(own, k), np.repeat(np.arange(len(k)), k)
-        yield _send(rows[copy], bucket[copy], np.minimum(own, again), np.maximum(own, again))
+        copy = np.arange(len(k))
+        own = again = np.zeros_like(copy)
+        if (k > 1).any():
+            # Of a split cell, an entry goes to each pair of its part with another.
+            again = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            own, copy = np.repeat(_part(s1[line], k), k), np.repeat(copy, k)
+        of_line = line[copy]
+        rows = {c: (by_line[c].astype(kind), of_line) if c in by_line else (by_entry[c].astype(kind), copy) for c, kind in ENTRY}
+        yield _send(rows, bucket[copy], np.minimum(own, again), np.maximum(own, again))
 
 
 def _signs(vocabulary, words, sizes, rarity):
@@ -727,14 +745,15 @@ def matches(blocks: DataFrame, percent: int) -> DataFrame:
     words = blocks.select("docs", "lines", "ids", "vocabulary")
     rarity = share(_counters(common.map_arrow(words, _count_words, PACKED), 1 << RARITY_BITS))
     every = max(1, min(8, blocks.count() // 64))
-    cells = _counters(common.map_arrow(words, partial(_count_cells, rarity=rarity, percent=percent, every=every), PACKED), CELLS).astype(np.int64)
+    picked = words.filter(F.crc32(F.substring("docs", 1, 64)) % every == 0)
+    cells = _counters(common.map_arrow(picked, partial(_count_cells, rarity=rarity, percent=percent, every=every), PACKED), CELLS).astype(np.int64)
     n_buckets = max(64, -(-int(cells.sum()) // BUCKET))
     parts = share(np.append(np.maximum(1, -(-cells // BUCKET)), n_buckets))
 
     common.sweep(spark)
 
-    def met(keys=None, xs=None):
-        sent = common.map_arrow(words, partial(_send_entries, rarity=rarity, percent=percent, parts=parts, buckets=n_buckets, keys=keys), PACKED)
+    def met(keys=None, xs=None, vocabulary=None):
+        sent = common.map_arrow(words, partial(_send_entries, rarity=rarity, percent=percent, parts=parts, buckets=n_buckets, keys=keys, vocabulary=vocabulary), PACKED)
         return common.map_arrow(_dealt(sent), partial(_meet, percent=percent, parts=parts, xs=xs), "x bigint, y bigint, more boolean")
 
     first = common.materialise(met().groupBy("x", "y").agg(F.max("more").alias("more")), "pairs")
@@ -748,7 +767,8 @@ def matches(blocks: DataFrame, percent: int) -> DataFrame:
         size = _map_size(16 * n)
         theirs = sets.join(open_, "s1", "left_semi").select("words")
         keys = share(_bit_map(common.map_arrow(theirs, partial(_key_marks, rarity=rarity, percent=percent, size=size), "word int, bits bigint"), size))
-        rest = met(keys, xs).select("x", "y").distinct().join(first.select("x", "y"), ["x", "y"], "left_anti")
+        vocabulary = bit_map(theirs.select(F.explode("words").alias("word")).distinct())
+        rest = met(keys, xs, vocabulary).select("x", "y").distinct().join(first.select("x", "y"), ["x", "y"], "left_anti")
         rest = common.materialise(rest, "pairs")
         found = common.materialise(found.union(_verify(blocks, rest, percent)[0]).distinct(), "matched")
     common.release(sets)
@@ -779,10 +799,7 @@ def _hits(batches, keys):
 
 def _n_places(blocks: DataFrame) -> int:
     """Lines and units of all blocks."""
-    import numpy as np
-
-    sizes = {"lines": np.dtype(ls.LINE).itemsize, "units": 8}
-    return sum(int(n or 0) for n in blocks.select(*[F.sum(F.floor(F.length(c) / size)) for c, size in sizes.items()]).first())
+    return int(blocks.agg(F.sum("places")).first()[0] or 0)
 
 
 def removals(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
@@ -803,7 +820,9 @@ def removals(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFram
     told = common.map_arrow(blocks.select("docs", "lines", "units", "inside"), partial(_hits, keys=keys), "dkey bigint, s1 bigint, s2 int, oid bigint, tie int, no int")
     first = repeated.select("s1", "s2", *[F.col(c).alias(f"first_{c}") for c in ("oid", "tie", "no")])
     same = (F.col("oid") == F.col("first_oid")) & (F.col("tie") == F.col("first_tie")) & (F.col("no") == F.col("first_no"))
-    told = told.join(first, ["s1", "s2"], "left").join(matched.withColumn("hit", F.lit(True)), "s1", "left")
+    # s2 is no key of the join, so that both joins deal by s1 and the rows travel once.
+    told = told.join(first.withColumnRenamed("s2", "first_s2"), (told["s1"] == first["s1"]) & (F.col("s2").bitwiseXOR(F.col("first_s2")) == 0), "left").drop(first["s1"])
+    told = told.join(matched.withColumn("hit", F.lit(True)), "s1", "left")
     gone = told.filter((F.col("hit") & (F.col("no") >= 0)) | ~same)
     out = common.materialise(gone.groupBy("dkey").agg(F.collect_set("no").alias("lines")), "removals")
     common.release(blocks)
@@ -882,7 +901,8 @@ def cleaned(docs: DataFrame, percent: int, min_words: int, run_words: int) -> Da
     cut = F.arrow_udf(_without, "text string, lines array<int>, units int")
     gone = removals(docs, percent, min_words)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), doc_key().alias("dkey"))
-    joined = rows.join(gone, "dkey", "left")
+    # One row a document on the other side: the texts need no sort.
+    joined = rows.join(gone.hint("shuffle_hash"), "dkey", "left")
     told = F.when(F.col("lines").isNotNull(), F.col("row.text").cast("string"))
     return joined.select("row", cut(told, F.col("lines"), F.lit(run_words)).alias("cut"))
 

@@ -11,6 +11,7 @@ task's memory is bounded by it and by its longest text.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 from mvmap.llm import text as tx
 
@@ -25,7 +26,7 @@ UNIT_SALT = 0x9E3779B97F4A7C15
 
 DOC = [("oid", "<i8"), ("tie", "<u4"), ("dkey", "<i8"), ("lines", "<u4"), ("units", "<u4")]
 LINE = [("no", "<i4"), ("n", "<i4"), ("s1", "<u8"), ("s2", "<u4")]
-BLOCKS = "docs binary, lines binary, ids binary, vocabulary binary, units binary, inside binary"
+BLOCKS = "docs binary, lines binary, ids binary, vocabulary binary, units binary, inside binary, places bigint"
 
 
 @dataclass
@@ -59,14 +60,15 @@ class Block:
 
 
 def pack(blocks):
-    """Record batches of one row per block. The bytes of ids lie in planes, as the upper ones are mostly zero."""
+    """Record batches of one row per block, with the number of its lines and units. The bytes of ids lie in planes, as the upper ones are mostly zero."""
     import numpy as np
     import pyarrow as pa
 
     for b in blocks:
         planes = b.ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
         parts = (b.docs, b.lines, planes, b.vocabulary, b.units, b.inside)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], [c.split()[0] for c in BLOCKS.split(", ")])
+        places = pa.array([len(b.lines) + len(b.units)], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in parts), places], [c.split()[0] for c in BLOCKS.split(", ")])
 
 
 def unpack(batches):
@@ -107,36 +109,58 @@ def word_hashes(texts: list[str]):
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+@cache
+def _products():
+    """Of each place and byte, at place * 256 + byte, the byte times the place's factor."""
+    import numpy as np
+
+    rates = np.random.default_rng(20).integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.outer(rates, np.arange(256, dtype=np.uint64)).ravel()
+
+
 def _hash_part(texts: list[str]):
     import numpy as np
 
-    raw = np.frombuffer("\n".join(texts).lower().encode().translate(tx.PLAIN_LINES), dtype=np.uint8)
+    # Text by text, as only those with other characters than ASCII are slow to lower.
+    raw = np.frombuffer("\n".join([t.lower() for t in texts]).encode().translate(tx.PLAIN_LINES), dtype=np.uint8)
     per_doc = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
     in_word = np.zeros(len(raw) + 2, dtype=bool)
-    in_word[1:-1] = raw > 32
-    starts = np.flatnonzero(in_word[1:] & ~in_word[:-1])
-    sizes = np.flatnonzero(in_word[:-1] & ~in_word[1:]) - starts
+    np.greater(raw, 32, out=in_word[1:-1])
+    turns = np.flatnonzero(in_word[1:] != in_word[:-1])
+    starts, sizes = turns[::2], turns[1::2] - turns[::2]
     line_starts = np.append(0, np.flatnonzero(raw == 10) + 1)
     counts = np.diff(np.append(np.searchsorted(starts, line_starts), len(starts)))
     if not len(starts):
         return np.empty(0, dtype=np.uint64), counts, per_doc
     into = np.cumsum(sizes) - sizes
-    place = np.arange(sizes.sum(), dtype=np.int32) - np.repeat(into.astype(np.int32), sizes)
     # A sum of byte times a random factor of its place; long words wrap around with a term of the place.
-    rates = np.random.default_rng(20).integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    terms = raw[in_word[1:-1]].astype(np.uint64) * rates[place.astype(np.uint8)]
+    # A byte and its place (as a byte) are the index of that product.
+    at = np.empty((sizes.sum(), 2), dtype=np.uint8)
+    at[:, 0] = raw[in_word[1:-1]]
+    at[:, 1] = np.arange(len(at), dtype=np.int32).astype(np.uint8) - np.repeat(into.astype(np.uint8), sizes)
+    terms = _products().take(at.view("<u2").ravel(), mode="clip")
     if sizes.max() > PLACES:
+        place = np.arange(len(at)) - np.repeat(into, sizes)
         terms = tx.mix(terms + (place // PLACES).astype(np.uint64))
     return tx.mix(np.add.reduceat(terms, into) + sizes.astype(np.uint64)), counts, per_doc
 
 
+def distinct(h):
+    """The distinct values of a uint64 array and each value's place among them, without a sort."""
+    import numpy as np
+    import pyarrow as pa
+
+    found = pa.array(h).dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False), found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def block(held, min_words: int = 1) -> Block:
     """The block of a list of (oid, dkey, text)."""
     import numpy as np
 
     h, counts, per_doc = word_hashes([x[2] for x in held])
-    vocabulary, ids, often = np.unique(h, return_inverse=True, return_counts=True)
-    order = np.argsort(-often, kind="stable")
+    vocabulary, ids = distinct(h)
+    order = np.argsort(-np.bincount(ids, minlength=len(vocabulary)), kind="stable")
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
     vocabulary, ids = vocabulary[order], rank[ids]
@@ -155,9 +179,8 @@ def block(held, min_words: int = 1) -> Block:
     lines["no"], lines["n"] = number[some], sizes[some]
     if len(some):
         starts = np.cumsum(sizes[some]) - sizes[some]
-        w = vocabulary[ids]
-        lines["s1"] = tx.mix(np.add.reduceat(tx.mix(w), starts))
-        lines["s2"] = tx.mix(np.add.reduceat(tx.mix(w ^ np.uint64(0xA5A5A5A55A5A5A5A)), starts)) >> np.uint64(32)
+        for name, w, shift in (("s1", vocabulary, 0), ("s2", vocabulary ^ np.uint64(0xA5A5A5A55A5A5A5A), 32)):
+            lines[name] = tx.mix(np.add.reduceat(tx.mix(w)[ids], starts)) >> np.uint64(shift)
     docs = np.zeros(len(held), dtype=DOC)
     docs["oid"], docs["dkey"] = [x[0] for x in held], [x[1] for x in held]
     docs["tie"] = docs["dkey"].astype(np.int64).view(np.uint64) >> np.uint64(32)
@@ -194,20 +217,25 @@ def cuts(h, counts, doc_of_line, n_docs: int):
     ends = np.cumsum(counts)
     long_line = counts >= LONG
     doc_ends = np.cumsum(per_doc)
-    edges = np.unique(np.concatenate([doc_ends - per_doc, doc_ends, ends[long_line], (ends - counts)[long_line]]))
+    edge = np.zeros(len(h) + 1, dtype=bool)
+    for x in (doc_ends - per_doc, doc_ends, ends[long_line], (ends - counts)[long_line]):
+        edge[x] = True
+    edges = np.flatnonzero(edge)
     # Least hash of the REACH words before and after, documents apart.
     place = np.arange(len(h)) + REACH * (doc + 1)
     g = np.full(len(h) + REACH * (n_docs + 1), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     g[place] = tx.mix(h)
     n = len(g) - 2 * REACH
-    before, after = g[REACH - 1:REACH - 1 + n].copy(), g[REACH + 1:REACH + 1 + n].copy()
-    for k in range(2, REACH + 1):
-        np.minimum(before, g[REACH - k:REACH - k + n], out=before)
-        np.minimum(after, g[REACH + k:REACH + k + n], out=after)
-    mid = g[REACH:REACH + n]
+    # Least of REACH words from each on, by doubling.
+    least, width = g, 1
+    while width < REACH:
+        step = min(width, REACH - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    before, mid, after = least[:n], g[REACH:REACH + n], least[REACH + 1:REACH + 1 + n]
     at = np.flatnonzero(((mid < before) & (mid <= after))[place - REACH])
     right = np.searchsorted(edges, at, side="right")
-    starts = np.union1d(at[(at - edges[right - 1] >= REACH) & (edges[np.minimum(right, len(edges) - 1)] - at >= REACH)], edges[edges < len(h)])
+    edge[at[(at - edges[right - 1] >= REACH) & (edges[np.minimum(right, len(edges) - 1)] - at >= REACH)]] = True
+    starts = np.flatnonzero(edge[:-1])
     pieces = np.maximum(1, np.diff(np.append(starts, len(h))) // UNIT)
     again = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     starts = np.repeat(starts, pieces) + again * UNIT

@@ -53,11 +53,12 @@ def mix(x):
     """Spread the bits of a uint64 array (a murmur-style finaliser)."""
     import numpy as np
 
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    out = x >> np.uint64(33)
+    out ^= x
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        out *= np.uint64(factor)
+        out ^= out >> np.uint64(33)
+    return out
 
 
 def grams(h, offsets: tuple[int, ...]):

@@ -539,3 +539,63 @@ def test_decontamination_finds_short_items(spark):
     got = sorted(tuple(r) for r in decontaminate.matches(docs, items).collect())
     assert got == [(0, 7, 0, 0, 16), (1, 7, 0, 6, 22), (4, 7, 0, 0, 16), (6, 7, 0, 26, 42)]
     assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [2, 3, 5]
+
+
+def test_shuffles_go_with_the_write(spark):
+    from pyspark.sql import functions as F
+
+    from mvmap.llm import common
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if f.getName().startswith("shuffle_")}
+    option = spark.conf.get(common.CLEANUP, "false")
+    before = shuffled()
+    held = spark.range(20_000).select((F.col("id") % 999).alias("k")).repartition(3, "k").groupBy("k").count()
+    out = common.materialise(held, "cleaned")
+    assert not shuffled() - before
+    assert out.count() == 999 and held.count() == 999
+    assert spark.conf.get(common.CLEANUP, "false") == option
+
+
+def test_second_pass_leaves_out_lines_of_other_words():
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    ld = line_dedup
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    text = "\n".join(" ".join(rng.sample(words, rng.randint(1, 12))) for _ in range(400))
+    block = ld.ls.block([(1, 1, text)])
+    known = set(words[:40])
+    hashes = {w: ld.ls.word_hashes([w])[0][0] for w in words}
+    bits = np.zeros(1 << 12, dtype="<u8")
+    ld._set(bits, np.array([hashes[w] for w in known], dtype=np.uint64))
+    got = ld._within(block, bits, 80)
+    want = [100 * len(known & set(z.split())) >= 80 * len(set(z.split())) for z in text.split("\n")]
+    assert got.tolist() == want and any(want) and not all(want)
+    # Of the entries with all keys, those of these lines are sent.
+    rarity = types.SimpleNamespace(value=np.full(1 << ld.RARITY_BITS, 2, dtype="<u4"))
+    parts = types.SimpleNamespace(value=np.append(np.ones(ld.CELLS, dtype=np.int64), 4))
+    keys = types.SimpleNamespace(value=np.full(1 << 12, 2**64 - 1, dtype="<u8"))
+    packed = list(ld.ls.pack([block]))
+    sent = lambda **more: np.concatenate([ld._load(raw, ld.ENTRY) for b in ld._send_entries(packed, rarity, 80, parts, 4, **more) for _, raw in ld._received([b])])
+    every, some = sent(), sent(keys=keys, vocabulary=types.SimpleNamespace(value=bits))
+    lines = block.lines["s1"][np.array(want)]
+    assert len(some) < len(every)
+    assert sorted(some.tolist()) == sorted(every[np.isin(every["s1"], lines)].tolist())
+
+
+def test_first_places_of_keys_that_come_again():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = np.zeros(3000, dtype=line_dedup.FIRSTS)
+    for c, most in (("s1", 700), ("s2", 2), ("oid", 5), ("tie", 2), ("no", 4)):
+        rows[c] = rng.integers(0, most, len(rows))
+    places = collections.defaultdict(list)
+    for r in rows.tolist():
+        places[r[:2]].append((r[2], r[4], r[3]))
+    got = {r[:2]: ((r[2], r[4], r[3]), bool(r[5])) for r in line_dedup._first(rows).tolist()}
+    assert got == {k: (min(v), len(set(v)) > 1) for k, v in places.items()}
