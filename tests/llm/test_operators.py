@@ -599,3 +599,19 @@ def test_first_places_of_keys_that_come_again():
         places[r[:2]].append((r[2], r[4], r[3]))
     got = {r[:2]: ((r[2], r[4], r[3]), bool(r[5])) for r in line_dedup._first(rows).tolist()}
     assert got == {k: (min(v), len(set(v)) > 1) for k, v in places.items()}
+
+
+def test_words_with_marks_and_line_ends_need_no_whole_encoding(monkeypatch):
+    rng = random.Random(8)
+    encoder = tokens.TextEncoder(tokens.tokenizer_path(), limit=40)
+    plain = encoder.memo.plain
+    pieces = ["in.", "\n", "Aterble", "ciónado", "$$$", "*", "Èleou", "|", "a", "_", "(x)", '"', "ǅž", "\n\n", "ª", "×", "'s", "12", "́", "中", "\t", " "]
+    word = lambda n: "".join(rng.choice(pieces[:n]) for _ in range(rng.randint(1, 5)))
+    for _ in range(300):
+        text = " ".join(word(rng.choice((8, len(pieces)))) for _ in range(rng.randint(1, 12)))
+        assert encoder.encode(text) == plain(text), text
+    easy = "x in.\nAterble thlyes$$$ ANLYHE!! |\nÈleou ciónquecoas., so.\nOr\nno"
+    want, calls = plain(easy), []
+    monkeypatch.setattr(encoder.memo, "plain", lambda t: calls.append(t) or plain(t))
+    assert encoder.encode(easy) == want
+    assert calls == ["x"]
