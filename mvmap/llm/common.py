@@ -7,11 +7,15 @@ and never a lost block.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import itertools
 import os
 import tempfile
+import threading
 import zipfile
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,10 +100,48 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(target)
 
 
+#: Seconds without a task after which a Python worker gives up its memos.
+IDLE = 2.0
+_DROPS: list[Callable[[], None]] = []
+_TIMERS: list[threading.Timer] = []
+
+
+def at_rest(drop: Callable[[], None]) -> None:
+    """Have ``drop`` called in a worker that rests; a running task keeps what it holds."""
+    _DROPS.append(drop)
+
+
+def rest() -> None:
+    """Drop the worker's memos and hand free memory back to the system: idle workers
+    stand beside the executor's heap, which other stages fill."""
+    import pyarrow as pa
+
+    for drop in _DROPS:
+        drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def task(batches, fn):
+    """The batches of ``fn``; the worker rests if no other task follows within ``IDLE``."""
+    while _TIMERS:
+        _TIMERS.pop().cancel()
+    try:
+        yield from fn(batches)
+    finally:
+        timer = threading.Timer(IDLE, rest)
+        timer.daemon = True
+        _TIMERS.append(timer)
+        timer.start()
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow with a function of this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(partial(task, fn=fn), schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from mvmap.llm import common
+
 #: Bytes that are not ASCII letters or digits become spaces; others stay.
 _PLAIN = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 #: As above, line ends stay.
@@ -40,10 +42,11 @@ class WordHasher(dict):
 
 
 _HASHERS: list[WordHasher] = []
+common.at_rest(_HASHERS.clear)
 
 
 def hasher() -> WordHasher:
-    """One per Python worker."""
+    """One per Python worker, until it rests."""
     if not _HASHERS:
         _HASHERS.append(WordHasher())
     return _HASHERS[0]

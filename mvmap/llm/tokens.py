@@ -16,6 +16,8 @@ import os
 import re
 import struct
 
+from mvmap.llm import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -133,8 +135,11 @@ class TextEncoder:
 
 
 def encoder(path: str, limit: int = 500_000) -> TextEncoder:
-    """One encoder per Python worker, kept between tasks."""
+    """One encoder per Python worker, kept between tasks until the worker rests."""
     key = (path, limit)
     if key not in _ENCODERS:
         _ENCODERS[key] = TextEncoder(path, limit)
     return _ENCODERS[key]
+
+
+common.at_rest(_ENCODERS.clear)

@@ -3,11 +3,12 @@
 import collections
 import random
 import struct
+import time
 import zlib
 
 import pytest
 
-from mvmap.llm import decontaminate, idfile, labelled, licenses, line_dedup, near_dup, packing, quality_model, quality_rules, sharding, tokens, toxicity
+from mvmap.llm import common, decontaminate, idfile, labelled, licenses, line_dedup, near_dup, packing, quality_model, quality_rules, sharding, tokens, toxicity
 from mvmap.llm import text as tx
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot int, score string, n int, start string"
@@ -615,3 +616,26 @@ def test_words_with_marks_and_line_ends_need_no_whole_encoding(monkeypatch):
     monkeypatch.setattr(encoder.memo, "plain", lambda t: calls.append(t) or plain(t))
     assert encoder.encode(easy) == want
     assert calls == ["x"]
+
+
+def test_a_resting_worker_gives_up_its_memos(monkeypatch):
+    """Memos that idle workers kept stood beside the executor's heap in the next stages."""
+
+    def fill(batches):
+        for b in batches:
+            tx.hasher().array([b"word"])
+            tokens.encoder(tokens.tokenizer_path()).encode("some words")
+            yield b
+
+    monkeypatch.setattr(common, "IDLE", 60.0)
+    assert list(common.task(iter([1, 2]), fill)) == [1, 2]
+    assert tx._HASHERS and tokens._ENCODERS
+    waiting = common._TIMERS[-1]
+    # A task that follows in time finds the memos, and puts the rest off.
+    monkeypatch.setattr(common, "IDLE", 0.05)
+    assert list(common.task(iter([3]), lambda b: (x if tx._HASHERS else None for x in b))) == [3]
+    assert waiting.finished.is_set()
+    until = time.monotonic() + 10
+    while (tx._HASHERS or tokens._ENCODERS) and time.monotonic() < until:
+        time.sleep(0.02)
+    assert not tx._HASHERS and not tokens._ENCODERS
