@@ -15,7 +15,7 @@ import tempfile
 import threading
 import zipfile
 from collections.abc import Callable
-from functools import partial
+from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +104,9 @@ def ship(spark: SparkSession) -> None:
 IDLE = 2.0
 _DROPS: list[Callable[[], None]] = []
 _TIMERS: list[threading.Timer] = []
+#: Free memory that a working process keeps, and the size from which an array is mapped on its own: else
+#: each block of a task has its pages faulted in and zeroed again.
+SPARE, MAPPED = 128 << 20, 32 << 20
 
 
 def at_rest(drop: Callable[[], None]) -> None:
@@ -125,8 +128,17 @@ def rest() -> None:
         trim(0)
 
 
+@cache
+def keep_spare() -> bool:
+    """Have the allocator keep ``SPARE``; once in a worker, which gives it back at rest."""
+    tune = getattr(ctypes.CDLL(None), "mallopt", None)
+    trim_threshold, mmap_threshold = -1, -3
+    return bool(tune and tune(mmap_threshold, MAPPED) and tune(trim_threshold, SPARE))
+
+
 def task(batches, fn):
     """The batches of ``fn``; the worker rests if no other task follows within ``IDLE``."""
+    keep_spare()
     while _TIMERS:
         _TIMERS.pop().cancel()
     try:

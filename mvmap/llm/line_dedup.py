@@ -73,9 +73,7 @@ PACKED = "bucket int, part int, other int, rows binary"
 
 def _dump(rows) -> bytes:
     """Contiguous columns, one by one; numbers in planes of bytes, many of which are all zero."""
-    import numpy as np
-
-    return b"".join([(v.view(np.uint8).reshape(len(v), -1).T if c in NUMBERS else v).tobytes() for c, v in rows.items()])
+    return b"".join([ls.planes(v) if c in NUMBERS else v.tobytes() for c, v in rows.items()])
 
 
 def _load(raw, dtype):
@@ -85,8 +83,7 @@ def _load(raw, dtype):
     rows, at = np.empty(len(raw) // kind.itemsize, dtype=kind), 0
     for c in kind.names:
         if c in NUMBERS:
-            planes = np.frombuffer(raw, dtype=np.uint8, count=kind[c].itemsize * len(rows), offset=at).reshape(-1, len(rows))
-            rows[c] = np.ascontiguousarray(planes.T).view(kind[c]).ravel()
+            rows[c] = ls.of_planes(np.frombuffer(raw, dtype=np.uint8, count=kind[c].itemsize * len(rows), offset=at), kind[c])
         else:
             rows[c] = np.frombuffer(raw, dtype=kind[c], count=len(rows), offset=at)
         at += kind[c].itemsize * len(rows)
@@ -736,6 +733,11 @@ def _key_marks(batches, rarity, percent: int, size: int):
     yield _sparse_bits(bits)
 
 
+def sampled(blocks: int) -> int:
+    """One of how many blocks tells the entries of the cells: 16 blocks or more do, an eighth at least."""
+    return max(1, min(8, blocks // 16))
+
+
 def matches(blocks: DataFrame, percent: int) -> DataFrame:
     """s1 of the sets that have an earlier, different, similar one."""
     import numpy as np
@@ -744,7 +746,7 @@ def matches(blocks: DataFrame, percent: int) -> DataFrame:
     share = spark.sparkContext.broadcast
     words = blocks.select("docs", "lines", "ids", "vocabulary")
     rarity = share(_counters(common.map_arrow(words, _count_words, PACKED), 1 << RARITY_BITS))
-    every = max(1, min(8, blocks.count() // 64))
+    every = sampled(blocks.count())
     picked = words.filter(F.crc32(F.substring("docs", 1, 64)) % every == 0)
     cells = _counters(common.map_arrow(picked, partial(_count_cells, rarity=rarity, percent=percent, every=every), PACKED), CELLS).astype(np.int64)
     n_buckets = max(64, -(-int(cells.sum()) // BUCKET))

@@ -59,16 +59,41 @@ class Block:
         return (FIRST_UNIT + 2 * rank + self.inside).astype(np.int32)
 
 
+def planes(v) -> bytes:
+    """The bytes of a contiguous array of integers, in planes."""
+    import numpy as np
+
+    raw = v.view(np.uint8).reshape(len(v), v.itemsize)
+    out = np.empty(raw.shape[::-1], dtype=np.uint8)
+    # A plane at a time, as a transposed copy is several times slower.
+    for i, plane in enumerate(out):
+        plane[:] = raw[:, i]
+    return out.tobytes()
+
+
+def of_planes(raw, of):
+    """The array that ``planes`` took, of an array of its bytes."""
+    import numpy as np
+
+    size = np.dtype(of).itemsize
+    kind = np.dtype(f"<u{size}")
+    first, *others = raw.reshape(size, -1)
+    out = first.astype(kind)
+    for i, plane in enumerate(others, 1):
+        # Upper planes are mostly zero.
+        if plane.any():
+            out |= plane.astype(kind) << kind.type(8 * i)
+    return out.view(of)
+
+
 def pack(blocks):
     """Record batches of one row per block, with the number of its lines and units. The bytes of ids lie in planes, as the upper ones are mostly zero."""
-    import numpy as np
     import pyarrow as pa
 
     for b in blocks:
-        planes = b.ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
-        parts = (b.docs, b.lines, planes, b.vocabulary, b.units, b.inside)
+        parts = (b.docs.tobytes(), b.lines.tobytes(), planes(b.ids.astype("<u4")), b.vocabulary.tobytes(), b.units.tobytes(), b.inside.tobytes())
         places = pa.array([len(b.lines) + len(b.units)], pa.int64())
-        yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in parts), places], [c.split()[0] for c in BLOCKS.split(", ")])
+        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in parts), places], [c.split()[0] for c in BLOCKS.split(", ")])
 
 
 def unpack(batches):
@@ -79,7 +104,7 @@ def unpack(batches):
     for batch in batches:
         for row in range(batch.num_rows):
             b = Block(**{c: np.frombuffer(batch.column(c)[row].as_buffer() if c in batch.schema.names else b"", dtype=kinds[c]) for c in kinds})
-            b.ids = np.ascontiguousarray(b.ids.reshape(4, -1).T).view("<u4").ravel()
+            b.ids = of_planes(b.ids, "<u4")
             yield b
 
 

@@ -639,3 +639,20 @@ def test_a_resting_worker_gives_up_its_memos(monkeypatch):
     while (tx._HASHERS or tokens._ENCODERS) and time.monotonic() < until:
         time.sleep(0.02)
     assert not tx._HASHERS and not tokens._ENCODERS
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4", "<i4", "<i8"])
+def test_planes_of_bytes(kind):
+    """Numbers come back from their planes, negative ones and empty arrays too."""
+    import numpy as np
+
+    for values in ([], [0], [-(1 << 15), -1, 0, 1, 255, 256, (1 << 15) - 1]):
+        v = np.array(values, dtype=np.int64).astype(kind)
+        raw = line_dedup.ls.planes(v)
+        assert raw == v.view(np.uint8).reshape(len(v), v.itemsize).T.tobytes()
+        back = line_dedup.ls.of_planes(np.frombuffer(raw, dtype=np.uint8), kind)
+        assert back.dtype == v.dtype and (back == v).all()
+
+
+def test_few_blocks_tell_the_entries_of_the_cells():
+    assert [line_dedup.sampled(n) for n in (0, 1, 31, 32, 128, 100_000)] == [1, 1, 1, 2, 8, 8]
