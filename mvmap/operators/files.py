@@ -35,6 +35,29 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     return ranges.meeting(x, y, "a_smallest_key", "a_largest_key", "b_smallest_key", "b_largest_key")
 
 
+def starts(*levels: DataFrame) -> list:
+    """Cut points of the ordered cells for files of all these levels."""
+    keys = levels[0].select("smallest_key")
+    for f in levels[1:]:
+        keys = keys.union(f.select("smallest_key"))
+    return ranges.cuts(keys, "smallest_key")
+
+
+def met(a: DataFrame, b: DataFrame, points: list | None = None) -> DataFrame:
+    """a's files with ``n``, ``bytes``, ``lo`` and ``hi``: number, bytes and span of b's
+    files whose closed key ranges meet theirs. No pair is made: of the files that start at
+    or before a file's end, those that end before its start do not meet it."""
+    points = starts(a, b) if points is None else points
+    b = b.filter("smallest_key <= largest_key")
+    one, size = (F.sum, F.lit(1)), (F.sum, F.col("file_size"))
+    out = ranges.sides(a, "largest_key", b, "smallest_key", points, True, {"_n": one, "_bytes": size, "hi": (F.max, F.col("largest_key"))})
+    out = ranges.sides(out, "smallest_key", b, "largest_key", points, False, {"_n_gone": one, "_bytes_gone": size}, {"lo": (F.min, F.col("smallest_key"))})
+    some = (F.col("smallest_key") <= F.col("largest_key")) & (F.col("_n") > F.col("_n_gone"))
+    of = lambda x, none: F.when(some, x).otherwise(F.lit(none))
+    n, size = of(F.col("_n") - F.col("_n_gone"), 0), of(F.col("_bytes") - F.col("_bytes_gone"), 0)
+    return out.select(*a.columns, n.alias("n"), size.alias("bytes"), of(F.col("lo"), None).alias("lo"), of(F.col("hi"), None).alias("hi"))
+
+
 def islands(files: DataFrame) -> DataFrame:
     """Transitive overlap clusters of one level, numbered from 0."""
     order = ["smallest_key", "file_no"]
@@ -59,14 +82,15 @@ def flush_level(flushed: DataFrame, below: DataFrame) -> DataFrame:
     """file_no, flush_level: where a flushed file goes. It sinks a level while the next
     one holds none of its keys and the one after that at most GRANDPARENT_CAP bytes of
     files that meet it, to MAX_FLUSH_LEVEL at most."""
-    met = overlaps(flushed, below).join(below.select(F.col("file_no").alias("b_file_no"), "level"), "b_file_no")
-    at = lambda n: F.count_if(F.col("level") == n) > 0
-    heavy = lambda n: F.coalesce(F.sum(F.when(F.col("level") == n, F.col("b_file_size"))), F.lit(0)) > GRANDPARENT_CAP
+    points = starts(flushed, below)
+    out = flushed.select("file_no", "smallest_key", "largest_key")
+    for n in range(1, MAX_FLUSH_LEVEL + 1):
+        out = met(out, below.filter(F.col("level") == n), points).select(*out.columns, F.col("n").alias(f"_n{n}"), F.col("bytes").alias(f"_bytes{n}"))
     level = F.lit(MAX_FLUSH_LEVEL)
     for n in reversed(range(MAX_FLUSH_LEVEL)):
-        level = F.when(at(n + 1) | heavy(n + 2), n).otherwise(level)
-    found = met.groupBy(F.col("a_file_no").alias("file_no")).agg(level.alias("flush_level"))
-    return flushed.select("file_no").join(found, "file_no", "left").select("file_no", F.coalesce("flush_level", F.lit(MAX_FLUSH_LEVEL)).alias("flush_level"))
+        heavy = F.col(f"_bytes{n + 2}") > GRANDPARENT_CAP if n + 2 <= MAX_FLUSH_LEVEL else F.lit(False)
+        level = F.when((F.col(f"_n{n + 1}") > 0) | heavy, n).otherwise(level)
+    return out.select("file_no", level.alias("flush_level"))
 
 
 def running_bucket(rows: DataFrame, order: list[str], size: str, limit: int) -> DataFrame:
@@ -113,22 +137,16 @@ def compaction_inputs(level: DataFrame, below: DataFrame) -> DataFrame:
     next level's files that meet it are known. More files of the seed's own level join
     where that brings in none of the next level's and all together stay below
     EXPANSION_CAP. file_no, n_inputs, n_below, input_bytes, below_bytes."""
-    def met(a, b):
-        """a's files with count, bytes and span of b's that meet them."""
-        y = b.select(*[F.col(c).alias(f"b_{c}") for c in ("smallest_key", "largest_key", "file_size")])
-        x = a.select(F.col("file_no").alias("a_file_no"), F.col("smallest_key").alias("a_lo"), F.col("largest_key").alias("a_hi"))
-        found = ranges.meeting(x, y, "a_lo", "a_hi", "b_smallest_key", "b_largest_key")
-        sums = found.groupBy(F.col("a_file_no").alias("file_no")).agg(F.count("*").alias("n"), F.sum("b_file_size").alias("bytes"), F.min("b_smallest_key").alias("lo"), F.max("b_largest_key").alias("hi"))
-        return a.select("file_no", "smallest_key", "largest_key").join(sums, "file_no", "left").fillna({"n": 0, "bytes": 0})
-
-    def reach(found):
-        return found.select("file_no", F.least("smallest_key", F.coalesce("lo", "smallest_key")).alias("smallest_key"), F.greatest("largest_key", F.coalesce("hi", "largest_key")).alias("largest_key"))
-
-    first = met(level, below)
-    wider = met(reach(first), level)
-    again = met(reach(wider), below)
-    both = level.select("file_no", "file_size").join(first.select("file_no", F.col("n").alias("n_below"), F.col("bytes").alias("below_bytes")), "file_no")
-    both = both.join(wider.select("file_no", F.col("n").alias("n_wider"), F.col("bytes").alias("wider_bytes")), "file_no").join(again.select("file_no", F.col("n").alias("n_again")), "file_no")
+    points = starts(level, below)
+
+    def reach(found, n, size):
+        """The files, as wide as what they met, with its number and bytes under these names."""
+        kept = [c for c in found.columns if c not in ("smallest_key", "largest_key", "n", "bytes", "lo", "hi")]
+        return found.select(*kept, F.least("smallest_key", "lo").alias("smallest_key"), F.greatest("largest_key", "hi").alias("largest_key"), F.col("n").alias(n), F.col("bytes").alias(size))
+
+    first = reach(met(level.select("file_no", "file_size", "smallest_key", "largest_key"), below, points), "n_below", "below_bytes")
+    wider = reach(met(first, level, points), "n_wider", "wider_bytes").filter("n_wider > 0")
+    both = met(wider, below, points).withColumnRenamed("n", "n_again")
     grows = (F.col("n_below") > 0) & (F.col("n_wider") > 1) & (F.col("n_again") == F.col("n_below")) & (F.col("wider_bytes") + F.col("below_bytes") < EXPANSION_CAP)
     return both.select(
         "file_no",
@@ -142,9 +160,9 @@ def compaction_inputs(level: DataFrame, below: DataFrame) -> DataFrame:
 def trivial_moves(level: DataFrame, below: DataFrame, deeper: DataFrame) -> DataFrame:
     """file_no of the files that can move down as they are: nothing of the next level
     meets them, and at most GRANDPARENT_CAP bytes of the one after."""
-    merged = overlaps(level, below).select(F.col("a_file_no").alias("file_no")).distinct()
-    heavy = overlaps(level, deeper).groupBy(F.col("a_file_no").alias("file_no")).agg(F.sum("b_file_size").alias("bytes")).filter(F.col("bytes") > GRANDPARENT_CAP)
-    return level.select("file_no").join(merged, "file_no", "left_anti").join(heavy.select("file_no"), "file_no", "left_anti")
+    points = starts(level, below, deeper)
+    free = met(level.select("file_no", "smallest_key", "largest_key"), below, points).filter("n = 0").select("file_no", "smallest_key", "largest_key")
+    return met(free, deeper, points).filter(F.col("bytes") <= GRANDPARENT_CAP).select("file_no")
 
 
 def range_inputs(files: DataFrame, begin, end) -> DataFrame:

@@ -112,16 +112,52 @@ def covered(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: st
     return rows.filter("_probe = 1 and _seen >= _at").select(F.col("_at").alias(point))
 
 
-def meeting(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b_hi: str, per_cell: int = 1024) -> DataFrame:
-    """Pairs of closed intervals that share a key. An interval has a copy in each
-    cell that it reaches; a pair is made in the cell of its later start alone."""
-    points = cuts(a.select(F.col(a_lo).alias("_at")).union(b.select(b_lo)), "_at", per_cell)
-
-    def copies(rows, lo, hi):
-        return rows.withColumn("_cell", F.explode(F.sequence(cell(place(rows, lo), points), cell(place(rows, hi), points))))
-
-    start = F.greatest(F.col(a_lo), F.col(b_lo))
-    # The later start's cell is the later of the two cells.
-    at = F.greatest(cell(place(a, a_lo), points), cell(place(b, b_lo), points))
-    met = copies(a.filter(F.col(a_lo) <= F.col(a_hi)), a_lo, a_hi).join(copies(b.filter(F.col(b_lo) <= F.col(b_hi)), b_lo, b_hi), "_cell")
-    return met.filter((start <= F.col(a_hi)) & (start <= F.col(b_hi)) & (at == F.col("_cell"))).drop("_cell")
+def sides(probes: DataFrame, at: str, rows: DataFrame, key: str, points: list, closed: bool = False, before: dict | None = None, after: dict | None = None) -> DataFrame:
+    """probes with aggregates, by name, of the rows on either side of their ``at``:
+    ``before`` of those with a key below it (``closed``: or at it), ``after`` of the
+    others. name -> (F.sum, F.min or F.max, column of rows); a sum of none is 0. Equal
+    probes stay apart. Probes are read once, rows twice."""
+    before, after = before or {}, after or {}
+    asked = {**before, **after}
+    probe_turn, row_turn = (1, 0) if closed else (0, 1)
+    held = rows.select(cell(place(rows, key), points).alias("_cell"), F.col(key).alias("_at"), F.lit(row_turn).alias("_turn"), *[c.alias(n) for n, (_, c) in asked.items()])
+    q = probes.select(cell(place(probes, at), points).alias("_cell"), F.col(at).alias("_at"), F.lit(probe_turn).alias("_turn"), F.struct(*probes.columns).alias("_row"))
+    # Cells with probes only need what is around them, too: all cells have a row.
+    cells = rows.sparkSession.range(len(points) + 1).select(F.col("id").cast("int").alias("_cell"))
+    ends = held.select("_cell", *asked).unionByName(cells, allowMissingColumns=True).groupBy("_cell").agg(*[f(n).alias(n) for n, (f, _) in asked.items()])
+    around_cell = lambda n: Window.orderBy(F.col("_cell") if n in before else F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_cell", *[f(n).over(around_cell(n)).alias(f"_carried_{n}") for n, (f, _) in asked.items()])
+    inside = Window.partitionBy("_cell")
+    order = lambda n: inside.orderBy("_at", "_turn") if n in before else inside.orderBy(F.col("_at").desc(), F.col("_turn").desc())
+    out = held.unionByName(q, allowMissingColumns=True).withColumns({n: f(n).over(order(n).rowsBetween(Window.unboundedPreceding, 0)) for n, (f, _) in asked.items()})
+    out = out.filter(F.col("_turn") == probe_turn).join(F.broadcast(ends), "_cell")
+
+    def both(n, f):
+        if f is F.sum:
+            return F.coalesce(n, F.lit(0)) + F.coalesce(f"_carried_{n}", F.lit(0))
+        return (F.least if f is F.min else F.greatest)(n, f"_carried_{n}")
+
+    return out.select("_row.*", *[both(n, f).alias(n) for n, (f, _) in asked.items()])
+
+
+def meeting(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b_hi: str, per_group: int = 64) -> DataFrame:
+    """Pairs of closed intervals that share a key: b starts inside a, or a starts inside
+    b and later. Starts are numbered in order; an interval is met by a run of numbers and
+    has a copy for each group of ``per_group`` numbers in it, so rows compared grow with
+    the intervals and the pairs found, and copies with the pairs by ``per_group``."""
+    a, b = a.filter(F.col(a_lo) <= F.col(a_hi)), b.filter(F.col(b_lo) <= F.col(b_hi))
+    points = cuts(a.select(F.col(a_lo).alias("_at")).union(b.select(b_lo)), "_at")
+
+    def starting(x, lo, hi, y, at, later):
+        """Pairs whose y starts inside x; ``later``: after x's start."""
+        # All columns order equal starts, so that a task run again numbers them alike.
+        y = running(y, [at, *[c for c in y.columns if c != at]], F.lit(1), F.sum, "_no", points).withColumn("_no", F.coalesce("_no", F.lit(0)))
+        y = y.withColumn("_group", F.floor(F.col("_no") / per_group))
+        starts, one = y.select(at), (F.sum, F.lit(1))
+        x = sides(x, lo, starts, at, points, later, before={"_from": one})
+        x = sides(x, hi, starts, at, points, True, before={"_upto": one}).filter("_from < _upto")
+        x = x.withColumn("_group", F.explode(F.sequence(F.floor(F.col("_from") / per_group), F.floor((F.col("_upto") - 1) / per_group))))
+        return x.join(y, "_group").filter("_from <= _no and _no < _upto").drop("_group", "_no", "_from", "_upto")
+
+    found = starting(a, a_lo, a_hi, b, b_lo, False)
+    return found.unionByName(starting(b, b_lo, b_hi, a, a_lo, True))

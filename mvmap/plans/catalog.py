@@ -310,8 +310,8 @@ def q36(spark, d):
 
 @query("q37_next_level_overlap_bytes", "SELECT a.file_no, CAST(sum(z.file_size) AS BIGINT) AS overlap_bytes FROM f0 a JOIN f1 z ON a.smallest_key <= z.largest_key AND z.smallest_key <= a.largest_key GROUP BY a.file_no")
 def q37(spark, d):
-    met = files.overlaps(b.log_files(log(spark, d)), b.map_files(b.order_map(spark, d)))
-    return met.groupBy(F.col("a_file_no").alias("file_no")).agg(F.sum("b_file_size").cast("bigint").alias("overlap_bytes"))
+    met = files.met(b.log_files(log(spark, d)), b.map_files(b.order_map(spark, d)))
+    return met.filter("n > 0").select("file_no", F.col("bytes").cast("bigint").alias("overlap_bytes"))
 
 
 OFFSET = "CAST(sum(CASE WHEN largest_key <= {k} THEN file_size WHEN smallest_key > {k} THEN 0 ELSE floor(file_size * ({k} - smallest_key) / (largest_key - smallest_key + 1)) END) AS BIGINT)"

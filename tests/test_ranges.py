@@ -72,6 +72,57 @@ def test_intervals(spark):
     assert clusters == want
 
 
+def test_meeting_in_many_groups(spark, monkeypatch):
+    # Two cells hold all: pairs come from groups of starts, so from more tasks than two.
+    monkeypatch.setattr(ranges, "MAX_CELLS", 2)
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    was = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        rng = random.Random(5)
+        make = lambda n: [(i, lo, lo + rng.choice([-1, 0, 3, 3, 700])) for i in range(n) for lo in [rng.choice([40, rng.randrange(2000)])]]
+        a, b = make(150), make(200)
+        x, y = table(spark, a, "i bigint, a_lo bigint, a_hi bigint"), table(spark, b, "j bigint, b_lo bigint, b_hi bigint")
+        got = ranges.meeting(x, y, "a_lo", "a_hi", "b_lo", "b_hi").select("i", "j", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    sound = lambda rows: [r for r in rows if r[1] <= r[2]]
+    assert sorted((r.i, r.j) for r in got) == sorted((i, j) for i, lo, hi in sound(a) for j, lo2, hi2 in sound(b) if lo <= hi2 and lo2 <= hi)
+    assert len({r.task for r in got}) > 2
+
+
+def only_cells_are_joined(found):
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    return joins and all("broadcast" in line for line in joins)
+
+
+def test_plans_without_pairs(spark):
+    rng = random.Random(6)
+    make = lambda n, size: [(i, lo, lo + rng.choice([0, 4, 9, 60]), rng.randrange(1, size)) for i in range(n) for lo in [rng.randrange(900)]]
+    a, b, c = make(70, 9 << 20), make(40, 9 << 20), make(40, 9 << 20)
+    schema = "file_no bigint, smallest_key bigint, largest_key bigint, file_size bigint"
+    x, y, z = (table(spark, rows, schema) for rows in (a, b, c))
+    meets = lambda lo, hi, rows: [r for r in rows if lo <= r[2] and r[1] <= hi]
+    size = lambda rows: sum(r[3] for r in rows)
+    widened = lambda lo, hi, rows: (min([lo, *[r[1] for r in rows]]), max([hi, *[r[2] for r in rows]]))
+    want = []
+    for i, lo, hi, n in a:
+        below = meets(lo, hi, b)
+        lo, hi = widened(lo, hi, below)
+        wider = meets(lo, hi, a)
+        grows = below and len(wider) > 1 and len(meets(*widened(lo, hi, wider), b)) == len(below) and size(wider) + size(below) < files.EXPANSION_CAP
+        want.append((i, len(wider) if grows else 1, len(below), size(wider) if grows else n, size(below)))
+    found = files.compaction_inputs(x, y)
+    assert sorted(map(tuple, found.collect())) == want and any(r[1] > 1 for r in want)
+    assert only_cells_are_joined(found)
+    moves = files.trivial_moves(x, y, z)
+    free = [i for i, lo, hi, _ in a if not meets(lo, hi, b) and size(meets(lo, hi, c)) <= files.GRANDPARENT_CAP]
+    assert sorted(r.file_no for r in moves.collect()) == free and free
+    assert only_cells_are_joined(moves)
+
+
 def test_files(spark):
     parts = [(i, 20 * i, 20 * i + 14, 100 + i) for i in range(30)]
     f = table(spark, parts, "file_no bigint, smallest_key bigint, largest_key bigint, file_size bigint")
